@@ -1,10 +1,9 @@
 """Word BPE by the tokenizers library, with a memo of what frequent words become.
 
 The library normalises (NFC, white space, lower case), splits by a pattern and merges within each match. For texts of code
-points below 256 the first two steps are lower-casing and a short explicit pattern, and spaces never lie within a match,
-so that what stands between white space can be encoded once and remembered. What is new goes to the library, many words in one
-call: the last id of each match ends with the word-end mark, which tells the matches apart. All other texts go to the
-library whole.
+points below 256 the first two steps are lower-casing and a short explicit pattern, so that each match can be encoded once
+and remembered. What is new goes to the library, many matches in one call: the last id of each ends with the word-end
+mark, which tells them apart. All other texts go to the library whole.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Id written after each document.
 END = 1
 #: Entries of a Python worker's memo.
-WORDS = 750_000
+WORDS = 1_200_000
 
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -54,28 +53,22 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         return self._whole(word)
 
-    def prepare(self, texts: list[str]) -> None:
-        """Let the library encode all words of these texts that the memo lacks, in one call."""
-        known, old = self.words, self.words.old
-        found = set().union(*[t.split() for t in texts])
-        fresh = [w for w in found if w not in known and w not in old]
-        if not fresh:
-            return
-        count = [1 if w.isalpha() else len(_MATCH.findall(w)) for w in fresh]
+    def _learn(self, fresh: list[str]) -> None:
+        """Let the library encode these matches in one call."""
         ids = np.array(self.library.encode(" ".join(fresh), add_special_tokens=False).ids, np.uint32)
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != sum(count):  # never seen; words are then encoded one by one
-            return
-        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])] * 4
-        data, cuts = ids.tobytes(), cuts.tolist()
-        self.words.put_all(fresh, [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)])
+        ends = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+        if len(ends) == len(fresh) + 1:  # always so far; else words are encoded one by one
+            data = ids.tobytes()
+            self.words.put_all(fresh, [data[i:j] for i, j in zip(ends, ends[1:], strict=False)])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without an end id."""
-        plain = [None if _PLAIN.search(t) else t.lower() for t in texts]
-        self.prepare([t for t in plain if t is not None])
-        word = self.words.__getitem__
-        return [self._whole(t) if p is None else b"".join(map(word, p.split())) for t, p in zip(texts, plain, strict=True)]
+        splits = [None if _PLAIN.search(t) else _MATCH.findall(t.lower()) for t in texts]
+        memo = self.words
+        fresh = [w for w in set().union(*[s for s in splits if s is not None]) if w not in memo and w not in memo.old]
+        if fresh:
+            self._learn(fresh)
+        return [self._whole(t) if s is None else b"".join(map(memo.__getitem__, s)) for t, s in zip(texts, splits, strict=True)]
 
 
 @functools.cache
