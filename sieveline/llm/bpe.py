@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import TwoGenerations, rows_of, short_batches, table, text_or_empty
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Entries of the memos of a Python worker: whole chunks between spaces, pieces, and byte prefixes.
-CHUNKS, PIECES, PREFIXES = 300_000, 300_000, 60_000
+#: Entries of the memos of a Python worker: pieces, and byte prefixes.
+PIECES, PREFIXES = 750_000, 60_000
 #: Longer pieces are encoded one by one, with a table of their own.
 MANY = 48
 
@@ -193,8 +193,8 @@ class PrefixTable:
 class ManyEncoder:
     """The same table of last tokens for many short pieces at once, one place of all pieces after the other.
 
-    Tokens are found by the polynomial hash of their bytes; each result is compared with the piece's bytes, and a piece
-    that differs (a hash collision) is encoded by the plain encoder.
+    Tokens are found by the polynomial hash of their bytes; the result is compared with the pieces' bytes, and a block that
+    differs (a hash collision) is encoded by the plain encoder.
     """
 
     BASE, SPREAD = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
@@ -210,10 +210,12 @@ class ManyEncoder:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], np.array([token for _, token in tokens], np.int64)[order]
         # Where the keys with given high bits begin.
-        self.shift = np.uint64(64 - 20)
-        self.begin = np.searchsorted(self.keys >> self.shift, np.arange(1 << 20, dtype=np.uint64)).astype(np.int64)
+        self.shift = np.uint64(64 - 21)
+        self.begin = np.searchsorted(self.keys >> self.shift, np.arange(1 << 21, dtype=np.uint64)).astype(np.int32)
         self.depth = int(np.bincount((self.keys >> self.shift).astype(np.int64)).max())
         self.longest = max(len(data) for data, _ in tokens)
+        #: Tokens that merging their bytes does not give: only a piece that is one gets it.
+        self.odd = {data for token, data in core.tokens.items() if not core.reachable(token)}
         self.pair_keys, self.pair_stays = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
 
     def _hash(self, data: bytes) -> int:
@@ -292,29 +294,27 @@ class ManyEncoder:
         ids = np.concatenate([t for _, t in steps])[::-1]
         by_row = np.argsort(where[::-1], kind="stable")
         data, ends = ids[by_row].astype("<u4").tobytes(), np.cumsum(np.bincount(where, minlength=m)) * 4
-        begin, names, values = 0, self.core.tokens, ids[by_row].tolist()
+        names, values = self.core.tokens, ids[by_row].tolist()
+        sound = not at.any() and b"".join([names[t] for t in values]) == b"".join([pieces[k] for k in rows.tolist()])
+        begin = 0
         for k, end in zip(rows.tolist(), ends.tolist(), strict=True):
-            piece = pieces[k]
-            whole = self.core.ranks.get(piece)
-            if whole is not None:
-                out[k] = whole.to_bytes(4, "little")
-            elif b"".join([names.get(t, b"") for t in values[begin // 4 : end // 4]]) == piece:
-                out[k] = data[begin:end]
-            else:
-                out[k] = array("I", self.core.encode(piece)).tobytes()
+            out[k] = data[begin:end] if sound else array("I", self.core.encode(pieces[k])).tobytes()
             begin = end
+        if self.odd:
+            for k in rows.tolist():
+                if pieces[k] in self.odd:
+                    out[k] = self.core.ranks[pieces[k]].to_bytes(4, "little")
 
 
 class TextEncoder:
-    """Whole texts: every match of the pattern is encoded separately. Frequent chunks and pieces are memoised."""
+    """Whole texts: every match of the pattern is encoded separately. Frequent pieces are memoised."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> None:
         self.core = PrefixEncoder(ranks)
         self.many = ManyEncoder(self.core)
         self.pattern = regex.compile(pattern)
         self.latin = latin_pattern(pattern)
-        self.pieces = TwoGenerations(lambda p: array("I", self.core.encode(p.encode())).tobytes(), PIECES // 2)
-        self.chunks = TwoGenerations(self._chunk, CHUNKS // 2)
+        self.pieces = TwoGenerations(lambda p: array("I", self.core.encode(p.encode())).tobytes(), PIECES // 3)
         self.names = [str(i) for i in range(max(ranks.values()) + 1)]
         self.bytes = [b""] * len(self.names)
         for token, data in self.core.tokens.items():
@@ -329,40 +329,16 @@ class TextEncoder:
             return self.latin.findall(text)
         return self.pattern.findall(text)
 
-    def _chunk(self, chunk: str) -> bytes | None:
-        """Ids of a word and the space before it; None if white space at an edge could join another chunk's."""
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            return None
-        return b"".join(map(self.pieces.__getitem__, self.split(" " + chunk)))
-
-    def prepare(self, texts: list[str]) -> None:
-        """Encode the pieces of these texts that no memo has, all together."""
-        known, old = self.chunks, self.chunks.old
-        found = set().union(*[t.split(" ")[1:] for t in texts])
-        chunks = [c for c in found if c not in known and c not in old and c and not c[0].isspace() and not c[-1].isspace()]
-        pieces = self.split(" " + " ".join(chunks)) if chunks else []
-        fresh = [p for p in dict.fromkeys(pieces) if p not in self.pieces and p not in self.pieces.old]
-        self.pieces.put_all(fresh, self.many.encode([p.encode() for p in fresh]))
-        values = list(map(self.pieces.__getitem__, pieces))
-        starts = [k for k, p in enumerate(pieces) if p[0] == " "]
-        if len(starts) == len(chunks):
-            ends = [*starts[1:], len(pieces)]
-            self.chunks.put_all(chunks, [b"".join(values[i:j]) for i, j in zip(starts, ends, strict=False)])
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; pieces that no memo has are encoded together."""
+        splits, memo = [self.split(t) for t in texts], self.pieces
+        fresh = [p for p in set().union(*splits) if p not in memo and p not in memo.old]
+        memo.put_all(fresh, self.many.encode([p.encode() for p in fresh]))
+        return [b"".join(map(memo.__getitem__, pieces)) for pieces in splits]
 
     def encode(self, text: str) -> array:
-        """A space between two characters that are not white space always starts a match, and matching looks no further
-        back than its start, so that the chunks between such spaces can be encoded one by one."""
         ids = array("I")
-        if not text:
-            return ids
-        first, *rest = text.split(" ")
-        if self.latin is not None and first and not first[-1].isspace():
-            try:
-                ids.frombytes(b"".join(map(self.pieces.__getitem__, self.split(first))) + b"".join(map(self.chunks.__getitem__, rest)))
-                return ids
-            except TypeError:
-                ids = array("I")
-        ids.frombytes(b"".join(map(self.pieces.__getitem__, self.split(text))))
+        ids.frombytes(self.encode_all([text])[0])
         return ids
 
     def decode(self, ids) -> bytes:
@@ -384,8 +360,7 @@ def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
         own = encoder(vocabulary)
         for keys, texts in rows_of(batches, "k", "t"):
-            own.prepare(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([own.encode(t).tolist() for t in texts], pa.list_(pa.int32()))], ["k", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([np.frombuffer(x, "<i4") for x in own.encode_all(texts)], pa.list_(pa.int32()))], ["k", "ids"])
 
     slim = docs.select(F.col(id_column).cast("long").alias("k"), text_or_empty(text_column).alias("t"))
     return slim.mapInArrow(run, "k long, ids array<int>").withColumnRenamed("k", id_column)
@@ -414,10 +389,9 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
         own = encoder(vocabulary)
         for keys, texts in rows_of(batches, "k", "t"):
-            own.prepare(texts)
             count, ids_sha, text_sha = [], [], []
-            for text in texts:
-                ids = own.encode(text).tolist()
+            for data in own.encode_all(texts):
+                ids = memoryview(data).cast("I").tolist()
                 count.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(own.names.__getitem__, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
