@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.llm.bpe import op3_byte_bpe
 from sieveline.llm.packing import op10_best_fit_packing
+from sieveline.llm.quality import op8_quality
 from sieveline.llm.tokenfile import op5_token_files
+from sieveline.llm.warc import OP6_SQL, op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_token_files": op5_token_files,
+    "op6_warc": op6_warc,
+    "op8_quality": op8_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_warc": OP6_SQL}
