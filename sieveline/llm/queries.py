@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.llm.bpe import op3_byte_bpe
+from sieveline.llm.neardup import op4_near_duplicates
 from sieveline.llm.packing import op10_best_fit_packing
 from sieveline.llm.pii import op2_pii
 from sieveline.llm.quality import op8_quality
@@ -17,6 +18,7 @@ from sieveline.llm.winnow import op9_winnowing
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_token_files": op5_token_files,
     "op6_warc": op6_warc,
     "op8_quality": op8_quality,
