@@ -305,5 +305,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, near: int = NEAR) -
     )
 
 
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates, with all its columns: the one with the smallest doc_id. Rows
+    without an id stay."""
+    keep = near_duplicates(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_doc_id")).distinct()
+    one = docs.where("doc_id is not null").join(keep, F.col("doc_id").cast("long") == F.col("kept_doc_id")).drop("kept_doc_id").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -113,7 +113,7 @@ def _contexts(text: Column, start: Column, end: Column) -> Column:
 
 
 def positions(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, base array<struct<start, kind, end>>, seen array<struct<kind, start, end, value, patterns>>), written.
+    """(row, doc_id, digest, base array<struct<start, kind, end>>, seen array<struct<kind, start, end, value, patterns>>), written.
 
     ``seen`` has the seeds, and with kind null the other tokens that hold digits.
     """
@@ -121,13 +121,14 @@ def positions(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("found", F.when(F.col("text").rlike("[0-9@]"), _found(F.col("text"))).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,value:string,sound:boolean>>")))
     tokens = F.when(F.col("text").rlike("[0-9]"), matches(F.col("text"), _TOKEN)).otherwise(_none())
     apart = lambda m: ~F.exists("found", lambda f: (f["start"] < m["end"]) & (m["start"] < f["end"]))
-    spans = lambda m, kind: F.struct(kind.cast("int").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lower(m["value"]).alias("value"), _contexts(F.col("text"), m["start"], m["end"]).alias("patterns"))
+    instance = lambda m, kind: F.struct(kind.cast("int").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lower(m["value"]).alias("value"), _contexts(F.col("text"), m["start"], m["end"]).alias("patterns"))
     sound = F.filter("found", lambda f: f["sound"])
     rows = rows.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
+        F.xxhash64("text").alias("digest"),
         F.array_sort(F.transform(sound, lambda f: F.struct(f["start"].alias("start"), f["kind"].alias("kind"), f["end"].alias("end")))).alias("base"),
-        F.concat(F.transform(sound, lambda f: spans(f, f["kind"])), F.transform(F.filter(tokens, apart), lambda m: spans(m, F.lit(None)))).alias("seen"),
+        F.concat(F.transform(sound, lambda f: instance(f, f["kind"])), F.transform(F.filter(tokens, apart), lambda m: instance(m, F.lit(None)))).alias("seen"),
     )
     return written(rows, "positions")
 
@@ -136,7 +137,7 @@ def trusted_patterns(seen: DataFrame, support: int = SUPPORT, rounds: int = ROUN
     """(pattern, kind, score) of the patterns that stay trusted. ``seen``: (pattern, value, kind), kind null for no seed."""
     edges = seen.groupBy("pattern", "value").agg(F.min("kind").alias("kind"))
     seeds = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    best = seeds.groupBy("pattern").agg(F.max(F.struct("seeds", -F.col("kind"))).alias("b")).select("pattern", F.col("b.seeds").alias("seeds"), (-F.col("b.col2")).alias("of"))
+    best = seeds.groupBy("pattern").agg(F.max(F.struct("seeds", (-F.col("kind")).alias("less"))).alias("b")).select("pattern", F.col("b.seeds").alias("seeds"), (-F.col("b.less")).alias("of"))
     graph = written(edges.join(best.where(F.col("seeds") >= support), "pattern").select("pattern", "of", "seeds", "value", "kind"), "graph")
     # A seed of the pattern's kind counts 1, of another kind 0; the others start from 0.
     own = F.when(F.col("kind") == F.col("of"), 1.0).otherwise(0.0)
@@ -152,23 +153,47 @@ def trusted_patterns(seen: DataFrame, support: int = SUPPORT, rounds: int = ROUN
     raise ValueError("at least one round")
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """The query's columns for every row of ``docs`` (doc_id, text)."""
+def spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, base, every) for every row of ``docs`` (doc_id, text): arrays of (start, kind, end), sorted."""
     rows = positions(docs)
     seen = rows.where(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).select("row", "s.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
     trusted = trusted_patterns(seen.select("pattern", "value", "kind")).select("pattern", F.col("kind").alias("of"), "score")
-    hits = seen.where("kind is null").join(trusted, "pattern").groupBy("row", "start", "end").agg(F.max(F.struct("score", -F.col("of"))).alias("b"))
-    more = hits.groupBy("row").agg(F.collect_list(F.struct("start", (-F.col("b.col2")).alias("kind"), "end")).alias("more"))
+    hits = seen.where("kind is null").join(trusted, "pattern").groupBy("row", "start", "end").agg(F.max(F.struct("score", (-F.col("of")).alias("less"))).alias("b"))
+    more = hits.groupBy("row").agg(F.collect_list(F.struct("start", (-F.col("b.less")).alias("kind"), "end")).alias("more"))
+    every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
+    return rows.select("row", "doc_id", "digest", "base").join(more, "row", "left").select("doc_id", "digest", "base", every.alias("every"))
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """The query's columns for every row of ``docs`` (doc_id, text)."""
     name = lambda kind: F.element_at(F.array(*map(F.lit, KINDS)), kind + 1)
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"], s["end"])), ",")
-    every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
-    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return rows.select("row", "doc_id", "base").join(more, "row", "left").select(
-        "doc_id",
-        *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
-        F.sha2(told(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        told(every).alias("spans"),
-    )
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return spans(docs).select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)], F.sha2(told(F.col("base")).cast("binary"), 256).alias("base_sha256"), told(F.col("every")).alias("spans"))
+
+
+def _replaced(text: Column, found: Column) -> Column:
+    """``text`` with each span replaced by its kind in brackets; spans that overlap are one, named by the first."""
+    name = lambda kind: F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), kind + 1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        new = F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), name(s["kind"])))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(found, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.lit(2147483647) - acc["at"] - 1)))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span in ``text`` replaced; all columns and rows stay, null texts stay null."""
+    found = spans(docs).where(F.size("every") > 0).groupBy("doc_id", "digest").agg(F.first("every").alias("every"))
+    found = found.select(F.col("doc_id").alias("span_doc_id"), "digest", "every")
+    joined = docs.select(F.struct("*").alias("d"), F.xxhash64(text_or_empty()).alias("h")).join(found, F.col("d.doc_id").cast("long").eqNullSafe(F.col("span_doc_id")) & (F.col("h") == F.col("digest")), "left")
+    done = joined.withColumn("d", F.when(F.col("every").isNotNull(), F.col("d").withField("text", _replaced(F.col("d.text"), F.col("every")))).otherwise(F.col("d")))
+    return done.select("d.*")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

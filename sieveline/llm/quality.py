@@ -173,6 +173,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("k"), text_or_empty().alias("t")).mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``, with all their columns; one pass, nothing is exchanged."""
+    short_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                keep = model.scores(np.stack([features(t or "") for t in batch.column(at).to_pylist()])) >= least
+                yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted)."""
     scored = score(docs, train(docs, labels))
