@@ -11,11 +11,13 @@ from sieveline.llm.neardup import op4_near_duplicates
 from sieveline.llm.packing import op10_best_fit_packing
 from sieveline.llm.pii import op2_pii
 from sieveline.llm.quality import op8_quality
+from sieveline.llm.sitetree import op1_html
 from sieveline.llm.tokenfile import op5_token_files
 from sieveline.llm.warc import OP6_SQL, op6_warc
 from sieveline.llm.winnow import op9_winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
     "op2_pii": op2_pii,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_near_duplicates": op4_near_duplicates,
