@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.llm.bpe import op3_byte_bpe
+from sieveline.llm.chroma import op7_chroma
 from sieveline.llm.neardup import op4_near_duplicates
 from sieveline.llm.packing import op10_best_fit_packing
 from sieveline.llm.pii import op2_pii
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_token_files": op5_token_files,
     "op6_warc": op6_warc,
+    "op7_chroma": op7_chroma,
     "op8_quality": op8_quality,
     "op9_winnowing": op9_winnowing,
     "op10_best_fit_packing": op10_best_fit_packing,
