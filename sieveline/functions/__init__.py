@@ -1 +1 @@
-
+"""Column builders: scores, distances, geometry."""

@@ -1 +1 @@
-
+"""Filters, sorts, searches: pure functions from entries to DataFrames."""

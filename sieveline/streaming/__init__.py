@@ -1 +1 @@
-
+"""Continuous ingestion into stored fields."""
