@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,25 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Give this package's source to the Python workers, once for each application: they may start where it isn't installed."""
+    top, app = Path(__file__).resolve().parents[1], spark.sparkContext.applicationId
+    if app in _SHIPPED or not top.is_dir():  # a package in an archive has come by --py-files
+        return
+    archive = Path(tempfile.mkdtemp(prefix="sieveline-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(top.rglob("*.py")):
+            z.write(source, source.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
+
+
 def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Before any Python on the executors: short Arrow batches, and the package on the workers."""
+    shipped(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -88,7 +108,6 @@ class TwoGenerations(dict):
             self.clear()
         self[key] = value
 
-
     def put_all(self, keys: list, values: list) -> None:
         for start in range(0, len(keys), self.half):
             if len(self) >= self.half:
