@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 OPERATORS = ("eq", "gt", "gte", "lt", "lte", "between")
 
 
+def _is_zero(value: Column) -> Column:
+    # No equality: the optimiser would put the literal, which has no sign, in place of the column elsewhere.
+    return (value >= 0) & (value <= 0)
+
+
 def is_negative_zero(value: Column) -> Column:
-    return (value == 0) & (value.cast("string") == "-0.0")
+    return _is_zero(value) & (value.cast("string") == "-0.0")
 
 
 def _compare(op: str, value: Column, bound, is_double: bool) -> Column:
     plain = {"eq": value == bound, "gt": value > bound, "gte": value >= bound, "lt": value < bound, "lte": value <= bound}[op]
     if not (is_double and bound == 0):
         return plain
-    below = is_negative_zero(value)
+    zero, below = _is_zero(value), is_negative_zero(value)
     if math.copysign(1.0, bound) < 0:  # the bound is -0.0
-        return {"eq": below, "gt": plain | ((value == 0) & ~below), "gte": plain, "lt": plain, "lte": (value < 0) | below}[op]
-    return {"eq": plain & ~below, "gt": plain, "gte": (value > 0) | ((value == 0) & ~below), "lt": plain | below, "lte": plain}[op]
+        return {"eq": below, "gt": plain | (zero & ~below), "gte": plain, "lt": plain, "lte": (value < 0) | below}[op]
+    return {"eq": zero & ~below, "gt": plain, "gte": (value > 0) | (zero & ~below), "lt": plain | below, "lte": plain}[op]
 
 
 def predicate(op: str, *bounds, column: str = "value", is_double: bool = False) -> Column:
