@@ -202,7 +202,8 @@ def search(classes: DataFrame, queries: DataFrame) -> DataFrame:
 
 def match_recordings(prints: DataFrame, is_query) -> DataFrame:
     """(rec_id, n_codes, class_id, match_id, votes, offset, bit_error, matched) of every row of ``prints`` (rec_id, n_codes,
-    codes). Recordings too short for a code, and null ones, are a class and match nothing; null ids are kept."""
+    codes). Recordings too short for a code, and null ones, are a class and match nothing; null ids are kept, in the class of
+    their codes."""
     known = prints.where("n_codes > 0 and rec_id is not null")
     classes = written(known.groupBy("codes").agg(F.min("rec_id").alias("rec_id"), F.min(F.when(is_query(F.col("rec_id")), F.col("rec_id"))).alias("query")), "classes")
     found = search(classes.select("rec_id", "codes"), classes.where("query is not null").select(F.col("query").alias("rec_id"), "codes"))

@@ -306,10 +306,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, near: int = NEAR) -
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row of ``docs`` for each group of near duplicates, with all its columns: the one with the smallest doc_id. Rows
-    without an id stay."""
+    """One row of ``docs`` for each group of near duplicates, with all its columns: the one with the smallest doc_id, and of
+    rows that repeat it the one with the smallest text. Rows without an id stay."""
     keep = near_duplicates(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    one = docs.where("doc_id is not null").join(keep, F.col("doc_id").cast("long") == F.col("kept_doc_id")).drop("kept_doc_id").dropDuplicates(["doc_id"])
+    # The row is one struct, so that its columns may have any names.
+    known = docs.where("doc_id is not null").select(F.struct("*").alias("d")).join(keep, F.col("d.doc_id").cast("long") == F.col("kept_doc_id"))
+    one = known.groupBy("kept_doc_id").agg(F.min_by("d", F.coalesce("d.text", F.lit(""))).alias("d")).select("d.*")
     return one.unionByName(docs.where("doc_id is null"))
 
 

@@ -1,7 +1,8 @@
 """Best-fit packing of documents into training sequences by the sum-of-squares rule.
 
-A document goes to the open sequence (or a new one) after which the sum over gaps ``g`` of ``N(g) ** 2``, with ``N(g)`` open
-sequences that have ``g`` free places, is smallest: the rule avoids piling up many sequences with the same awkward gap.
+A document goes to the open sequence after which the sum over gaps ``g`` of ``N(g) ** 2``, with ``N(g)`` open sequences that
+have ``g`` free places, is smallest: the rule avoids piling up many sequences with the same awkward gap. A new sequence is
+opened only where no open one has room, as the sequences are to be few.
 Pieces are dealt by a hash of (doc_id, piece) to groups of a bounded number of pieces, each group is packed by one task,
 longest pieces first, and nothing of the corpus meets on the driver. A group wastes less than about one sequence, which
 is a share of 1 / 5,000 at the production group size.
@@ -57,13 +58,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins, offsets, used = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
     for k, size in enumerate(lengths.tolist()):
-        # By gap left, from 0: the change for a sequence that had that gap and this size; half of it, less a constant.
-        left = count[: capacity + 1 - size]
-        change = left - count[size:]
-        change[0] = -count[size] - 1 if count[size] else 0
+        # By gap left, from 0: the change of the sum for a sequence that had that gap and this size. Full ones count nothing.
+        change = 2 * (count[: capacity + 1 - size] - count[size:]) + 2
+        change[0] = 1 - 2 * count[size]
         possible = np.flatnonzero(count[size:])
         best = possible[np.argmin(change[possible])] if len(possible) else -1
-        if best >= 0 and change[best] <= (count[capacity - size] if size < capacity else -1):
+        if best >= 0:
             gap = int(best) + size
             chosen = waiting[gap].pop()
             count[gap] -= 1

@@ -52,7 +52,7 @@ def chosen(text: Column, k: int = K, window: int = WINDOW) -> Column:
 
     def narrowed(least: Column, step: int) -> Column:
         """Minima of windows of twice the length; past the end the shorter array gives nulls, which least() skips."""
-        return bind(least, lambda x: F.zip_with(x, F.slice(x, step + 1, 2147483647), lambda a, b: F.least(a, b)))
+        return bind(least, lambda x: F.zip_with(x, F.slice(x, step + 1, F.greatest(F.size(x) - step, F.lit(0))), lambda a, b: F.least(a, b)))
 
     def windows(all_grams: Column) -> Column:
         least, step = all_grams, 1
