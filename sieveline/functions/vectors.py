@@ -13,7 +13,7 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UNROLLED = 128
+UNROLLED = 32
 
 
 def _sum(vec: Column, query: list[float], term) -> Column:
