@@ -1,26 +1,29 @@
 """Near duplicates on word shingles: MinHash signatures, and a multi-index Hamming join that finds close ones.
 
-A text's set is its distinct shingles of five words. ``CHUNKS * WIDTH`` minima of random orders of the set, a byte each, are
-its signature; two sets of similarity J differ in about a share 1 - J of the places. The signature is cut into chunks and
-each chunk is looked up with each of its places left out: by the pigeonhole principle all pairs that differ in fewer than
-``2 * CHUNKS`` places share such a key, and most that differ in more do too.
+A text's set is its distinct shingles of five words. Minima of random orders of the set, a byte each, are its signature;
+two sets of similarity J differ in about a share 1 - J of the places. The signature is cut into chunks and each chunk is
+looked up with each of its places left out: by the pigeonhole principle all pairs that differ in fewer places than twice the
+chunks share such a key, and most that differ in more do too. ``SIZES`` has places and chunks for each threshold.
 
 The stages, none of which brings a group to one task or the driver:
 
 1. Equal sets are one from here on, represented by their smallest doc_id (combined before the exchange).
 2. Keys that several sets have are buckets. A bucket of many sets is cut into blocks, and each pair of blocks is a cell of
-   its own. A cell links sets whose signatures differ in at most ``NEAR`` places, by a spanning forest and not pair by pair.
+   its own. A cell links sets whose signatures differ in at most ``near`` places, by a spanning forest and not pair by pair.
 3. The components of these links are clusters: linked documents lie in one cluster, and most clusters are small.
 4. The full sets of a cluster's members meet in cells of at most two blocks. Pairs near in signature are confirmed on the
    full sets, nearest first; pairs already known to be connected need no confirmation. Cells give spanning forests again.
 5. The components of the confirmed links are the result.
 
 At similarity 0.85, 7 of 100,000 pairs share no key and 2 of 100,000 differ in more than ``NEAR`` places; of closer pairs fewer.
+With the size for 0.8, pairs share a key for certain up to its ``near``, and by the binomial distribution 5 of 10 million pairs
+at similarity 0.8 differ in more places.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,20 +35,38 @@ from sieveline.llm.components import components
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-CHUNKS, WIDTH = 9, 8
-PLACES = CHUNKS * WIDTH
-#: Differing places up to which a pair is confirmed on the full sets: five standard deviations above the mean at 0.85.
-NEAR = 25
+
+
+class Size(NamedTuple):
+    """Places of a signature, its chunks, and the differing places up to which a pair is confirmed on the full sets."""
+
+    places: int
+    chunks: int
+    near: int
+
+
+#: By the least percentage that they serve; ``near`` is five standard deviations above the mean there.
+SIZES = {85: Size(72, 9, 25), 80: Size(128, 25, 49)}
+PLACES, CHUNKS, NEAR = SIZES[PERCENT]
 #: Sets in a block of a bucket or cluster; a cell holds two blocks at most.
 BLOCK = 1_500
 
 _RNG = np.random.default_rng(20_240_229)
-_TIMES = _RNG.integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _RNG.integers(0, 1 << 63, PLACES, dtype=np.uint64)
+_MOST = max(size.places for size in SIZES.values())
+_TIMES = _RNG.integers(0, 1 << 63, _MOST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RNG.integers(0, 1 << 63, _MOST, dtype=np.uint64)
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+def size_for(percent: int) -> Size:
+    """The smallest size that serves a threshold."""
+    fit = [least for least in SIZES if least <= percent]
+    if not fit:
+        raise ValueError(f"signatures are sized for {min(SIZES)} % or more, not for {percent} %")
+    return SIZES[max(fit)]
+
+
 def _word_hash(word: bytes) -> int:
     import xxhash
 
@@ -73,26 +94,29 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
-def signature(shingle_set: np.ndarray) -> bytes:
-    least = np.full(PLACES, np.iinfo(np.uint64).max)
-    for start in range(0, len(shingle_set), 2048):
-        part = shingle_set[start : start + 2048]
-        least = np.minimum(least, ((part[None, :] ^ _PLUS[:, None]) * _TIMES[:, None]).min(axis=1))
+def signature(shingle_set: np.ndarray, places: int = PLACES) -> bytes:
+    least = np.full(places, np.iinfo(np.uint64).max)
+    for start in range(0, len(shingle_set), 512):
+        part = shingle_set[start : start + 512]
+        least = np.minimum(least, ((part[None, :] ^ _PLUS[:places, None]) * _TIMES[:places, None]).min(axis=1))
     return (_mixed(least) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def bucket_keys(signatures: np.ndarray) -> np.ndarray:
-    """For each row of places, the keys of its chunks with one place left out; a key holds chunk, place and the rest whole."""
-    chunks = signatures.reshape(-1, CHUNKS, WIDTH).astype(np.int64)
-    out = np.empty((len(chunks), CHUNKS, WIDTH), np.int64)
-    for gone in range(WIDTH):
-        key = np.arange(CHUNKS, dtype=np.int64)[None, :] * WIDTH + gone
-        key = np.broadcast_to(key, chunks.shape[:2]).copy()
-        for place in range(WIDTH):
-            if place != gone:
-                key = key << 8 | chunks[:, :, place]
-        out[:, :, gone] = key
-    return out.reshape(len(chunks), -1)
+def bucket_keys(signatures: np.ndarray, chunks: int = CHUNKS) -> np.ndarray:
+    """For each row of places, the keys of its chunks with one place left out; a key holds the place and the rest whole.
+
+    Chunks differ in length by one at most and have at most eight places.
+    """
+    rows = signatures.astype(np.int64)
+    out = np.empty(rows.shape, np.int64)
+    for chunk in np.array_split(np.arange(rows.shape[1]), chunks):
+        for gone in chunk.tolist():
+            rest = np.zeros(len(rows), np.int64)
+            for place in chunk.tolist():
+                if place != gone:
+                    rest = rest << 8 | rows[:, place]
+            out[:, gone] = gone << 56 | rest
+    return out
 
 
 class Forest:
@@ -122,7 +146,7 @@ def near_pairs(sig: np.ndarray, near: int) -> Iterator[tuple[int, np.ndarray, np
             yield k, close + k + 1, apart[close]
 
 
-def shingle_table(docs: DataFrame) -> DataFrame:
+def shingle_table(docs: DataFrame, places: int = PLACES) -> DataFrame:
     """(doc_id, n_shingles, same, sig), written: ``same`` is a 128-bit digest of the set, null for empty ones."""
     short_batches(docs.sparkSession)
 
@@ -136,22 +160,22 @@ def shingle_table(docs: DataFrame) -> DataFrame:
                 s = shingles(text)
                 count.append(len(s))
                 same.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sig.append(signature(s) if len(s) else None)
+                sig.append(signature(s, places) if len(s) else None)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(count, pa.int64()), pa.array(same, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "same", "sig"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("k"), text_or_empty().alias("t"))
     return written(slim.mapInArrow(run, "doc_id long, n_shingles long, same binary, sig binary"), "shingles")
 
 
-def _keys(sets: DataFrame) -> DataFrame:
-    """(key, rep) of every set: ``PLACES`` rows each."""
+def _keys(sets: DataFrame, size: Size) -> DataFrame:
+    """(key, rep) of every set: a row for each place."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, PLACES)
-            keys = bucket_keys(sigs)
+            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, size.places)
+            keys = bucket_keys(sigs, size.chunks)
             rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(rep)], ["key", "rep"])
 
@@ -192,10 +216,11 @@ def _links_out(pa, pairs: list[tuple[int, int]]):
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def near_signatures(sets: DataFrame, near: int = NEAR) -> DataFrame:
+def near_signatures(sets: DataFrame, size: Size = SIZES[PERCENT]) -> DataFrame:
     """Links (a, b) that connect all sets that share a key and differ in at most ``near`` places; ``sets``: (rep, sig)."""
-    full = written(_keys(sets).groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    rows = _keys(sets).join(full, "key").join(sets.select("rep", "sig"), "rep")
+    near = size.near
+    full = written(_keys(sets, size).groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    rows = _keys(sets, size).join(full, "key").join(sets.select("rep", "sig"), "rep")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -210,7 +235,7 @@ def near_signatures(sets: DataFrame, near: int = NEAR) -> DataFrame:
                 found = [(reps[0], reps[1])] if np.count_nonzero(a != b) <= near else []
             else:
                 forest, found = Forest(len(reps)), []
-                for k, close, _ in near_pairs(np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, PLACES), near):
+                for k, close, _ in near_pairs(np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, size.places), near):
                     found += [(reps[k], reps[j]) for j in close.tolist() if forest.join(k, j)]
             fresh = [p for p in found if p not in told]
             if len(told) > 200_000:
@@ -226,19 +251,21 @@ def near_signatures(sets: DataFrame, near: int = NEAR) -> DataFrame:
     return _in_cells(rows, "key", "size", "sig").mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed_links(docs: DataFrame, clusters: DataFrame, percent: int = PERCENT, near: int = NEAR) -> DataFrame:
+def confirmed_links(docs: DataFrame, clusters: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) that connect all members of a cluster that are linked; ``clusters``: (rep, cluster, size).
 
     Members' texts come by a join on doc_id, and only their sets move on.
     """
+    size = size_for(percent)
+    near = size.near
 
     def to_sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for reps, cluster, size, texts in rows_of(batches, "rep", "cluster", "size", "t"):
+        for reps, cluster, members, texts in rows_of(batches, "rep", "cluster", "size", "t"):
             sets = [shingles(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(reps, pa.int64()), pa.array(cluster, pa.int64()), pa.array(size, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([signature(s) for s in sets], pa.binary())],
+                [pa.array(reps, pa.int64()), pa.array(cluster, pa.int64()), pa.array(members, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([signature(s, size.places) for s in sets], pa.binary())],
                 ["rep", "cluster", "size", "set", "sig"],
             )
 
@@ -253,7 +280,7 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, percent: int = PERCENT
                 continue
             own = [np.frombuffer(s, np.uint64) for s in sets]
             forest, pairs = Forest(len(reps)), []
-            for k, close, apart in near_pairs(np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, PLACES), near):
+            for k, close, apart in near_pairs(np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, size.places), near):
                 pairs.append(np.stack([apart, np.full(len(close), k), close]))
             if not pairs:
                 continue
@@ -278,23 +305,24 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, percent: int = PERCENT
     return _in_cells(members, "cluster", "size", "set", "sig").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, near: int = NEAR) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
     Null and empty texts have the empty set and are linked with nothing; null ids too (their component is null, and they
     are kept). Rows that repeat a doc_id are one document. Empty input gives no rows.
     """
-    rows = shingle_table(docs)
+    size = size_for(percent)
+    rows = shingle_table(docs, size.places)
     usable = rows.where("same is not null and doc_id is not null")
     same = written(usable.groupBy("same").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")), "sets")
     # A doc_id that several sets represent (repeated rows with different texts) is one node of the graph.
-    close = components(near_signatures(same.select("rep", "sig"), near))
+    close = components(near_signatures(same.select("rep", "sig"), size))
     sizes = close.groupBy("component").agg(F.count("*").alias("size"))
     clusters = written(close.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "size"), "clusters")
     # Rows of one doc_id are one document.
     repeated = usable.groupBy("doc_id").agg(F.min("same").alias("x"), F.max("same").alias("y")).where("x <> y")
     joined = repeated.join(same.select(F.col("same").alias("x"), F.col("rep").alias("a")), "x").join(same.select(F.col("same").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
-    found = components(confirmed_links(docs, clusters, percent, near).unionByName(joined))
+    found = components(confirmed_links(docs, clusters, percent).unionByName(joined))
     of_set = same.join(found, same["rep"] == found["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     result = rows.select("doc_id", "n_shingles", "same").join(of_set, "same", "left")
     return result.select(

@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ import __spark_entry__ as entry
 from sieveline.llm import neardup, quality
 from sieveline.llm.queries import ORACLE_SQL, QUERIES
 
+from .test_text import brute_components
+
 
 def test_queries_are_registered():
     assert [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES] == list(range(1, 11))
@@ -58,3 +61,33 @@ def test_stages_on_an_empty_table(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, data).count() == 0
+
+
+def test_near_duplicate_stage_links_from_080(spark, data, stages):
+    good, single, *_ = stages
+    groups = brute_components([(r["doc_id"], r["text"]) for r in good.collect()], percent=80)
+    assert {r["doc_id"] for r in single.collect()} == {k for k, (_, component) in groups.items() if k == component}
+    pairs = []  # of similarity 0.80 to 0.85
+    for k in range(150):
+        words = [f"w{k}x{i}" for i in range(104 + k)]
+        end = round(0.9 * (100 + k)) + 4
+        pairs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:end] + [f"v{k}x{i}" for i in range(len(words) - end)]))]
+    expected = {k for k, (_, component) in brute_components(pairs, percent=80).items() if k == component}
+    assert len(expected) < 160 and len({c for _, c in brute_components(pairs).values()}) == 300
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, docs, data).collect()} == expected
+
+
+def test_signatures_reach_080():
+    size = neardup.size_for(80)
+    assert neardup.size_for(84) == size and neardup.size_for(90) == neardup.SIZES[85] and size.near < 2 * size.chunks
+    with pytest.raises(ValueError):
+        neardup.size_for(79)
+    rng = np.random.default_rng(1)
+    one = rng.integers(0, 256, size.places, dtype=np.uint8)
+    keys = set(neardup.bucket_keys(one[None], size.chunks)[0].tolist())
+    for _ in range(200):
+        other = one.copy()
+        places = rng.choice(size.places, size.near, replace=False)
+        other[places] ^= rng.integers(1, 256, size.near, dtype=np.uint8)
+        assert keys & set(neardup.bucket_keys(other[None], size.chunks)[0].tolist())
