@@ -7,7 +7,8 @@ share of bits that differ over the overlap.
 
 The tables have no audio, so that the query plays each row of ``embeddings`` as a melody (a note for each number) and works
 on the samples. Equal fingerprints are one class from there on. The stated queries, rows whose id is divisible by 100, are
-searched against all classes block by block; every class meets every query, nothing is sampled or capped.
+searched against all classes block by block; every class meets every query, nothing is sampled or capped, and every match of
+a class is returned.
 """
 
 from __future__ import annotations
@@ -162,8 +163,9 @@ def _blocks(rows: DataFrame, names: tuple[str, str]) -> tuple[DataFrame, int]:
 
 
 def search(classes: DataFrame, queries: DataFrame) -> DataFrame:
-    """(class_id, match_id, votes, offset, bit_error): for each class of ``classes`` (rec_id, codes) the query of ``queries``
-    (rec_id, codes) with the lowest bit error at its best offset, among those that share an integer and are not equal."""
+    """(class_id, match_id, votes, offset, bit_error, nearest), written: for each class of ``classes`` (rec_id, codes) all
+    queries of ``queries`` (rec_id, codes) whose bit error at their best offset is at most MATCH, among those that share an
+    integer and are not equal. The one with the lowest bit error is ``nearest`` and is there even if it is above MATCH."""
     ones, _ = _blocks(classes, ("block", "ones"))
     others, n = _blocks(queries, ("q", "others"))
     pairs = ones.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(others, "q").select("ones", "others")
@@ -175,7 +177,7 @@ def search(classes: DataFrame, queries: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b in zip(batch.column(0), batch.column(1), strict=True):
                 a, b = a.as_py(), b.as_py()
-                out, codes, against = {}, read(a), read(b)
+                best, out, codes, against = {}, [], read(a), read(b)
                 for start in range(0, len(a), 50):
                     pair, offset = align_many(codes[start : start + 50], against)
                     if not len(pair):
@@ -189,27 +191,37 @@ def search(classes: DataFrame, queries: DataFrame) -> DataFrame:
                         if a[k]["codes"] == b[j]["codes"]:
                             continue
                         found = (bit_error(codes[k], against[j], o), -v, b[j]["rec_id"], o)
-                        if k not in out or found < out[k]:
-                            out[k] = found
+                        if found[0] <= MATCH:
+                            out.append((k, found))
+                        elif k not in best or found < best[k]:
+                            best[k] = found
+                out += best.items()
                 if out:
-                    rows = [(a[k]["rec_id"], f[2], -f[1], f[3], f[0]) for k, f in out.items()]
+                    rows = [(a[k]["rec_id"], f[2], -f[1], f[3], f[0]) for k, f in out]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["class_id", "match_id", "votes", "offset", "bit_error"])
 
     short_batches(classes.sparkSession, 4)
-    found = pairs.repartition(max(8, n), "ones").mapInArrow(run, "class_id long, match_id long, votes long, offset long, bit_error double")
-    return found.groupBy("class_id").agg(F.min(F.struct("bit_error", (-F.col("votes")).alias("less"), "match_id", "offset")).alias("b")).select("class_id", "b.match_id", (-F.col("b.less")).alias("votes"), "b.offset", "b.bit_error")
+    links = pairs.repartition(max(8, n), "ones").mapInArrow(run, "class_id long, match_id long, votes long, offset long, bit_error double")
+    links = written(links, "links")
+    best = links.groupBy("class_id").agg(F.min(F.struct("bit_error", (-F.col("votes")).alias("less"), "match_id")).alias("b")).select("class_id", F.col("b.match_id").alias("best_id"))
+    marked = links.join(best, "class_id").withColumn("nearest", F.col("match_id") == F.col("best_id")).drop("best_id")
+    return written(marked.where((F.col("bit_error") <= MATCH) | F.col("nearest")), "found")
 
 
 def match_recordings(prints: DataFrame, is_query) -> DataFrame:
     """(rec_id, n_codes, class_id, match_id, votes, offset, bit_error, matched) of every row of ``prints`` (rec_id, n_codes,
-    codes). Recordings too short for a code, and null ones, are a class and match nothing; null ids are kept, in the class of
-    their codes."""
+    codes), with the nearest query of its class. Every further query that the class matches has a row of its own, whose
+    rec_id is the class_id, so that the links of a recording are those of its class. Recordings too short for a code, and
+    null ones, are a class and match nothing; null ids are kept, in the class of their codes."""
     known = prints.where("n_codes > 0 and rec_id is not null")
-    classes = written(known.groupBy("codes").agg(F.min("rec_id").alias("rec_id"), F.min(F.when(is_query(F.col("rec_id")), F.col("rec_id"))).alias("query")), "classes")
+    classes = written(known.groupBy("codes").agg(F.min("rec_id").alias("rec_id"), F.min(F.when(is_query(F.col("rec_id")), F.col("rec_id"))).alias("query"), F.min("n_codes").alias("n_codes")), "classes")
     found = search(classes.select("rec_id", "codes"), classes.where("query is not null").select(F.col("query").alias("rec_id"), "codes"))
-    told = classes.select("codes", F.col("rec_id").alias("class_id")).join(written(found, "found"), "class_id", "left")
+    told = classes.select("codes", F.col("rec_id").alias("class_id")).join(found.where("nearest"), "class_id", "left")
     rows = prints.join(told, "codes", "left")
-    return rows.select("rec_id", "n_codes", F.when(F.col("n_codes") > 0, F.col("class_id")).otherwise(F.col("rec_id")).alias("class_id"), "match_id", "votes", "offset", "bit_error", F.coalesce(F.col("bit_error") <= MATCH, F.lit(False)).alias("matched"))
+    link = ["match_id", "votes", "offset", "bit_error", F.coalesce(F.col("bit_error") <= MATCH, F.lit(False)).alias("matched")]
+    first = rows.select("rec_id", "n_codes", F.when(F.col("n_codes") > 0, F.col("class_id")).otherwise(F.col("rec_id")).alias("class_id"), *link)
+    further = found.where("not nearest").join(classes.select(F.col("rec_id").alias("class_id"), "n_codes"), "class_id")
+    return first.unionByName(further.select(F.col("class_id").alias("rec_id"), "n_codes", "class_id", *link))
 
 
 def op7_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,6 +213,28 @@ def test_search_equals_pairwise_alignment(spark):
     assert found[2550]["class_id"] == 150
 
 
+def test_all_matches_of_a_class_are_returned(spark):
+    rng = np.random.default_rng(8)
+    tune = rng.normal(0, 0.2, 60)
+    # Near copies of one tune, of which five are queries, an exact copy of one of them, and another tune.
+    tunes = {k: np.concatenate([rng.normal(0, 0.2, n), tune[: 60 - n]]) for k, n in ((100, 0), (200, 2), (300, 4), (400, 6), (500, 8), (7, 3), (8, 5))}
+    tunes |= {9: tunes[7], 11: rng.normal(0, 0.2, 60), 600: rng.normal(0, 0.2, 60)}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in tunes.items()], "vec_id long, embedding array<double>")
+    prints = chroma.fingerprints(df, "vec_id", chroma.melody, "embedding")
+    codes = {r["rec_id"]: np.frombuffer(r["codes"], "<u4") for r in prints.collect()}
+    got = chroma.match_recordings(prints, lambda i: i % 100 == 0).collect()
+    expected = {}
+    for c in sorted(set(codes) - {9}):
+        for q in range(100, 700, 100):
+            votes, offset, error = chroma.align(codes[c], codes[q])
+            if q != c and votes and error <= chroma.MATCH:
+                expected[c, q] = votes, offset
+    of_classes = [r for r in got if r["matched"] and r["rec_id"] == r["class_id"]]
+    assert {(r["class_id"], r["match_id"]): (r["votes"], r["offset"]) for r in of_classes} == expected and len(of_classes) == len(expected)
+    assert {q for c, q in expected if c == 7} == {100, 200, 300, 400, 500} and {c for c, q in expected if q == 300} == {100, 200, 400, 500, 7, 8}
+    assert {r["rec_id"] for r in got} == set(tunes) and [r["class_id"] for r in got if r["rec_id"] == 9] == [7]
+
+
 def test_pcm_and_empty_media(spark):
     sound = (tune(4) * 20_000).astype("<i2")
     df = spark.createDataFrame([(1, bytearray(sound.tobytes())), (2, bytearray(b"")), (3, bytearray(b"\x01")), (4, None)], "id long, media binary")
