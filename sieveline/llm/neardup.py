@@ -3,7 +3,7 @@
 A text's set is its distinct shingles of five words. Minima of random orders of the set, a byte each, are its signature;
 two sets of similarity J differ in about a share 1 - J of the places. The signature is cut into chunks and each chunk is
 looked up with each of its places left out: by the pigeonhole principle all pairs that differ in fewer places than twice the
-chunks share such a key, and most that differ in more do too. ``SIZES`` has places and chunks for each threshold.
+chunks share such a key, and that is all pairs that count as near. ``SIZES`` has places and chunks for each threshold.
 
 The stages, none of which brings a group to one task or the driver:
 
@@ -15,9 +15,8 @@ The stages, none of which brings a group to one task or the driver:
    full sets, nearest first; pairs already known to be connected need no confirmation. Cells give spanning forests again.
 5. The components of the confirmed links are the result.
 
-At similarity 0.85, 7 of 100,000 pairs share no key and 2 of 100,000 differ in more than ``NEAR`` places; of closer pairs fewer.
-With the size for 0.8, pairs share a key for certain up to its ``near``, and by the binomial distribution 5 of 10 million pairs
-at similarity 0.8 differ in more places.
+By the binomial distribution, 8 of a million pairs at similarity 0.85 differ in more than ``near`` places, with the size for 0.8
+5 of 10 million pairs at 0.8; of closer pairs fewer.
 """
 
 from __future__ import annotations
@@ -46,7 +45,7 @@ class Size(NamedTuple):
 
 
 #: By the least percentage that they serve; ``near`` is five standard deviations above the mean there.
-SIZES = {85: Size(72, 9, 25), 80: Size(128, 25, 49)}
+SIZES = {85: Size(72, 13, 25), 80: Size(128, 25, 49)}
 PLACES, CHUNKS, NEAR = SIZES[PERCENT]
 #: Sets in a block of a bucket or cluster; a cell holds two blocks at most.
 BLOCK = 1_500

@@ -265,6 +265,21 @@ def test_signatures_and_the_pigeonhole():
     assert len(neardup.shingles("a\x00b\xa0c")) == 1
 
 
+def test_pairs_up_to_near_share_a_key():
+    rng = np.random.default_rng(2)
+    for size in neardup.SIZES.values():
+        assert size.near < 2 * size.chunks
+        one = rng.integers(0, 256, size.places, dtype=np.uint8)
+        keys = set(neardup.bucket_keys(one[None], size.chunks)[0].tolist())
+        chunks = np.array_split(np.arange(size.places), size.chunks)
+        for _ in range(50):  # the worst case: two places of as many chunks as there can be
+            order = rng.permutation(size.chunks)
+            places = np.concatenate([rng.choice(chunks[c], 2, replace=False) for c in order])[: size.near]
+            other = one.copy()
+            other[places] ^= rng.integers(1, 256, len(places), dtype=np.uint8)
+            assert keys & set(neardup.bucket_keys(other[None], size.chunks)[0].tolist())
+
+
 def test_components_of_any_graph(spark):
     rng = random.Random(6)
     chain = [(i, i + 1) for i in range(60)]
