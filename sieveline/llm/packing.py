@@ -3,8 +3,8 @@
 A document goes to the open sequence after which the sum over gaps ``g`` of ``N(g) ** 2``, with ``N(g)`` open sequences that
 have ``g`` free places, is smallest: the rule avoids piling up many sequences with the same awkward gap. A new sequence is
 opened only where no open one has room, as the sequences are to be few.
-Pieces are dealt by a hash of (doc_id, piece) to groups of a bounded number of pieces, each group is packed by one task,
-longest pieces first, and nothing of the corpus meets on the driver. A group wastes less than about one sequence, which
+Pieces are dealt by a hash of their row's number to groups of a bounded number of pieces, whatever ids repeat; each group is
+packed by one task, longest pieces first, and nothing of the corpus meets on the driver. A group wastes less than about one sequence, which
 is a share of 1 / 5,000 at the production group size.
 """
 
@@ -34,7 +34,7 @@ def cut_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = w
         import pyarrow as pa
 
         own, end = wordbpe.encoder(vocabulary), wordbpe.END.to_bytes(4, "little")
-        for keys, texts in rows_of(batches, "k", "t"):
+        for keys, texts in wordbpe.grouped(rows_of(batches, "k", "t")):
             out: list[tuple] = []
             for key, ids in zip(keys, own.encode_all(texts), strict=True):
                 data = ids + end
@@ -77,7 +77,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
+    """``pieces`` (doc_id, piece, start, length, ids_crc32; a stored table, whose rows have a number) with sequence_id and offset.
 
     The number of groups follows the number of pieces, so that a task's memory does not grow with the corpus.
     """
@@ -91,7 +91,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
         base = key[0].as_py() << 32
         return t.append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
 
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("g").applyInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

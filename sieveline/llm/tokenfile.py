@@ -9,8 +9,10 @@ the planes of high bits are nearly constant and vanish. Layout::
 The footer is zstandard over a JSON head and the index: ids and plane sizes of each block, then document ids and lengths.
 A reader opens the footer and then only the blocks that it wants.
 
-Tasks write their shard under a name of their attempt and rename it, so that a task that is run again, or twice, leaves
-the same single file. Shards lie in the folder that the cluster shares, through any file system that pyarrow knows.
+A task writes its shard under a name that only its attempt has, and nothing is renamed. The manifest is a Spark table, of
+which one attempt of each task is committed, so that it names one whole file for each shard however often tasks were run;
+files of other attempts are never read. Shards lie in the folder that the cluster shares, through any file system that
+pyarrow knows.
 """
 
 from __future__ import annotations
@@ -135,7 +137,8 @@ def write_shards(docs: DataFrame, folder: str, kind: str = "B", block: int = BLO
     (shard, path, n_docs, n_ids, base), base being the number of ids in the shards before.
 
     Null texts are the end id alone, null doc_ids come first, repeated rows are all written. One range exchange of the
-    texts; only the manifest, a row for each shard, meets in one task.
+    texts, in which rows of one doc_id are told apart by text and row, so that a frequent id is spread over shards; only the
+    manifest, a row for each shard, meets in one task.
     """
     short_batches(docs.sparkSession)
 
@@ -146,24 +149,22 @@ def write_shards(docs: DataFrame, folder: str, kind: str = "B", block: int = BLO
 
         own, end, task = wordbpe.encoder(vocabulary), wordbpe.END.to_bytes(4, "little"), TaskContext.get()
         writer = None
-        for keys, texts in rows_of(batches, "k", "t"):
+        for keys, texts in wordbpe.grouped(rows_of(batches, "k", "t")):
             if writer is None:
                 store, top = fs.FileSystem.from_uri(folder)
                 store.create_dir(top, recursive=True)
-                name = f"{top}/shard-{task.partitionId():08d}.svtok"
-                attempt = f"{name}.attempt-{task.taskAttemptId()}"
-                stream = store.open_output_stream(attempt)
+                name = f"shard-{task.partitionId():08d}-{task.taskAttemptId()}.svtok"
+                stream = store.open_output_stream(f"{top}/{name}")
                 writer = ShardWriter(stream, kind, block)
             for key, ids in zip(keys, own.encode_all(texts), strict=True):
                 writer.add(key, ids + end)
         if writer is not None:
             n_docs, n_ids = writer.close()
             stream.close()
-            store.move(attempt, name)
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (task.partitionId(), f"{folder}/{name.rpartition('/')[2]}", n_docs, n_ids)], ["shard", "path", "n_docs", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (task.partitionId(), f"{folder}/{name}", n_docs, n_ids)], ["shard", "path", "n_docs", "n_ids"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("k"), text_or_empty().alias("t"))
-    manifest = slim.repartitionByRange("k").sortWithinPartitions("k", "t").mapInArrow(run, "shard long, path string, n_docs long, n_ids long")
+    slim = docs.select(F.col("doc_id").cast("long").alias("k"), F.xxhash64(text_or_empty()).alias("h"), F.monotonically_increasing_id().alias("n"), text_or_empty().alias("t"))
+    manifest = slim.repartitionByRange("k", "h", "n").sortWithinPartitions("k", "h", "n").select("k", "t").mapInArrow(run, "shard long, path string, n_docs long, n_ids long")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return written(written(manifest, "shards").withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "manifest")
 

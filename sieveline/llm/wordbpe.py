@@ -1,9 +1,10 @@
 """Word BPE by the tokenizers library, with a memo of what frequent words become.
 
 The library normalises (NFC, white space, lower case), splits by a pattern and merges within each match. For texts of code
-points below 256 the first two steps are lower-casing and a short explicit pattern, so that each match can be encoded once
-and remembered. What is new goes to the library, many matches in one call: the last id of each ends with the word-end
-mark, which tells them apart. All other texts go to the library whole.
+points below 256 the first two steps are tables over single bytes, so that the matches of many texts are found by array
+operations, numbered, and each distinct one is encoded once and remembered. What is new goes to the library, many matches
+in one call: the last id of each ends with the word-end mark, which tells them apart. Texts with other characters, and
+texts that hold the name of a special token, which the library turns into that token, go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
 from sieveline.llm.common import TwoGenerations
 
@@ -24,12 +27,47 @@ VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Entries of a Python worker's memo.
 WORDS = 1_200_000
+#: Characters handled by one round of array operations. Longer texts are cut at white space, which no match holds.
+ROUND = 1 << 21
 
-_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
-_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
-_MATCH = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+")
-#: Known to be split and lower-cased alike by both; everything else goes to the library.
+#: Known to be split and lower-cased alike by tables and library; everything else goes to the library.
 _PLAIN = re.compile(r"[^\t-\r\x20-\x7e\xa0-\xff]")
+_GAP, _LETTER, _NUMBER, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+for _kind, _chars in ((_GAP, r"[\t-\r \x85\xa0]"), (_LETTER, r"[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]"), (_NUMBER, r"[0-9\xb2\xb3\xb9\xbc-\xbe]")):
+    _KIND[[c for c in range(256) if re.match(_chars, chr(c))]] = _kind
+_LOWER = bytes(range(256)).decode("latin-1").lower().encode("latin-1")
+#: What may follow an apostrophe that begins a match.
+_SHORT = np.isin(np.arange(256), list(b"stmd"))
+_LONG = (b"re", b"ve", b"ll")
+
+
+def _gap(text: str, at: int) -> int:
+    """The first place from ``at`` on with white space, or the end."""
+    found = re.compile(r"[\t-\r \xa0]").search(text, at)
+    return found.start() if found else len(text)
+
+
+def matches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of the matches in lower-cased Latin-1 text, and which bytes lie in one."""
+    text = np.frombuffer(data, np.uint8)
+    kind = _KIND[text]
+    new = np.ones(len(text), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+    quotes = np.flatnonzero((text[:-1] == 0x27) & new[:-1])
+    if len(quotes):
+        one, two = text[quotes + 1], text[np.minimum(quotes + 2, len(text) - 1)]
+        pair = np.zeros(len(quotes), bool)
+        for a, b in _LONG:
+            pair |= (one == a) & (two == b) & (quotes + 2 < len(text))
+        for found, size in ((_SHORT[one], 2), (pair, 3)):
+            new[quotes[found] + 1] = False
+            after = quotes[found] + size
+            new[after[after < len(text)]] = True
+    first = np.flatnonzero(new)
+    size = np.diff(first, append=len(text))
+    word = kind[first] != _GAP
+    return first[word], size[word], kind != _GAP
 
 
 class WordEncoder:
@@ -38,37 +76,98 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        # The names of special tokens are ordinary text where a document has them.
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
         suffix, vocabulary = model["end_of_word_suffix"], model["vocab"]
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in whole["added_tokens"]) or r"(?!)", re.I)
+        self.ends = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
         self.ends[[v for k, v in vocabulary.items() if k.endswith(suffix)]] = True
         self.words = TwoGenerations(self._word, WORDS // 3)
 
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def _whole(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self._ids(text)).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        return self._whole(word)
+    def _word(self, word: bytes) -> bytes:
+        return self._whole(word.decode("latin-1"))
 
-    def _learn(self, fresh: list[str]) -> None:
+    def _learn(self, fresh: list[bytes]) -> None:
         """Let the library encode these matches in one call."""
-        ids = np.array(self.library.encode(" ".join(fresh), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self._ids(b" ".join(fresh).decode("latin-1")), np.uint32)
         ends = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
         if len(ends) == len(fresh) + 1:  # always so far; else words are encoded one by one
             data = ids.tobytes()
             self.words.put_all(fresh, [data[i:j] for i, j in zip(ends, ends[1:], strict=False)])
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers, without an end id."""
-        splits = [None if _PLAIN.search(t) else _MATCH.findall(t.lower()) for t in texts]
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        """Ids of plain texts that make up one round."""
+        data = "\n".join(parts).encode("latin-1").translate(_LOWER)
+        until = np.cumsum([len(p) + 1 for p in parts])
+        first, size, used = matches(data)
+        if not len(first):
+            return [b""] * len(parts)
+        offsets = np.zeros(len(size) + 1, np.int32)
+        np.cumsum(size, out=offsets[1:])
+        words = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.frombuffer(data, np.uint8)[used])]).dictionary_encode()
+        distinct, number = words.dictionary.to_pylist(), words.indices.to_numpy()
         memo = self.words
-        fresh = [w for w in set().union(*[s for s in splits if s is not None]) if w not in memo and w not in memo.old]
+        fresh = [w for w in distinct if w not in memo and w not in memo.old]
         if fresh:
             self._learn(fresh)
-        return [self._whole(t) if s is None else b"".join(map(memo.__getitem__, s)) for t, s in zip(texts, splits, strict=True)]
+        known = list(map(memo.__getitem__, distinct))
+        count = np.array([len(k) // 4 for k in known])
+        start = np.cumsum(count) - count
+        each = count[number]
+        total = np.cumsum(each)
+        out = np.frombuffer(b"".join(known), np.uint32)[np.repeat(start[number] - (total - each), each) + np.arange(total[-1])].tobytes()
+        ends = np.concatenate([[0], total])[np.searchsorted(first, until)] * 4
+        return [out[i:j] for i, j in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers, without an end id."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        owners, parts, held = [], [], 0
+
+        def flush() -> None:
+            for k, ids in zip(owners, self._encode(parts), strict=True):
+                out[k].append(ids)
+            owners.clear()
+            parts.clear()
+
+        for k, text in enumerate(texts):
+            if _PLAIN.search(text) or "<" in text and self.special.search(text):
+                out[k].append(self._whole(text))
+                continue
+            at = 0
+            while at < len(text):
+                end = _gap(text, at + ROUND) if len(text) - at > ROUND else len(text)
+                owners.append(k)
+                parts.append(text[at:end])
+                held += end - at
+                at = end
+                if held >= ROUND:
+                    flush()
+                    held = 0
+        if parts:
+            flush()
+        return [b"".join(x) for x in out]
+
+
+def grouped(rows: Iterator[list[list]], limit: int = ROUND) -> Iterator[list[list]]:
+    """Rows (their last column holds texts) of several batches together, until the texts reach ``limit`` characters."""
+    held: list[list] = []
+    size = 0
+    for columns in rows:
+        held = [a + b for a, b in zip(held, columns, strict=True)] if held else columns
+        size += sum(map(len, columns[-1]))
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 @functools.cache

@@ -4,7 +4,7 @@ import hashlib
 import io
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sieveline.llm import bpe, packing, tokenfile, wordbpe
-from sieveline.llm.common import TwoGenerations, new_folder
+from sieveline.llm.common import TwoGenerations, new_folder, written
 
 from .conftest import ODD
 
@@ -29,9 +29,7 @@ def library():
 
 @pytest.fixture(scope="session")
 def words():
-    t = Tokenizer.from_file(public_tokenizers.path(wordbpe.VOCABULARY))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(wordbpe.VOCABULARY))
 
 
 def test_byte_bpe_equals_the_library(library, rows_of):
@@ -86,6 +84,18 @@ def test_word_bpe_equals_the_library(words, rows_of):
         assert np.frombuffer(ids, "<u4").tolist() == words.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+def test_word_bpe_of_special_tokens_quotes_and_rounds(words, monkeypatch):
+    rng, own = random.Random(3), wordbpe.encoder()
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "<|ENDOFTEXT|>x", "''''s'", "'", "'r", "it's 'tis 'status we'll've 'v"]
+    texts += ["".join(rng.choice("'stmdrevl aB1²?!.\xa0\n\té×<|") for _ in range(rng.randrange(60))) for _ in range(2_000)]
+    texts.append(" ".join(texts[7:400]))  # far longer than a round below
+    assert words.encode(texts[0], add_special_tokens=False).ids == [320, 49407, 321]
+    want = [words.encode(t, add_special_tokens=False).ids for t in texts]
+    for limit in (1 << 21, 40):
+        monkeypatch.setattr(wordbpe, "ROUND", limit)
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in own.encode_all(texts)] == want
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("abAB '.0123 \n\té漢ßÀ\xad\xaa²"), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_word_bpe_of_any_text(text):
@@ -123,17 +133,41 @@ def test_shards_come_back(kind):
         tokenfile.ShardReader(io.BytesIO(stream.getvalue()[:-3]), len(stream.getvalue()) - 3)
 
 
+def check_files(got, docs, words):
+    """Ascending doc_ids (null first), no gaps, and of each doc_id the right documents in any order."""
+    got = sorted(map(tuple, got), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted((r[0] for r in got), key=lambda k: (k is not None, k or 0))
+    at = 0
+    for _, start, n, _ in got:
+        assert start == at
+        at += n
+    ids = {t: np.array(words.encode(t, add_special_tokens=False).ids + [1], "<u4") for t in {t or "" for _, t in docs}}
+    want = [(k, len(ids[t or ""]), zlib.crc32(ids[t or ""].tobytes())) for k, t in docs]
+    assert sorted(((k, n, crc) for k, _, n, crc in got), key=str) == sorted(want, key=str)
+
+
 def test_token_files_query(spark, odd, none, words):
-    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in tokenfile.read_shards(tokenfile.write_shards(odd, new_folder(spark, "t"))).collect())
-    want, start = [], 0
-    for r in sorted(odd.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "")):
-        ids = np.array(words.encode(r["text"] or "", add_special_tokens=False).ids + [1], "<u4")
-        want.append((start, r["doc_id"], len(ids), zlib.crc32(ids.tobytes())))
-        start += len(ids)
-    assert got == want
+    check_files(tokenfile.read_shards(tokenfile.write_shards(odd, new_folder(spark, "t"))).collect(), [(r["doc_id"], r["text"]) for r in odd.collect()], words)
     assert tokenfile.read_shards(tokenfile.write_shards(none, new_folder(spark, "t"))).count() == 0
 
 
+def test_a_frequent_id_is_spread_over_shards_and_groups(spark, words):
+    rows = [(7 if k % 4 else k, f"text {k % 50}", 1) for k in range(4_000)] + [(None, None, 1)] * 4_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if the shards were large
+    try:
+        manifest = tokenfile.write_shards(docs, new_folder(spark, "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["n_docs"] for r in manifest.collect()) < 4_000 and manifest.count() > 2
+    check_files(tokenfile.read_shards(manifest).collect(), [r[:2] for r in rows], words)
+    ids = {t: words.encode(t or "", add_special_tokens=False).ids + [1] for _, t, _ in rows}
+    packed = packing.pack(written(packing.cut_documents(docs), "pieces"), group_pieces=500).collect()
+    check_packed(packed, [(k, ids[t]) for k, t, _ in rows], 4096)
+    assert len({r["sequence_id"] >> 32 for r in packed}) == 16
+    assert max(Counter(r["sequence_id"] >> 32 for r in packed).values()) < 700
+
+
 def brute_sum_of_squares(lengths, capacity):
     """Sequence sizes by trying every gap for every piece."""
     gaps = defaultdict(int)
