@@ -8,13 +8,18 @@ chunks share such a key, and that is all pairs that count as near. ``SIZES`` has
 The stages, none of which brings a group to one task or the driver:
 
 1. Equal sets are one from here on, represented by their smallest doc_id (combined before the exchange).
-2. Keys that several sets have are buckets. A bucket of many sets is cut into blocks, and each pair of blocks is a cell of
-   its own. A cell links sets whose signatures differ in at most ``near`` places, by a spanning forest and not pair by pair.
+2. Keys that several sets have are buckets. A bucket is cut into blocks of about ``BLOCK`` sets, and each block links the
+   sets whose signatures differ in at most ``near`` places by a spanning forest. Blocks are cut differently for each key,
+   so that a large group of near copies is one component after that. Only in buckets where it is not, the sets outside the
+   bucket's largest component also meet the other blocks (``_rest_in_cells``).
 3. The components of these links are clusters: linked documents lie in one cluster, and most clusters are small.
-4. The full sets of a cluster's members meet in cells of at most two blocks. Pairs near in signature are confirmed on the
-   full sets, nearest first; pairs already known to be connected need no confirmation. Cells give spanning forests again.
+4. The full sets of a small cluster meet in one cell: pairs near in signature are confirmed, nearest first; pairs already
+   known to be connected need no confirmation. A large cluster has a hub, the member nearest to the most frequent
+   signature; every member is compared with the hub, and only members that are not linked to it meet the others.
 5. The components of the confirmed links are the result.
 
+A row is so copied into as many cells as its group has blocks only if it stays outside the group's largest part.
+
 By the binomial distribution, 8 of a million pairs at similarity 0.85 differ in more than ``near`` places, with the size for 0.8
 5 of 10 million pairs at 0.8; of closer pairs fewer.
 """
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import TwoGenerations, rows_of, short_batches, table, text_or_empty, written
@@ -47,8 +52,8 @@ class Size(NamedTuple):
 #: By the least percentage that they serve; ``near`` is five standard deviations above the mean there.
 SIZES = {85: Size(72, 13, 25), 80: Size(128, 25, 49)}
 PLACES, CHUNKS, NEAR = SIZES[PERCENT]
-#: Sets in a block of a bucket or cluster; a cell holds two blocks at most.
-BLOCK = 1_500
+#: Sets in a block of a bucket or cluster, on average; a cell holds two blocks at most.
+BLOCK = 400
 
 _RNG = np.random.default_rng(20_240_229)
 _MOST = max(size.places for size in SIZES.values())
@@ -181,13 +186,26 @@ def _keys(sets: DataFrame, size: Size) -> DataFrame:
     return sets.select("rep", "sig").mapInArrow(run, "key long, rep long")
 
 
-def _in_cells(rows: DataFrame, group: str, size: str, *columns: str) -> DataFrame:
-    """Rows dealt to cells: a group of ``size`` rows is cut into blocks, and every pair of blocks is a cell."""
-    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.least(F.col("mine"), other) * F.col("blocks") + F.greatest(F.col("mine"), other))
-    dealt = rows.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("cell", F.explode(cells)).select(F.col(group).alias("g"), "cell", "rep", *columns)
-    return dealt.repartition("g", "cell").sortWithinPartitions("g", "cell", "rep")
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select("g", "cell", "rep", *columns).repartition("g", "cell").sortWithinPartitions("g", "cell", "rep")
+
+
+def _blocks(size: Column) -> Column:
+    return F.ceil(size / BLOCK).cast("int")
+
+
+def _rest_in_cells(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` (g, rep, main) of groups whose main part is known to be connected, dealt to cells so that every pair but those
+    of the main part meets: the main part lies in blocks, the rest meets each of them, and the rest's own blocks meet in
+    pairs. Groups without a rest take no part."""
+    sizes = rows.groupBy("g").agg(F.count_if("main").alias("n_main"), F.count_if(~F.col("main")).alias("n_rest")).where("n_rest > 0")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(1 << 30)).cast("int"))
+    counted = salted.join(sizes, "g").withColumns({"of_main": _blocks(F.col("n_main")), "of_rest": _blocks(F.col("n_rest"))})
+    mine = F.when(F.col("main"), F.col("salt") % F.greatest("of_main", F.lit(1))).otherwise(F.col("salt") % F.greatest("of_rest", F.lit(1)))
+    with_main = F.when(F.col("of_main") > 0, F.transform(F.sequence(F.lit(0), F.greatest("of_main", F.lit(1)) - 1), lambda b: -1 - b)).otherwise(F.array().cast("array<int>"))
+    among = F.transform(F.sequence(F.lit(0), F.greatest("of_rest", F.lit(1)) - 1), lambda other: F.least("mine", other) * F.col("of_rest") + F.greatest("mine", other))
+    cells = F.when(F.col("main"), F.array(-1 - F.col("mine"))).otherwise(F.concat(with_main, among))
+    return _dealt(counted.withColumn("mine", mine).withColumn("cell", F.explode(cells)), "main", *columns)
 
 
 def _cells(batches: Iterator, *columns: str) -> Iterator[tuple[list, ...]]:
@@ -215,39 +233,92 @@ def _links_out(pa, pairs: list[tuple[int, int]]):
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _forests(batches: Iterator, size: Size) -> Iterator:
+    """Links of each cell of (rep, sig[, main]): a spanning forest of the pairs near in signature, without known ones."""
+    import pyarrow as pa
+
+    out: list[tuple[int, int]] = []
+    told: set[tuple[int, int]] = set()
+    for reps, sigs, mains in _cells(batches, "rep", "sig", "main"):
+        if len(reps) < 2:
+            continue
+        forest, found = _known(mains), []
+        for k, close, _ in near_pairs(np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, size.places), size.near):
+            found += [(reps[k], reps[j]) for j in close.tolist() if forest.join(k, j)]
+        fresh = [p for p in found if p not in told]
+        if len(told) > 200_000:
+            told.clear()
+        told.update(fresh)
+        out += fresh
+        if len(out) > 20_000:
+            yield _links_out(pa, out)
+            out = []
+    if out:
+        yield _links_out(pa, out)
+
+
+def _known(mains: list[bool]) -> Forest:
+    """A forest in which the main part is one tree."""
+    forest = Forest(len(mains))
+    main = [k for k, m in enumerate(mains) if m]
+    for k in main[1:]:
+        forest.up[k] = main[0]
+    return forest
+
+
 def near_signatures(sets: DataFrame, size: Size = SIZES[PERCENT]) -> DataFrame:
-    """Links (a, b) that connect all sets that share a key and differ in at most ``near`` places; ``sets``: (rep, sig)."""
-    near = size.near
+    """(node, component) that connects all sets that share a key and differ in at most ``near`` places; ``sets``: (rep, sig)."""
     full = written(_keys(sets, size).groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    rows = _keys(sets, size).join(full, "key").join(sets.select("rep", "sig"), "rep")
+    rows = _keys(sets, size).join(full, "key")
+    block = F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("rep", "key"), _blocks(F.col("size")))).otherwise(0).cast("int")
+    cells = rows.join(sets.select("rep", "sig"), "rep").select(F.col("key").alias("g"), block.alias("cell"), "rep", "sig", F.lit(False).alias("main"))
+    links = written(_dealt(cells, "sig", "main").mapInArrow(lambda batches: _forests(batches, size), "a long, b long").distinct(), "near")
+    found = components(links)
+    large = full.where(F.col("size") > BLOCK)
+    if large.isEmpty():
+        return found
+    # What blocks did not connect: in each large bucket, sets outside its largest component meet all others.
+    part = _keys(sets, size).join(large, "key").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("key").alias("g"), "rep", F.coalesce("component", "rep").alias("of"))
+    part = written(part, "parts")
+    per = part.groupBy("g", "of").agg(F.count("*").alias("n"))
+    most = per.groupBy("g").agg(F.max_by("of", F.struct("n", "of")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    rest = part.join(most, "g").select("g", "rep", (F.col("of") == F.col("most")).alias("main")).join(sets.select("rep", "sig"), "rep")
+    more = written(_rest_in_cells(rest, "sig").mapInArrow(lambda batches: _forests(batches, size), "a long, b long").distinct(), "near")
+    return found if more.isEmpty() else components(links.unionByName(more))
+
+
+def alike(small: np.ndarray, large: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, of two sorted sets."""
+    if len(small) > len(large):
+        small, large = large, small
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    shared = int(np.count_nonzero(large[at] == small))
+    return 100 * shared >= percent * (len(small) + len(large) - shared)
+
+
+def _linked_to_hub(members: DataFrame, size: Size, percent: int) -> DataFrame:
+    """(rep, g, hub, main) of the members (rep, g, size, set, sig) of large clusters, written: ``main`` where the member is
+    linked to its cluster's hub. Members lie in blocks, and what is known of a cluster is copied once for each block."""
+    rows = members.withColumn("cell", F.pmod(F.xxhash64("rep"), _blocks(F.col("size"))).cast("int"))
+    each_block = lambda df: df.withColumn("cell", F.explode(F.sequence(F.lit(0), _blocks(F.col("size")) - 1))).drop("size")
+    place = rows.select("g", "size", "sig", F.explode(F.sequence(F.lit(1), F.lit(size.places))).alias("p")).select("g", "size", "p", F.substring("sig", F.col("p"), F.lit(1)).alias("v"))
+    mode = place.groupBy("g", "size", "p", "v").agg(F.count("*").alias("n")).groupBy("g", "size", "p").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
+    usual = written(mode.groupBy("g", "size").agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("usual")), "usual")
+    apart = F.aggregate("usual", F.lit(0), lambda n, u: n + (F.substring("sig", u["p"], F.lit(1)) != u["v"]).cast("int"))
+    hub = rows.select("g", "cell", "rep", "sig").join(each_block(usual), ["g", "cell"]).groupBy("g").agg(F.min_by("rep", F.struct(apart, "rep")).alias("hub"))
+    hubs = written(rows.select("g", "rep", "size", "set").join(hub.withColumnRenamed("g", "of"), (F.col("g") == F.col("of")) & (F.col("rep") == F.col("hub"))).groupBy("g", "size", "hub").agg(F.min("set").alias("hub_set")), "hubs")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        out: list[tuple[int, int]] = []
-        told: set[tuple[int, int]] = set()
-        for reps, sigs in _cells(batches, "rep", "sig"):
-            if len(reps) < 2:
-                continue
-            if len(reps) == 2:
-                a, b = np.frombuffer(sigs[0], np.uint8), np.frombuffer(sigs[1], np.uint8)
-                found = [(reps[0], reps[1])] if np.count_nonzero(a != b) <= near else []
-            else:
-                forest, found = Forest(len(reps)), []
-                for k, close, _ in near_pairs(np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, size.places), near):
-                    found += [(reps[k], reps[j]) for j in close.tolist() if forest.join(k, j)]
-            fresh = [p for p in found if p not in told]
-            if len(told) > 200_000:
-                told.clear()
-            told.update(fresh)
-            out += fresh
-            if len(out) > 20_000:
-                yield _links_out(pa, out)
-                out = []
-        if out:
-            yield _links_out(pa, out)
+        for reps, g, hub, sets, hub_sets in rows_of(batches, "rep", "g", "hub", "set", "hub_set"):
+            main = [r == h or alike(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), percent) for r, h, s, t in zip(reps, hub, sets, hub_sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(g, pa.int64()), pa.array(hub, pa.int64()), pa.array(main)], ["rep", "g", "hub", "main"])
 
-    return _in_cells(rows, "key", "size", "sig").mapInArrow(run, "a long, b long").distinct()
+    return written(rows.select("g", "cell", "rep", "set").join(each_block(hubs), ["g", "cell"]).mapInArrow(run, "rep long, g long, hub long, main boolean"), "star")
 
 
 def confirmed_links(docs: DataFrame, clusters: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -256,7 +327,6 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, percent: int = PERCENT
     Members' texts come by a join on doc_id, and only their sets move on.
     """
     size = size_for(percent)
-    near = size.near
 
     def to_sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -265,21 +335,18 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, percent: int = PERCENT
             sets = [shingles(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(reps, pa.int64()), pa.array(cluster, pa.int64()), pa.array(members, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([signature(s, size.places) for s in sets], pa.binary())],
-                ["rep", "cluster", "size", "set", "sig"],
+                ["rep", "g", "size", "set", "sig"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("t"))
-    members = texts.join(clusters, "rep").where("length(t) > 0").mapInArrow(to_sets, "rep long, cluster long, size long, set binary, sig binary")
-
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for reps, sets, sigs in _cells(batches, "rep", "set", "sig"):
+        for reps, sets, sigs, mains in _cells(batches, "rep", "set", "sig", "main"):
             if len(reps) < 2:
                 continue
             own = [np.frombuffer(s, np.uint64) for s in sets]
-            forest, pairs = Forest(len(reps)), []
-            for k, close, apart in near_pairs(np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, size.places), near):
+            forest, pairs = _known(mains), []
+            for k, close, apart in near_pairs(np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, size.places), size.near):
                 pairs.append(np.stack([apart, np.full(len(close), k), close]))
             if not pairs:
                 continue
@@ -287,21 +354,27 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, percent: int = PERCENT
             every = every[1:, np.argsort(every[0], kind="stable")]
             found = []
             for a, b in every.T.tolist():
-                if forest.root(a) == forest.root(b):
-                    continue
-                small, large = (own[a], own[b]) if len(own[a]) <= len(own[b]) else (own[b], own[a])
-                if 100 * len(small) < percent * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                shared = int(np.count_nonzero(large[at] == small))
-                if 100 * shared >= percent * (len(small) + len(large) - shared):
+                if forest.root(a) != forest.root(b) and alike(own[a], own[b], percent):
                     forest.join(a, b)
                     found.append((reps[a], reps[b]))
             if found:
                 yield _links_out(pa, found)
 
-    return _in_cells(members, "cluster", "size", "set", "sig").mapInArrow(run, "a long, b long")
+    def members(of: DataFrame) -> DataFrame:
+        texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("t"))
+        return texts.join(of, "rep").where("length(t) > 0").mapInArrow(to_sets, "rep long, g long, size long, set binary, sig binary")
+
+    small = _dealt(members(clusters.where(F.col("size") <= BLOCK)).withColumns({"cell": F.lit(0), "main": F.lit(False)}), "set", "sig", "main")
+    links = small.mapInArrow(run, "a long, b long")
+    large = clusters.where(F.col("size") > BLOCK)
+    if large.isEmpty():
+        return links
+    stored = written(members(large), "members")
+    star = _linked_to_hub(stored, size, percent)
+    # A repeated doc_id has several rows here, which are one document: it is in the main part if one of them is.
+    known = star.groupBy("g", "rep").agg(F.bool_or("main").alias("main"))
+    rest = _rest_in_cells(stored.join(known, ["g", "rep"]), "set", "sig").mapInArrow(run, "a long, b long")
+    return links.unionByName(star.where("main and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))).unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -315,12 +388,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     usable = rows.where("same is not null and doc_id is not null")
     same = written(usable.groupBy("same").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")), "sets")
     # A doc_id that several sets represent (repeated rows with different texts) is one node of the graph.
-    close = components(near_signatures(same.select("rep", "sig"), size))
+    close = near_signatures(same.select("rep", "sig"), size)
     sizes = close.groupBy("component").agg(F.count("*").alias("size"))
     clusters = written(close.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "size"), "clusters")
-    # Rows of one doc_id are one document.
-    repeated = usable.groupBy("doc_id").agg(F.min("same").alias("x"), F.max("same").alias("y")).where("x <> y")
-    joined = repeated.join(same.select(F.col("same").alias("x"), F.col("rep").alias("a")), "x").join(same.select(F.col("same").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
+    # Rows of one doc_id are one document: each of its sets' representatives is linked to it.
+    repeated = usable.groupBy("doc_id").agg(F.min("same").alias("x"), F.max("same").alias("y")).where("x <> y").select("doc_id")
+    joined = usable.join(repeated, "doc_id").select("doc_id", "same").distinct().join(same.select("same", "rep"), "same").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(confirmed_links(docs, clusters, percent).unionByName(joined))
     of_set = same.join(found, same["rep"] == found["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     result = rows.select("doc_id", "n_shingles", "same").join(of_set, "same", "left")
