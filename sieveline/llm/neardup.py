@@ -194,13 +194,20 @@ def _blocks(size: Column) -> Column:
     return F.ceil(size / BLOCK).cast("int")
 
 
+def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` (g, rep, size) with what ``groups`` (g, size) tells of their group. A group's row is copied for each of its
+    blocks, so that the rows of a large group are dealt to several tasks."""
+    each = groups.withColumn("b", F.explode(F.sequence(F.lit(0), _blocks(F.col("size")) - 1))).drop("size")
+    return rows.withColumn("b", F.pmod(F.xxhash64("rep"), _blocks(F.col("size"))).cast("int")).join(each, ["g", "b"])
+
+
 def _rest_in_cells(rows: DataFrame, *columns: str) -> DataFrame:
-    """``rows`` (g, rep, main) of groups whose main part is known to be connected, dealt to cells so that every pair but those
+    """``rows`` (g, rep, size, main) of groups whose main part is known to be connected, dealt to cells so that every pair but those
     of the main part meets: the main part lies in blocks, the rest meets each of them, and the rest's own blocks meet in
     pairs. Groups without a rest take no part."""
-    sizes = rows.groupBy("g").agg(F.count_if("main").alias("n_main"), F.count_if(~F.col("main")).alias("n_rest")).where("n_rest > 0")
+    sizes = rows.groupBy("g", "size").agg(F.count_if("main").alias("n_main"), F.count_if(~F.col("main")).alias("n_rest")).where("n_rest > 0")
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(1 << 30)).cast("int"))
-    counted = salted.join(sizes, "g").withColumns({"of_main": _blocks(F.col("n_main")), "of_rest": _blocks(F.col("n_rest"))})
+    counted = _with_group(salted, sizes).withColumns({"of_main": _blocks(F.col("n_main")), "of_rest": _blocks(F.col("n_rest"))})
     mine = F.when(F.col("main"), F.col("salt") % F.greatest("of_main", F.lit(1))).otherwise(F.col("salt") % F.greatest("of_rest", F.lit(1)))
     with_main = F.when(F.col("of_main") > 0, F.transform(F.sequence(F.lit(0), F.greatest("of_main", F.lit(1)) - 1), lambda b: -1 - b)).otherwise(F.array().cast("array<int>"))
     among = F.transform(F.sequence(F.lit(0), F.greatest("of_rest", F.lit(1)) - 1), lambda other: F.least("mine", other) * F.col("of_rest") + F.greatest("mine", other))
@@ -278,11 +285,13 @@ def near_signatures(sets: DataFrame, size: Size = SIZES[PERCENT]) -> DataFrame:
     if large.isEmpty():
         return found
     # What blocks did not connect: in each large bucket, sets outside its largest component meet all others.
-    part = _keys(sets, size).join(large, "key").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("key").alias("g"), "rep", F.coalesce("component", "rep").alias("of"))
+    part = _keys(sets, size).join(large, "key").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("key").alias("g"), "rep", "size", F.coalesce("component", "rep").alias("of"))
     part = written(part, "parts")
-    per = part.groupBy("g", "of").agg(F.count("*").alias("n"))
-    most = per.groupBy("g").agg(F.max_by("of", F.struct("n", "of")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    rest = part.join(most, "g").select("g", "rep", (F.col("of") == F.col("most")).alias("main")).join(sets.select("rep", "sig"), "rep")
+    per = part.groupBy("g", "size", "of").agg(F.count("*").alias("n"))
+    most = written(per.groupBy("g", "size").agg(F.max_by("of", F.struct("n", "of")).alias("most"), F.count("*").alias("parts")).where("parts > 1"), "most")
+    if most.isEmpty():
+        return found
+    rest = _with_group(part, most).select("g", "rep", "size", (F.col("of") == F.col("most")).alias("main")).join(sets.select("rep", "sig"), "rep")
     more = written(_rest_in_cells(rest, "sig").mapInArrow(lambda batches: _forests(batches, size), "a long, b long").distinct(), "near")
     return found if more.isEmpty() else components(links.unionByName(more))
 
@@ -302,14 +311,12 @@ def alike(small: np.ndarray, large: np.ndarray, percent: int) -> bool:
 def _linked_to_hub(members: DataFrame, size: Size, percent: int) -> DataFrame:
     """(rep, g, hub, main) of the members (rep, g, size, set, sig) of large clusters, written: ``main`` where the member is
     linked to its cluster's hub. Members lie in blocks, and what is known of a cluster is copied once for each block."""
-    rows = members.withColumn("cell", F.pmod(F.xxhash64("rep"), _blocks(F.col("size"))).cast("int"))
-    each_block = lambda df: df.withColumn("cell", F.explode(F.sequence(F.lit(0), _blocks(F.col("size")) - 1))).drop("size")
-    place = rows.select("g", "size", "sig", F.explode(F.sequence(F.lit(1), F.lit(size.places))).alias("p")).select("g", "size", "p", F.substring("sig", F.col("p"), F.lit(1)).alias("v"))
+    place = members.select("g", "size", "sig", F.explode(F.sequence(F.lit(1), F.lit(size.places))).alias("p")).select("g", "size", "p", F.substring("sig", F.col("p"), F.lit(1)).alias("v"))
     mode = place.groupBy("g", "size", "p", "v").agg(F.count("*").alias("n")).groupBy("g", "size", "p").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
     usual = written(mode.groupBy("g", "size").agg(F.array_sort(F.collect_list(F.struct("p", "v"))).alias("usual")), "usual")
     apart = F.aggregate("usual", F.lit(0), lambda n, u: n + (F.substring("sig", u["p"], F.lit(1)) != u["v"]).cast("int"))
-    hub = rows.select("g", "cell", "rep", "sig").join(each_block(usual), ["g", "cell"]).groupBy("g").agg(F.min_by("rep", F.struct(apart, "rep")).alias("hub"))
-    hubs = written(rows.select("g", "rep", "size", "set").join(hub.withColumnRenamed("g", "of"), (F.col("g") == F.col("of")) & (F.col("rep") == F.col("hub"))).groupBy("g", "size", "hub").agg(F.min("set").alias("hub_set")), "hubs")
+    hub = _with_group(members.select("g", "rep", "size", "sig"), usual).groupBy("g").agg(F.min_by("rep", F.struct(apart, "rep")).alias("hub"))
+    hubs = written(members.select("g", "rep", "size", "set").join(hub.withColumnRenamed("g", "of"), (F.col("g") == F.col("of")) & (F.col("rep") == F.col("hub"))).groupBy("g", "size", "hub").agg(F.min("set").alias("hub_set")), "hubs")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -318,7 +325,7 @@ def _linked_to_hub(members: DataFrame, size: Size, percent: int) -> DataFrame:
             main = [r == h or alike(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), percent) for r, h, s, t in zip(reps, hub, sets, hub_sets, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(g, pa.int64()), pa.array(hub, pa.int64()), pa.array(main)], ["rep", "g", "hub", "main"])
 
-    return written(rows.select("g", "cell", "rep", "set").join(each_block(hubs), ["g", "cell"]).mapInArrow(run, "rep long, g long, hub long, main boolean"), "star")
+    return written(_with_group(members.select("g", "rep", "size", "set"), hubs).mapInArrow(run, "rep long, g long, hub long, main boolean"), "star")
 
 
 def confirmed_links(docs: DataFrame, clusters: DataFrame, percent: int = PERCENT) -> DataFrame:
