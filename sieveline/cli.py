@@ -31,6 +31,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--between", nargs=2, metavar=("MIN", "MAX"))
     p.add_argument("--box", help="MIN_LAT,MAX_LAT,MIN_LON,MAX_LON")
     p.add_argument("--radius", help="LAT,LON,METRES")
+    p.add_argument("--polygon", help="LAT,LON;LAT,LON;...")
+    p.add_argument("--outside", action="store_true", help="what lies outside the box, radius or polygon")
     p.add_argument("--query", help="text: words; vector: numbers with commas")
     p.add_argument("--tolerance", type=int, default=0)
     p.add_argument("--prefix", action="store_true")
@@ -62,10 +64,12 @@ def answer(index: FieldIndex, a: argparse.Namespace) -> DataFrame:
         return keys.key_enumerate(entries) if a.value is None else keys.key_filter(entries, a.value).orderBy("doc_id")
     if a.kind == "geo":
         if a.box:
-            return geo.geo_box(entries, *map(float, a.box.split(",")))
+            return geo.geo_box(entries, *map(float, a.box.split(",")), outside=a.outside)
         if a.radius:
-            return geo.geo_radius(entries, *map(float, a.radius.split(",")))
-        raise SystemExit("geo filter needs --box or --radius")
+            return geo.geo_radius(entries, *map(float, a.radius.split(",")), outside=a.outside)
+        if a.polygon:
+            return geo.geo_polygon(entries, [tuple(map(float, v.split(","))) for v in a.polygon.split(";")], outside=a.outside)
+        raise SystemExit("geo filter needs --box, --radius or --polygon")
     if a.query is None:
         raise SystemExit("search needs --query")
     if a.kind == "text":

@@ -65,3 +65,37 @@ def quantised(vec: Column, low: Column, high: Column) -> Column:
     width = lambda b: F.when(b["hi"] > b["lo"], b["hi"] - b["lo"]).otherwise(b["hi"] + 1.0 - b["lo"])
     code = lambda x, b: F.least(F.greatest(F.round((x - b["lo"]) * 254.0 / width(b) - 127.0), F.lit(-127.0)), F.lit(127.0))
     return F.zip_with(vec, bounds, lambda x, b: code(x.cast("double"), b).cast("byte"))
+
+
+def _codes(a: Column, b: list[int], term) -> Column:
+    both = F.zip_with(a, F.array(*[F.lit(int(x)) for x in b]), lambda x, y: term(x.cast("int"), y))
+    return F.aggregate(both, F.lit(0), lambda s, x: s + x)
+
+
+def i8_l2(codes: Column, query: list[int]) -> Column:
+    """Squared Euclidean distance of byte codes, in whole numbers."""
+    return _codes(codes, query, lambda a, b: (a - b) * (a - b))
+
+
+def i8_dot(codes: Column, query: list[int]) -> Column:
+    return -_codes(codes, query, lambda a, b: a * b)
+
+
+def i8_cosine(codes: Column, query: list[int]) -> Column:
+    """1 less the cosine; 1 where either vector is zero."""
+    own = F.aggregate(F.transform(codes, lambda a: a.cast("int") * a.cast("int")), F.lit(0), lambda s, x: s + x)
+    size = sum(x * x for x in query)
+    if size == 0:
+        return F.when(codes.isNotNull(), F.lit(1.0))
+    product = _codes(codes, query, lambda a, b: a * b)
+    return F.when(own == 0, F.lit(1.0)).otherwise(F.lit(1.0) - product / F.sqrt(F.nullif(own, F.lit(0)).cast("double") * float(size)))
+
+
+I8_METRICS = {"l2": i8_l2, "dot": i8_dot, "cosine": i8_cosine}
+
+
+def quantise(vector: list[float], low: list[float], high: list[float]) -> list[int]:
+    """``quantised`` for one vector on the driver."""
+    width = [b - a if b > a else b + 1.0 - a for a, b in zip(low, high, strict=True)]
+    half_up = lambda x: math.floor(x + 0.5) if x >= 0 else -math.floor(-x + 0.5)
+    return [int(min(127, max(-127, half_up((x - a) * 254.0 / w - 127.0)))) for x, a, w in zip(vector, low, width, strict=True)]

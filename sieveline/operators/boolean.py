@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def sort_order(descending: bool = False) -> list[Column]:
+    """False before true, doc_ids ascending in each; all reversed if descending."""
+    return [F.col("value").desc(), F.col("doc_id").desc()] if descending else [F.col("value").asc(), F.col("doc_id").asc()]
+
+
 def bool_filter(entries: DataFrame, value: bool, order: str | None = None) -> DataFrame:
     """Distinct doc_ids; ``order`` is asc, desc or None."""
     found = entries.where(F.col("value") == value).select("doc_id").distinct()
@@ -13,6 +18,6 @@ def bool_filter(entries: DataFrame, value: bool, order: str | None = None) -> Da
 
 
 def bool_sort(entries: DataFrame, descending: bool = False) -> DataFrame:
-    """False before true, doc_ids ascending in each; all reversed if descending."""
+    """(doc_id, value), distinct, in ``sort_order``."""
     rows = entries.where("value is not null").select("doc_id", "value").distinct()
-    return rows.orderBy(F.col("value").desc(), F.col("doc_id").desc()) if descending else rows.orderBy("value", "doc_id")
+    return rows.orderBy(*sort_order(descending))

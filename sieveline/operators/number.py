@@ -53,14 +53,24 @@ def _total_order(descending: bool) -> list[Column]:
     return [F.col("value").desc(), zero.asc()] if descending else [F.col("value").asc(), zero.desc()]
 
 
+def sort_order(entries: DataFrame, descending: bool = False) -> list[Column]:
+    """By value, then doc_id, both descending if so."""
+    is_double = dict(entries.dtypes)["value"] in ("double", "float")
+    order = _total_order(descending) if is_double else [F.col("value").desc() if descending else F.col("value").asc()]
+    return [*order, F.col("doc_id").desc() if descending else F.col("doc_id").asc()]
+
+
 def number_sort(entries: DataFrame, descending: bool = False) -> DataFrame:
     """(doc_id, value) by value, then doc_id, both descending if so; repeats stay."""
-    order = _total_order(descending) if dict(entries.dtypes)["value"] in ("double", "float") else [F.col("value").desc() if descending else F.col("value").asc()]
-    return entries.where("value is not null").select("doc_id", "value").orderBy(*order, F.col("doc_id").desc() if descending else F.col("doc_id").asc())
+    return entries.where("value is not null").select("doc_id", "value").orderBy(*sort_order(entries, descending))
 
 
 def number_sort_grouped(entries: DataFrame, descending: bool = False) -> DataFrame:
-    """(value, doc_ids): one row for each value; ids ascending, or descending with the values."""
+    """(value, doc_ids): one row for each value; ids ascending, or descending with the values.
+
+    A row holds all ids of a value, so that a very frequent value needs a task that can hold them; ``number_sort`` is the
+    same order in long form, without that need.
+    """
     rows = entries.where("value is not null")
     is_double = dict(entries.dtypes)["value"] in ("double", "float")
     groups = rows.withColumn("z", is_negative_zero(F.col("value")) if is_double else F.lit(False)).groupBy("value", "z").agg(F.collect_set("doc_id").alias("ids"))

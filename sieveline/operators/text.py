@@ -17,7 +17,7 @@ from sieveline.functions import scoring as S
 from sieveline.operators.ids import only, without
 from sieveline.schema import MAX_FIELD_LENGTH
 
-#: Tokens from this number on count for no match in min_match, as bits of a mask once did.
+#: min_match counts the matches of the first MASKED tokens of a query only.
 MASKED = 32
 
 
@@ -51,16 +51,20 @@ class Search:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """``postings_where`` gives the postings whose term meets a condition; ``lengths`` has all documents."""
+    """``postings_where`` gives the postings whose term meets a condition; ``lengths`` has all documents. ``terms`` (term) has
+    the distinct terms of a stored index, which prefix and fuzzy searches look at instead of all postings; ``known_stats``
+    is its (n_docs, n_tokens) where nothing hides a document."""
 
     postings_where: Callable[[Callable[[Column], Column]], DataFrame]
     lengths: DataFrame
     removed: DataFrame | None = field(default=None)
+    terms: DataFrame | None = field(default=None)
+    known_stats: tuple[int, int] | None = field(default=None)
 
     @staticmethod
     def of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: Callable[[Column], Column] = tokens, stemmer: Callable[[Column], Column] | None = None) -> TextIndex:
         """An index over documents that is computed when asked for. Null texts are not indexed. A stem stands beside its
-        token, so that both are found at the same place."""
+        token, so that both are found at the same place; a token whose stem is null has none."""
         rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), tokenizer(F.col(text)).alias("tokens"))
 
         def postings(condition: Callable[[Column], Column]) -> DataFrame:
@@ -68,22 +72,27 @@ class TextIndex:
             if stemmer is not None:
                 stems = F.transform("tokens", lambda t, i: F.struct(stemmer(t).alias("term"), i.alias("pos"), F.lit(True).alias("stem")))
                 placed = F.concat(placed, stems)
-            hits = rows.select("doc_id", F.explode(F.filter(placed, lambda p: condition(p["term"]))).alias("p")).select("doc_id", "p.*")
+            hits = rows.select("doc_id", F.explode(F.filter(placed, lambda p: p["term"].isNotNull() & condition(p["term"]))).alias("p")).select("doc_id", "p.*")
             place = lambda stem: F.sort_array(F.collect_list(F.when(F.col("stem") == stem, F.col("pos"))))
             return hits.groupBy("term", "doc_id").agg(place(False).alias("exact"), place(True).alias("stemmed"))
 
         return TextIndex(postings, rows.select("doc_id", F.least(F.size("tokens"), F.lit(MAX_FIELD_LENGTH)).alias("field_length")))
 
     @staticmethod
-    def stored(postings: DataFrame, lengths: DataFrame, removed: DataFrame | None = None) -> TextIndex:
-        """An index read from tables; conditions on terms reach the scan."""
-        return TextIndex(lambda condition: without(postings.where(condition(F.col("term"))), removed), without(lengths, removed), removed)
+    def stored(postings: DataFrame, lengths: DataFrame, removed: DataFrame | None = None, terms: DataFrame | None = None, known_stats: tuple[int, int] | None = None) -> TextIndex:
+        """An index read from tables; conditions on terms reach the scan. Postings may have a column field_length, which saves
+        the join with ``lengths``."""
+        found = lambda condition: without(postings.where(condition(F.col("term"))), removed)
+        return TextIndex(found, without(lengths, removed), removed, terms, None if removed is not None else known_stats)
 
     def postings(self) -> DataFrame:
         return self.postings_where(lambda term: F.lit(True))
 
     def stats(self) -> DataFrame:
         """One row: documents, tokens, average length."""
+        if self.known_stats is not None:
+            n_docs, n_tokens = self.known_stats
+            return self.lengths.sparkSession.range(1).select(F.lit(n_docs).cast("long").alias("n_docs"), F.lit(n_tokens).cast("long").alias("n_tokens"), F.lit(n_tokens / n_docs if n_docs else 0.0).alias("avg_length"))
         total = F.coalesce(F.sum(F.col("field_length").cast("long")), F.lit(0).cast("long"))
         return self.lengths.agg(F.count("*").alias("n_docs"), total.alias("n_tokens")).withColumn("avg_length", F.when(F.col("n_docs") > 0, F.col("n_tokens") / F.nullif("n_docs", F.lit(0))).otherwise(0.0))
 
@@ -103,11 +112,16 @@ def matched(index: TextIndex, search: Search, allowed: DataFrame | None = None)
             one = one | r
         return one
 
-    rows = only(index.postings_where(any_of), allowed)
+    if search.tolerance == 0 or index.terms is None:
+        rows = only(index.postings_where(any_of), allowed)
+    else:  # each distinct term is compared once; Spark broadcasts the terms found if they are few
+        rows = index.postings_where(lambda term: F.lit(True)).join(index.terms.where(any_of(F.col("term"))).select("term").distinct(), "term", "left_semi")
+        rows = only(rows, allowed)
     each = F.array(*[F.when(search.matches(F.col("term"), t), F.lit(i)) for i, t in enumerate(search.tokens)])
     rows = rows.withColumn("token_idx", F.explode(F.filter(each, lambda i: i.isNotNull())))
     token = F.element_at(F.array(*map(F.lit, search.tokens)), F.col("token_idx") + 1)
-    return rows.select("token_idx", "term", (F.col("term") == token).alias("is_exact"), "doc_id", "exact", "stemmed")
+    length = ["field_length"] if "field_length" in rows.columns else []
+    return rows.select("token_idx", "term", (F.col("term") == token).alias("is_exact"), "doc_id", "exact", "stemmed", *length)
 
 
 def document_frequency(rows: DataFrame) -> DataFrame:
@@ -122,7 +136,8 @@ def contributions(index: TextIndex, search: Search, allowed: DataFrame | None =
 
 def _contributions(rows: DataFrame, index: TextIndex, search: Search) -> DataFrame:
     tf = F.size("exact") if search.exact_match else F.size("exact") + F.size("stemmed")
-    rows = rows.withColumn("tf", tf).where("tf > 0").join(index.lengths, "doc_id", "left").crossJoin(F.broadcast(index.stats()))  # one row
+    rows = rows.withColumn("tf", tf).where("tf > 0")
+    rows = (rows if "field_length" in rows.columns else rows.join(index.lengths, "doc_id", "left")).crossJoin(F.broadcast(index.stats()))  # one row
     ntf = S.normalised_tf(F.col("tf"), F.coalesce("field_length", F.lit(0)), F.col("avg_length"), search.b)
     ntf = ntf * F.lit(search.boost) * F.when(F.col("is_exact"), F.lit(search.exact_boost)).otherwise(F.lit(1.0))
     return rows.groupBy("token_idx", "doc_id").agg(F.sum(ntf).alias("ntf"))

@@ -9,15 +9,20 @@ from sieveline.functions.vectors import distance
 from sieveline.operators.ids import only
 
 
-def knn(entries: DataFrame, query: list[float], k: int, metric: str = "l2", allowed: DataFrame | None = None, dim: int | None = None) -> DataFrame:
-    """(doc_id, distance) of the k nearest documents by their nearest vector, ties by doc_id.
+def knn(entries: DataFrame, query: list[float], k: int, metric: str = "l2", allowed: DataFrame | None = None, dim: int | None = None, per_document: int | None = None) -> DataFrame:
+    """(doc_id, distance) of the k nearest documents by their nearest vector, ties by doc_id. The filter comes before the cut.
 
-    Each task keeps its own k best, so that only k rows of a task are exchanged. The filter comes before the cut.
+    Of the k * m nearest vectors, m being the most vectors that a document has (``per_document``; by default the greatest
+    ``ord``), the first k documents are exact. Each task keeps that many vectors of its own, and nothing else is exchanged.
     """
     if dim is not None and len(query) != dim:
         raise ValueError(f"the query has {len(query)} dimensions, the index {dim}")
+    if k <= 0:
+        return entries.select("doc_id", F.lit(0.0).alias("distance")).where(F.lit(False))
+    most = per_document or 1 + (entries.agg(F.max("ord")).first()[0] or 0)
     rows = only(entries, allowed).select("doc_id", distance(metric, F.col("vec"), query).alias("distance")).where("distance is not null")
-    return rows.groupBy("doc_id").agg(F.min("distance").alias("distance")).orderBy("distance", "doc_id").limit(k)
+    nearest = rows.orderBy("distance", "doc_id").limit(k * most)
+    return nearest.groupBy("doc_id").agg(F.min("distance").alias("distance")).orderBy("distance", "doc_id").limit(k)
 
 
 def calibration(entries: DataFrame) -> DataFrame:

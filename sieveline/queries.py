@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import geo as G
 from sieveline.operators import boolean, geo, ids, keys, number, text, vector
+from sieveline.operators.ann import AnnIndex
+from sieveline.operators.ranks import with_rank
+from sieveline.plans.index import FieldIndex
 from sieveline.schema import FieldSpec
 from sieveline.sources import ingest
 from sieveline.sources.oplog import hidden, live_view, visible
+from sieveline.sources.work import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,10 +52,16 @@ def _discounts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FINISHED = "SELECT o_orderkey AS doc_id, o_orderstatus = 'F' AS value FROM orders"
-for _name, _value, _order in (("bool_filter_true", True, None), ("bool_filter_false", False, None), ("bool_filter_desc", True, "desc")):
-    query(_name, f"SELECT DISTINCT doc_id FROM ({_FINISHED}) WHERE value = {str(_value).lower()}")(lambda s, d, v=_value, o=_order: boolean.bool_filter(_finished(s, d), v, o))
-query("bool_sort_asc", f"SELECT DISTINCT doc_id, value FROM ({_FINISHED}) ORDER BY value, doc_id")(lambda s, d: boolean.bool_sort(_finished(s, d)))
-query("bool_sort_desc", f"SELECT DISTINCT doc_id, value FROM ({_FINISHED}) ORDER BY value DESC, doc_id DESC")(lambda s, d: boolean.bool_sort(_finished(s, d), True))
+for _name, _value in (("bool_filter_true", True), ("bool_filter_false", False)):
+    query(_name, f"SELECT DISTINCT doc_id FROM ({_FINISHED}) WHERE value = {str(_value).lower()}")(lambda s, d, v=_value: boolean.bool_filter(_finished(s, d), v))
+# The check compares sets of rows: sorted results carry their rank.
+query("bool_filter_desc", f"SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS rank FROM (SELECT DISTINCT doc_id FROM ({_FINISHED}) WHERE value)")(lambda s, d: with_rank(boolean.bool_filter(_finished(s, d), True), F.col("doc_id").desc()))
+query("bool_sort_asc", f"SELECT doc_id, value, row_number() OVER (ORDER BY value, doc_id) AS rank FROM (SELECT DISTINCT doc_id, value FROM ({_FINISHED}))")(
+    lambda s, d: with_rank(boolean.bool_sort(_finished(s, d)), *boolean.sort_order())
+)
+query("bool_sort_desc", f"SELECT doc_id, value, row_number() OVER (ORDER BY value DESC, doc_id DESC) AS rank FROM (SELECT DISTINCT doc_id, value FROM ({_FINISHED}))")(
+    lambda s, d: with_rank(boolean.bool_sort(_finished(s, d), True), *boolean.sort_order(True))
+)
 query("bool_array_filter", "SELECT DISTINCT l_orderkey AS doc_id FROM lineitem WHERE l_discount > 0.05")(lambda s, d: boolean.bool_filter(_discounts(s, d), True))
 
 
@@ -78,15 +88,22 @@ query("num_f64_between", "SELECT DISTINCT o_orderkey AS doc_id, o_totalprice AS
     lambda s, d: number.number_filter(_prices(s, d), "between", 100000.0, 200000.0)
 )
 query("num_array_filter", "SELECT DISTINCT l_orderkey AS doc_id, l_quantity AS value FROM lineitem WHERE l_quantity >= 45")(lambda s, d: number.number_filter(_quantities(s, d), "gte", 45.0))
-query("num_sort_asc", "SELECT c_custkey AS doc_id, c_acctbal AS value FROM customer ORDER BY value, doc_id")(
-    lambda s, d: number.number_sort(_t(s, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_acctbal").alias("value")))
-)
-query("num_sort_desc", "SELECT c_custkey AS doc_id, c_acctbal AS value FROM customer ORDER BY value DESC, doc_id DESC")(
-    lambda s, d: number.number_sort(_t(s, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_acctbal").alias("value")), True)
-)
-query("num_sort_grouped", f"SELECT value, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS doc_ids FROM ({_SIZES}) GROUP BY value")(
-    lambda s, d: number.number_sort_grouped(_sizes(s, d)).select("value", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"))
+_BALANCES = "SELECT c_custkey AS doc_id, c_acctbal AS value FROM customer"
+
+
+def _balances(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_acctbal").alias("value"))
+
+
+query("num_sort_asc", f"SELECT *, row_number() OVER (ORDER BY value, doc_id) AS rank FROM ({_BALANCES})")(lambda s, d: with_rank(number.number_sort(_balances(s, d)), *number.sort_order(_balances(s, d))))
+query("num_sort_desc", f"SELECT *, row_number() OVER (ORDER BY value DESC, doc_id DESC) AS rank FROM ({_BALANCES})")(
+    lambda s, d: with_rank(number.number_sort(_balances(s, d), True), *number.sort_order(_balances(s, d), True))
 )
+for _down, _name in ((False, "num_sort_grouped"), (True, "num_sort_grouped_desc")):
+    _way = "DESC" if _down else "ASC"
+    query(_name, f"SELECT value, array_to_string(list_sort(list(DISTINCT doc_id), '{_way}'), ',') AS doc_ids, row_number() OVER (ORDER BY value {_way}) AS rank FROM ({_SIZES}) GROUP BY value")(
+        lambda s, d, down=_down: with_rank(number.number_sort_grouped(_sizes(s, d), down), F.col("value").desc() if down else F.col("value")).select("value", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"), "rank")
+    )
 query("num_json_props", "SELECT event_id AS doc_id, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50")(
     lambda s, d: number.number_filter(
         ingest.number_entries(_t(s, d, "events").select(F.col("event_id").alias("doc_id"), F.get_json_object("props", "$.k").alias("json")), number="long"), "gte", 50
@@ -137,6 +154,9 @@ for _name, _condition, _call in (
     _source = _POINTS.format(doc="event_id")
     query(_name, f"SELECT doc_id FROM ({_source}) WHERE {_condition}")(lambda s, d, f=_call: f(_points(s, d), False))
     query(_name.replace("geo_", "geo_outside_"), f"SELECT doc_id FROM ({_source}) WHERE NOT ({_condition})")(lambda s, d, f=_call: f(_points(s, d), True))
+for _name, _lat, _lon, _far in (("geo_radius_pole", 84.5, 100.0, 900_000.0), ("geo_radius_date_line", -10.0, 179.0, 1_500_000.0)):
+    _away = f"2 * {G.EARTH_METRES} * asin(sqrt(least(1.0, pow(sin(radians(lat - {_lat}) / 2), 2) + cos(radians({_lat})) * cos(radians(lat)) * pow(sin(radians(lon - {_lon}) / 2), 2))))"
+    query(_name, f"SELECT doc_id FROM ({_POINTS.format(doc='event_id')}) WHERE {_away} <= {_far}")(lambda s, d, q=(_lat, _lon, _far): geo.geo_radius(_points(s, d), *q))
 query("geo_multi_point", f"SELECT doc_id FROM ({_POINTS.format(doc='user_id')}) WHERE {_IN_BOX}")(lambda s, d: geo.geo_box(_points(s, d, "user_id"), *_BOX))
 
 
@@ -233,6 +253,11 @@ def text_exact_flag(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(text.search(index, text.Search(("an",), exact_match=True)))
 
 
+@query("text_boosted", _scored_sql(_query_sql("from", "heing"), boost="2.5 * CASE WHEN is_exact THEN 3.0 ELSE 1.0 END", tail=_ALL))
+def text_boosted(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(text.search(_index(spark, d), text.Search(("from", "heing"), boost=2.5)))
+
+
 @query("text_min_match", _scored_sql(_query_sql("the", "from", "heing"), tail=_ALL + " WHERE hit >= 3"))
 def text_min_match(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(text.search(_index(spark, d), text.Search(("the", "from", "heing"), min_match=3)))
@@ -310,7 +335,19 @@ for _metric in _DISTANCES:
 query("vec_filtered", _near_sql("cosine", "label = 3"))(
     lambda s, d: _near(vector.knn(_vectors(s, d), _QUERY, 10, "cosine", _t(s, d, "embeddings").where("label = 3").select(F.col("vec_id").alias("doc_id")), 64))
 )
-query("vec_multi", _near_sql("l2", doc="vec_id // 4"))(lambda s, d: _near(vector.knn(_vectors(s, d).withColumn("doc_id", F.expr("doc_id div 4")), _QUERY, 10, "l2")))
+query("vec_multi", _near_sql("l2", doc="vec_id // 4"))(
+    lambda s, d: _near(vector.knn(_vectors(s, d).withColumns({"ord": (F.col("doc_id") % 4).cast("int"), "doc_id": F.expr("doc_id div 4")}), _QUERY, 10, "l2"))
+)
+
+
+@query("vec_ann")
+def vec_ann(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate: no SQL gives the same rows; tests measure the recall."""
+    return _near(AnnIndex.build(_vectors(spark, d), work_folder(spark, "ann"), "l2").search(_QUERY, 10))
+
+
+query("vec_ann_all_cells", _near_sql("cosine"))(lambda s, d: _near(AnnIndex.build(_vectors(s, d), work_folder(s, "ann"), "cosine", cells=20).search(_QUERY, 10, probes=20, rescored=100_000)))
+
 
 
 @query("vec_calibration", "SELECT CAST(pos - 1 AS INTEGER) AS pos, round(min(x), 6) AS low, round(max(x), 6) AS high FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(1, 65)) AS pos FROM embeddings) GROUP BY pos")
@@ -393,5 +430,156 @@ def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 query("ids_union", f"{_LONG} UNION {_GOOD}")(lambda s, d: ids.ids_union(*_two(s, d)))
+query("ids_union_desc", f"SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS rank FROM ({_LONG} UNION {_GOOD})")(lambda s, d: with_rank(ids.ordered(ids.ids_union(*_two(s, d)), True), F.col("doc_id").desc()))
+query("ids_except_desc", f"SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS rank FROM ({_LONG} EXCEPT {_GOOD})")(lambda s, d: with_rank(ids.ordered(ids.ids_except(*_two(s, d)), True), F.col("doc_id").desc()))
 query("ids_except", f"{_LONG} EXCEPT {_GOOD}")(lambda s, d: ids.ids_except(*_two(s, d)))
 query("ids_intersect", f"{_LONG} INTERSECT {_GOOD}")(lambda s, d: ids.ids_intersect(*_two(s, d)))
+
+
+# -- JSON values: strict types, made alike in both engines from event ids
+
+
+def _json(spark: SparkSession, d: str, *cases: str) -> DataFrame:
+    """(doc_id, json): the case that event_id modulo their number names; each is SQL that both engines read alike."""
+    return _t(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.expr(_cases(cases)).alias("json"))
+
+
+def _cases(cases: tuple[str, ...]) -> str:
+    return "CASE event_id % {} {} END".format(len(cases), " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(cases)))
+
+
+_EVENT = "CAST(event_id AS STRING)"
+query("json_bool", "SELECT event_id AS doc_id, event_id % 6 = 0 AS value FROM events WHERE event_id % 6 IN (0, 1)")(
+    lambda s, d: ingest.bool_entries(_json(s, d, "'true'", "'false'", "'\"true\"'", "'1'", "'null'", "'[true]'"))
+)
+query("json_bool_array", "SELECT event_id AS doc_id, true AS value FROM events WHERE event_id % 4 IN (0, 1) UNION ALL SELECT event_id, false FROM events WHERE event_id % 4 = 0")(
+    lambda s, d: ingest.bool_entries(_json(s, d, "'[true, false, true]'", "'[true, 1, \"false\", null]'", "'[]'", "'true'"), is_array=True)
+)
+query("json_double", "SELECT event_id AS doc_id, CASE event_id % 5 WHEN 0 THEN event_id / 4 ELSE CAST(event_id AS DOUBLE) END AS value FROM events WHERE event_id % 5 IN (0, 1)")(
+    lambda s, d: ingest.number_entries(_json(s, d, "CAST(CAST(event_id / 4 AS DECIMAL(20, 2)) AS STRING)", _EVENT, f"concat('\"', {_EVENT}, '\"')", "'true'", "'{{}}'"))
+)
+query("json_number_array", "SELECT event_id AS doc_id, event_id AS value FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, event_id + 1 FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 7 FROM events WHERE event_id % 3 = 1")(
+    lambda s, d: ingest.number_entries(_json(s, d, f"concat('[', {_EVENT}, ', ', CAST(event_id + 1 AS STRING), ']')", "'[7, \"8\", 9.5, null]'", "'9'"), number="long", is_array=True)
+)
+query("json_key", "SELECT event_id AS doc_id, CASE event_id % 5 WHEN 0 THEN event_type ELSE '' END AS key FROM events WHERE event_id % 5 IN (0, 1)")(
+    lambda s, d: ingest.key_entries(_json(s, d, "concat('\"', event_type, '\"')", "'\"\"'", "'1'", "'null'", "'[\"a\"]'"))
+)
+query("json_key_accepted", "SELECT event_id AS doc_id, unnest(CASE event_id % 2 WHEN 0 THEN ['longer'] ELSE ['abcd', 'efgh'] END) AS key FROM events")(
+    lambda s, d: ingest.key_entries(_json(s, d, "'[\"longer\", \"a\", 5, \"longer\"]'", "'[\"abcd\", \"\", \"efgh\"]'"), is_array=True, accepts=lambda key: F.char_length(key) >= 4)
+)
+query("json_text", "SELECT event_id AS doc_id, CASE event_id % 4 WHEN 0 THEN 'One ' || event_type ELSE 'two three' END AS text FROM events WHERE event_id % 4 IN (0, 1)")(
+    lambda s, d: ingest.text_values(_json(s, d, "concat('[\"One\", \"', event_type, '\"]')", "'[\"two three\"]'", "'[\"two\", 3]'", "'\"two\"'"), is_array=True)
+)
+query("json_geo", "SELECT event_id AS doc_id, CAST(event_id % 90 AS DOUBLE) AS lat, -12.5 AS lon FROM events WHERE event_id % 5 = 0")(
+    lambda s, d: ingest.geo_entries(_json(s, d, "concat('{\"lat\": ', CAST(event_id % 90 AS STRING), ', \"lon\": -12.5}')", "'{\"lat\": \"1\", \"lon\": 2}'", "'{\"lat\": 91, \"lon\": 2}'", "'{\"lat\": 1}'", "'[1, 2]'"))
+)
+query("json_geo_array", "SELECT event_id AS doc_id, 1.0 AS lat, unnest([2.0, 4.0]) AS lon FROM events WHERE event_id % 2 = 0")(
+    lambda s, d: ingest.geo_entries(_json(s, d, "'[{\"lat\": 1, \"lon\": 2}, {\"lat\": 1, \"lon\": 200}, {\"lat\": 1.0, \"lon\": 4}]'", "'{\"lat\": 1, \"lon\": 2}'"), is_array=True)
+)
+
+
+# -- stored fields: rows are inserted, a third deleted, folded into a version, half of those inserted again and left in the log
+
+
+def _stored(spark: SparkSession, spec: FieldSpec, entries: DataFrame, changed: DataFrame | None = None) -> FieldIndex:
+    """``changed`` are the entries that come back; by default the same ones."""
+    index = FieldIndex(spark, work_folder(spark, spec.name), spec)
+    index.insert(entries)
+    index.delete(entries.where("doc_id % 3 = 0").select("doc_id").distinct())
+    index.compact(1)
+    index.insert((entries if changed is None else changed).where("doc_id % 6 = 0"))
+    return index
+
+
+_SEEN = "(doc_id % 3 <> 0 OR doc_id % 6 = 0)"
+_INDEXES: dict[str, Callable[[SparkSession, str], FieldIndex]] = {
+    "bool": lambda s, d: _stored(s, FieldSpec("bool", "bool"), _finished(s, d)),
+    "number": lambda s, d: _stored(s, FieldSpec("number", "number", number="long"), _sizes(s, d)),
+    "key": lambda s, d: _stored(s, FieldSpec("key", "key"), _t(s, d, "documents").where("source is not null").select("doc_id", F.col("source").alias("key"))),
+    "text": lambda s, d: _stored(s, FieldSpec("text", "text"), ingest.text_entries(_t(s, d, "documents"), text.tokens)),
+    "geo": lambda s, d: _stored(s, FieldSpec("geo", "geo"), _points(s, d)),
+    "vector": lambda s, d: _stored(s, FieldSpec("vector", "vector", dim=64, metric="l2"), _vectors(s, d)),
+}
+
+
+def _folded(index: FieldIndex) -> FieldIndex:
+    index.compact(2)
+    return index
+
+
+query("index_bool", f"SELECT DISTINCT doc_id FROM ({_FINISHED}) WHERE value AND {_SEEN}")(lambda s, d: boolean.bool_filter(_INDEXES["bool"](s, d).entries(), True))
+query("index_number", f"SELECT DISTINCT doc_id, value FROM ({_SIZES}) WHERE value BETWEEN 10 AND 20 AND {_SEEN}")(lambda s, d: number.number_filter(_INDEXES["number"](s, d).entries(), "between", 10, 20))
+query("index_number_folded", f"SELECT *, row_number() OVER (ORDER BY value, doc_id) AS rank FROM ({_SIZES}) WHERE {_SEEN}")(
+    lambda s, d: with_rank(number.number_sort(_folded(_INDEXES["number"](s, d)).entries()), "value", "doc_id")
+)
+query("index_key", f"SELECT DISTINCT doc_id FROM documents WHERE source = 'src3' AND {_SEEN}")(lambda s, d: keys.key_filter(_INDEXES["key"](s, d).entries(), "src3"))
+query("index_key_enumerate", f"SELECT DISTINCT source AS key FROM documents WHERE source IS NOT NULL AND {_SEEN}")(lambda s, d: keys.key_enumerate(_folded(_INDEXES["key"](s, d)).entries()))
+query("index_geo", f"SELECT doc_id FROM ({_POINTS.format(doc='event_id')}) WHERE {_AWAY} <= {_CENTRE[2]} AND {_SEEN}")(lambda s, d: geo.geo_radius(_INDEXES["geo"](s, d).entries(), *_CENTRE))
+query("index_geo_folded", f"SELECT doc_id FROM ({_POINTS.format(doc='event_id')}) WHERE NOT ({_IN_POLYGON}) AND {_SEEN}")(lambda s, d: geo.geo_polygon(_folded(_INDEXES["geo"](s, d)).entries(), _POLYGON, outside=True))
+query("index_vector", _near_sql("l2", "(vec_id % 3 <> 0 OR vec_id % 6 = 0)"))(lambda s, d: _near(vector.knn(_INDEXES["vector"](s, d).entries(), _QUERY, 10, "l2", dim=64)))
+query("index_vector_folded", _near_sql("cosine", "(vec_id % 3 <> 0 OR vec_id % 6 = 0)"))(lambda s, d: _near(vector.knn(_folded(_INDEXES["vector"](s, d)).entries(), _QUERY, 10, "cosine")))
+
+
+def _seen(sql: str) -> str:
+    """A query over documents, asked of those that are visible."""
+    return sql.replace("FROM documents WHERE text IS NOT NULL", f"FROM documents WHERE text IS NOT NULL AND {_SEEN}")
+
+
+query("index_text", _seen(SQL["text_exact"]))(lambda s, d: _rounded(text.search(_INDEXES["text"](s, d).text_index(), text.Search(("from", "heing")))))
+query("index_text_folded", _seen(SQL["text_phrase"]))(lambda s, d: _rounded(text.search(_folded(_INDEXES["text"](s, d)).text_index(), text.Search(("of", "the", "from"), phrase_boost=2.0))))
+query("index_text_prefix", _seen(SQL["text_prefix"]))(lambda s, d: _rounded(text.search(_folded(_INDEXES["text"](s, d)).text_index(), text.Search(("estio", "thti"), tolerance=None))))
+query("index_text_stats", _seen(SQL["text_corpus_stats"]))(lambda s, d: _folded(_INDEXES["text"](s, d)).text_index().stats().withColumn("avg_length", F.round("avg_length", 6)))
+
+# Before the second version: one segment of the rows that were not deleted, nothing carried along, the rest in the log.
+_COUNTS = "SELECT count(*) AS entries, count(DISTINCT doc_id) AS documents{more}, count(*) FILTER (doc_id % 6 = 0) AS pending_inserts, 0::BIGINT AS pending_deletes, 1 AS version, 1 AS segments, 0 AS deleted, '{kind}' AS kind FROM ({rows}) WHERE {seen}"
+for _kind, _rows, _more in (
+    ("bool", _FINISHED, ", count(*) FILTER (value) AS true_count, count(*) FILTER (NOT value) AS false_count"),
+    ("number", _SIZES, ""),
+    ("key", "SELECT doc_id, source AS key FROM documents WHERE source IS NOT NULL", ", count(DISTINCT key) AS unique_keys"),
+    ("geo", _POINTS.format(doc="event_id"), ""),
+    ("vector", "SELECT vec_id AS doc_id FROM embeddings", ", 64 AS dim, 'l2' AS metric"),
+):
+    query(f"index_info_{_kind}", _COUNTS.format(more=_more, kind=_kind, rows=_rows, seen=_SEEN))(lambda s, d, k=_kind: _INDEXES[k](s, d).info().drop("bytes"))
+query(
+    "index_info_text",
+    f"WITH toks AS (SELECT * FROM ({_TOKENS}) WHERE {_SEEN}), lengths AS (SELECT * FROM ({_LENGTHS}) WHERE {_SEEN}), p AS (SELECT DISTINCT term, doc_id FROM toks) "
+    "SELECT (SELECT count(*) FROM p) + (SELECT count(*) FROM lengths WHERE len = 0) AS entries, (SELECT count(*) FROM lengths) AS documents, (SELECT count(DISTINCT term) FROM p) AS unique_terms, "
+    "count(*) AS n_docs, CAST(sum(len) AS BIGINT) AS n_tokens, round(CAST(sum(len) AS DOUBLE) / count(*), 6) AS avg_length, "
+    "0::BIGINT AS pending_inserts, 0::BIGINT AS pending_deletes, 2 AS version, 1 AS segments, 0 AS deleted, 'text' AS kind FROM lengths",
+)(lambda s, d: _folded(_INDEXES["text"](s, d)).info().drop("bytes").withColumn("avg_length", F.round("avg_length", 6)))
+query("index_check", f"SELECT unnest(['bool', 'number', 'key', 'text', 'geo', 'vector']) AS kind, c.* FROM (SELECT unnest(['current', 'manifest', 'files', 'schema', 'rows', 'order', 'tombstones']) AS \"check\", 'ok' AS status) c")(
+    lambda s, d: _checks(s, d)
+)
+
+
+def _checks(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for kind, make in _INDEXES.items():
+        rows = make(spark, d).integrity_check().select(F.lit(kind).alias("kind"), "check", "status")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("index_versions", "SELECT * FROM (VALUES ('first', 1, 1, false), ('carried', 2, 2, true), ('applied', 3, 1, false), ('cleaned', 3, 1, false), ('opened again', 3, 1, false)) t(step, version, segments, tombstones)")
+def index_versions(spark: SparkSession, d: str) -> DataFrame:
+    """What each compaction leaves: a few deletes are carried along, many are applied, a cleanup changes nothing."""
+    root, spec, steps = work_folder(spark, "versions"), FieldSpec("n", "number", number="long"), []
+    index = FieldIndex(spark, root, spec)
+
+    def step(name: str, i: FieldIndex) -> None:
+        m = i.store.manifest()
+        steps.append((name, i.store.current(), len(m["segments"]), m["tombstones"] is not None))
+
+    index.insert(_sizes(spark, d))
+    index.compact(1)
+    step("first", index)
+    index.delete(_sizes(spark, d).where("doc_id % 20 = 0").select("doc_id"))
+    index.compact(2)
+    step("carried", index)
+    index.delete(_sizes(spark, d).where("doc_id % 3 = 0").select("doc_id"))
+    index.compact(3)
+    step("applied", index)
+    index.cleanup()
+    step("cleaned", index)
+    step("opened again", FieldIndex(spark, root, spec))
+    return spark.createDataFrame(steps, "step string, version int, segments int, tombstones boolean")

@@ -14,7 +14,8 @@ MAX_FIELD_LENGTH = 65_534
 
 @dataclass(frozen=True)
 class FieldSpec:
-    """A named field. ``number`` is ``long``, ``double`` or ``decimal`` (unsigned values above 2^63 - 1)."""
+    """A named field. ``number`` and ``ids`` are ``long`` or ``decimal`` (unsigned values above 2^63 - 1), ``number`` also
+    ``double``."""
 
     name: str
     kind: str
@@ -22,6 +23,7 @@ class FieldSpec:
     number: str = "double"
     dim: int = 0
     metric: str = "l2"
+    ids: str = "long"
     params: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -29,9 +31,15 @@ class FieldSpec:
             raise ValueError(f"kind is one of {KINDS}")
         if self.kind == "vector" and not 1 <= self.dim <= 4096:
             raise ValueError("dim lies between 1 and 4096")
+        if self.ids not in ("long", "decimal"):
+            raise ValueError("ids are long or decimal")
         if self.metric not in ("l2", "dot", "cosine"):
             raise ValueError("metric is l2, dot or cosine")
 
+    @property
+    def id_type(self) -> T.DataType:
+        return T.DecimalType(20, 0) if self.ids == "decimal" else T.LongType()
+
     @property
     def value_type(self) -> T.DataType:
         return {"long": T.LongType(), "double": T.DoubleType(), "decimal": T.DecimalType(20, 0)}[self.number]

@@ -1,9 +1,15 @@
 """Versions of a field on any Hadoop file system.
 
-    <root>/CURRENT                 format version and current version, replaced by a rename
-    <root>/ops/seq=<n>/            one batch of the operation log
+    <root>/current/<version>       the format version; the greatest version there is the current one
+    <root>/ops/seq=<n>/            one batch of the operation log, which counts once its _SUCCESS is there
     <root>/segments/<name>/        entries with their seq
+    <root>/lengths/<name>/         of a text segment: (doc_id, field_length, seq), a row for each document
+    <root>/terms/<name>/           of a text segment: (term, postings), a row for each distinct term
     <root>/versions/<v>.json       manifest: segments, tombstones, the last seq that it covers
+    <root>/streamed/<id>-<seq>     seqs reserved for a micro-batch of a stream
+
+Nothing is replaced: a pointer is a new file for each version, so that a reader at any moment finds a whole one, also where
+a rename doesn't replace.
     <root>/tombstones/<name>/      (doc_id, seq)
 """
 
@@ -46,7 +52,7 @@ class Store:
             stream.close()
 
     def write(self, text: str, *parts: str) -> None:
-        """Whole or not at all: written beside, then renamed over."""
+        """A new file, whole or not at all: written beside, then renamed. A file that a failed attempt left gives way."""
         temporary, final = self.path(*parts[:-1], f".{parts[-1]}.{uuid.uuid4().hex}"), self.path(*parts)
         stream = self.fs.create(temporary, True)
         try:
@@ -54,24 +60,31 @@ class Store:
         finally:
             stream.close()
         if not self.fs.rename(temporary, final):
+            if self.exists(*parts) and self.read(*parts) == text:
+                self.fs.delete(temporary, False)
+                return
             self.fs.delete(final, False)
             if not self.fs.rename(temporary, final):
-                raise OSError(f"could not replace {final}")
+                raise OSError(f"could not write {final}")
 
     def delete(self, *parts: str) -> None:
         self.fs.delete(self.path(*parts), True)
 
+    def pointers(self) -> list[str]:
+        return [n for n in self.names("current") if n.isdigit()]
+
     def current(self) -> int:
         """The current version; 0 before the first."""
-        if not self.exists("CURRENT"):
+        found = self.pointers()
+        if not found:
             return 0
-        form, version = self.read("CURRENT").split()
-        if int(form) != FORMAT:
+        form = self.read("current", found[-1]).strip()
+        if form != str(FORMAT):
             raise ValueError(f"format version {form} is not {FORMAT}")
-        return int(version)
+        return int(found[-1])
 
     def point(self, version: int) -> None:
-        self.write(f"{FORMAT}\n{version}\n", "CURRENT")
+        self.write(f"{FORMAT}\n", "current", f"{version:020d}")
 
     def manifest(self, version: int | None = None) -> dict:
         version = self.current() if version is None else version
@@ -88,6 +101,7 @@ class Store:
     def save(self, df: DataFrame, kind: str, sort: list[str], partitions: int | None = None) -> str:
         """Written clustered by ``sort``, so that row groups can be skipped; returns the path below the root."""
         name = f"{kind}/{uuid.uuid4().hex}"
+        # Rows that are equal in ``sort`` are told apart by doc_id, so that a frequent value is spread over files.
         dealt = df.repartitionByRange(*([partitions] if partitions else []), *sort).sortWithinPartitions(*sort) if sort else df
         dealt.write.parquet(f"{self.root}/{name}")
         return name

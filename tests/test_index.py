@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline import cli
-from sieveline.operators import boolean, text
+from sieveline.functions.vectors import I8_METRICS, quantise, quantised
+from sieveline.operators import boolean, text, vector
+from sieveline.operators.ann import AnnIndex
 from sieveline.plans.index import FieldIndex
 from sieveline.schema import FieldSpec
+from sieveline.sources import ingest
 from sieveline.sources.ingest import text_entries
 from sieveline.sources.oplog import live_view
 from sieveline.streaming.ingest import append_batch, stream_into
@@ -51,7 +54,7 @@ def test_life_of_a_number_field(spark, tmp_path):
     assert (info["version"], info["entries"], info["pending_inserts"]) == (3, len(expected), 0)
     assert {r["status"] for r in index.integrity_check().collect()} == {"ok"}
     index.store.delete("segments")
-    assert [r["status"] for r in index.integrity_check().collect()] == ["ok", "ok", "failed", "skipped"]
+    assert [r["status"] for r in index.integrity_check().collect()] == ["ok", "ok", "failed", *["skipped"] * 4]
     with pytest.raises(ValueError):
         index.insert(numbers(spark, [(1, float("nan"))]))
 
@@ -125,3 +128,167 @@ def test_streaming(spark, tmp_path):
     assert all_of(index) == [(2, 2.0), (3, 3.0)] and index.store.current() == 1
     append_batch(index, spark.createDataFrame([("insert", 9, 9.0)], schema), 1, take)  # delivered again
     assert all_of(index) == [(2, 2.0), (3, 3.0)]
+
+
+@pytest.mark.parametrize("fails_at", ["delete", "insert"])
+def test_a_micro_batch_that_failed_is_appended_once(spark, tmp_path, fails_at, monkeypatch):
+    root = f"file://{tmp_path}/g"
+    index = FieldIndex(spark, root, FieldSpec("g", "geo"))
+    rows = spark.createDataFrame([("insert", 1, 1.0, 2.0), ("delete", 5, None, None), ("insert", 5, 5.0, 5.0)], "op string, doc_id long, lat double, lon double")
+    take = lambda df: df.select("doc_id", "lat", "lon")
+    index.insert(take(rows.where("doc_id = 5")).where("lat is not null"))
+
+    def fail(*args, **kwargs):
+        raise OSError("executor lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(FieldIndex, fails_at, fail)
+        with pytest.raises(OSError):
+            append_batch(index, rows, 0, take)
+    assert index.compact(1)  # covers nothing that is still to come
+    index.insert(spark.createDataFrame([(9, 9.0, 9.0)], "doc_id long, lat double, lon double"))  # another writer between
+    for _ in range(2):
+        append_batch(FieldIndex(spark, root, FieldSpec("g", "geo")), rows, 0, take)
+    assert all_of(index) == [(1, 1.0, 2.0), (5, 5.0, 5.0), (9, 9.0, 9.0)]
+    assert index.compact(2) and all_of(index) == [(1, 1.0, 2.0), (5, 5.0, 5.0), (9, 9.0, 9.0)]
+    append_batch(index, rows, 0, take)
+    assert all_of(index) == [(1, 1.0, 2.0), (5, 5.0, 5.0), (9, 9.0, 9.0)]
+
+
+def test_a_batch_counts_once_it_is_whole(spark, tmp_path):
+    index = FieldIndex(spark, f"file://{tmp_path}/n", FieldSpec("n", "number"))
+    index.insert(numbers(spark, [(1, 1.0)]))
+    index.store.delete("ops", "seq=1", "_SUCCESS")
+    assert all_of(index) == [] and index.compact(1) is False
+    assert index.insert(numbers(spark, [(2, 2.0)])) == 2 and all_of(index) == [(2, 2.0)]
+
+
+def test_pointers_are_never_replaced(spark, tmp_path):
+    index = FieldIndex(spark, f"file://{tmp_path}/n", FieldSpec("n", "number"))
+    for version in (1, 2, 12):
+        index.insert(numbers(spark, [(version, 1.0)]))
+        index.compact(version)
+    assert index.store.current() == 12 and len(index.store.pointers()) == 3
+    index.cleanup()
+    assert index.store.current() == 12 and len(index.store.pointers()) == 1 and len(all_of(index)) == 3
+    index.store.write("9\n", "current", f"{13:020d}")
+    with pytest.raises(ValueError):
+        index.store.current()
+    assert index.integrity_check().first()["status"] == "failed"
+
+
+def test_integrity_finds_disorder_and_bad_tombstones(spark, tmp_path):
+    index = FieldIndex(spark, f"file://{tmp_path}/n", FieldSpec("n", "number"))
+    index.insert(numbers(spark, [(i, float(i % 7)) for i in range(100)]))
+    index.compact(1)
+    status = lambda: {r["check"]: r["status"] for r in index.integrity_check().collect()}
+    assert set(status().values()) == {"ok"}
+    m = index.store.manifest()
+    path = index.store.save(index.store.table(index.entry_schema, m["segments"][0]["path"]).orderBy(F.col("value").desc()).coalesce(1), "segments", [])
+    index.store.save_manifest(m | {"segments": [{"path": path, "rows": 100}]})
+    assert status()["order"] == "failed" and status()["tombstones"] == "skipped"
+    marks = index.store.save(spark.createDataFrame([(1, 99)], "doc_id long, seq long"), "tombstones", [])
+    index.store.save_manifest(m | {"tombstones": marks})
+    assert status()["tombstones"] == "failed"
+
+
+def test_compactions_by_kind(spark, tmp_path):
+    """Points merge the smaller half of their segments; texts are merged into the last segment up to its bound."""
+    geo_index = FieldIndex(spark, f"file://{tmp_path}/g", FieldSpec("g", "geo"), max_segments=3)
+    with pytest.raises(ValueError):
+        geo_index.info()
+    point = lambda ids: spark.createDataFrame([(i, float(i % 80), 1.0) for i in ids], "doc_id long, lat double, lon double")
+    for version, n in enumerate((50, 5, 20, 3), 1):
+        geo_index.insert(point(range(100 * version, 100 * version + n)))
+        geo_index.compact(version)
+    assert [s["rows"] for s in geo_index.store.manifest()["segments"]] == [50, 28]  # 5 and 20 with the new 3
+    assert len(all_of(geo_index)) == 78 and geo_index.info().first()["entries"] == 78
+    text_index = FieldIndex(spark, f"file://{tmp_path}/t", FieldSpec("t", "text"), max_entries=12, deletion_threshold=0.9)
+    docs = lambda ids: text_entries(spark.createDataFrame([(i, f"alpha b{i} alpha c") for i in ids], "doc_id long, text string"), text.tokens)
+    for version, ids in enumerate(([1, 2], [3, 4], [5], [2]), 1):
+        text_index.insert(docs(ids))
+        text_index.compact(version)
+    manifest = text_index.store.manifest()
+    assert [s["rows"] for s in manifest["segments"]] == [12, 6] and manifest["tombstones"]
+    found = text_index.text_index()
+    assert sorted(map(tuple, found.lengths.collect())) == [(i, 4) for i in range(1, 6)] and found.stats().first()["n_tokens"] == 20
+    fresh = text.TextIndex.of(spark.createDataFrame([(i, f"alpha b{i} alpha c") for i in range(1, 6)], "doc_id long, text string"))
+    for request in (text.Search(("alpha", "b2")), text.Search(("b",), tolerance=None), text.Search(("b2x",), tolerance=1), text.Search(("alpha", "c"), phrase_boost=2.0)):
+        scores = lambda i: {r[0]: round(r[1], 9) for r in text.search(i, request).collect()}  # noqa: E731, B023
+        assert scores(found) == scores(fresh) != {}
+    vectors = FieldIndex(spark, f"file://{tmp_path}/v", FieldSpec("v", "vector", dim=2), max_entries=4)
+    for version, ids in enumerate(([1, 2], [3], [1, 4]), 1):
+        vectors.insert(spark.createDataFrame([(i, 0, [float(i), float(version)]) for i in ids], "doc_id long, ord int, vec array<float>"))
+        vectors.compact(version)
+        assert {r["status"] for r in vectors.integrity_check().collect()} == {"ok"}
+    assert sorted((r["doc_id"], r["vec"][1]) for r in vectors.entries().collect()) == [(1, 3.0), (2, 1.0), (3, 2.0), (4, 3.0)]
+    assert vectors.info().first()["dim"] == 2
+
+
+def test_ids_above_the_signed_range(spark, tmp_path):
+    top = (1 << 64) - 1
+    index = FieldIndex(spark, f"file://{tmp_path}/b", FieldSpec("b", "bool", ids="decimal"))
+    index.insert(spark.createDataFrame([(str(top), True), (str(top - 1), True), ("0", True)], "doc_id string, value boolean"))
+    index.delete([top - 1])
+    assert sorted(int(r[0]) for r in boolean.bool_filter(index.entries(), True).collect()) == [0, top]
+    index.compact(1)
+    index.delete([0])
+    assert sorted(int(r[0]) for r in boolean.bool_filter(index.entries(), True).collect()) == [top]
+
+
+def test_a_token_without_a_stem_has_no_null_term(spark):
+    docs = spark.createDataFrame([(1, "run running"), (2, "xyz")], "doc_id long, text string")
+    index = text.TextIndex.of(docs, stemmer=lambda t: F.when(F.startswith(t, F.lit("run")), F.lit("run")))
+    assert index.postings().where("term is null").count() == 0
+    assert sorted((r["term"], list(r["exact"]), list(r["stemmed"])) for r in index.postings().where("doc_id = 1").collect()) == [("run", [0], [0, 1]), ("running", [1], [])]
+
+
+def test_command_line_for_points(spark, tmp_path, capsys):
+    root = f"file://{tmp_path}/g"
+    FieldIndex(spark, root, FieldSpec("g", "geo")).insert(spark.createDataFrame([(1, 1.0, 1.0), (2, 5.0, 5.0)], "doc_id long, lat double, lon double"))
+    for options, ids in ((["--polygon", "0,0;0,2;2,2;2,0"], [1]), (["--polygon", "0,0;0,2;2,2;2,0", "--outside"], [2]), (["--box", "4,6,4,6", "--outside"], [1]), (["--radius", "5,5,1000"], [2])):
+        capsys.readouterr()
+        assert cli.main(["geo", "filter", root, *options, "--json"], spark) == 0
+        assert [r["doc_id"] for r in json.loads(capsys.readouterr().out)["rows"]] == ids
+
+
+def test_nearest_neighbours_exchange_only_what_tasks_keep(spark):
+    entries = spark.range(1000).select((F.col("id") % 300).alias("doc_id"), (F.col("id") / 300).cast("int").alias("ord"), F.array(*[(F.col("id") * k % 17).cast("float") for k in (1, 2, 3)]).alias("vec"))
+    found = vector.knn(entries, [1.0, 2.0, 3.0], 7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("TakeOrderedAndProject") < plan.index("HashAggregate") and plan.count("TakeOrderedAndProject") == 2
+    want = {}
+    for r in entries.collect():
+        d = sum((a - b) ** 2 for a, b in zip(r["vec"], [1.0, 2.0, 3.0], strict=True))
+        want[r["doc_id"]] = min(want.get(r["doc_id"], d), d)
+    assert [tuple(r) for r in found.collect()] == sorted(want.items(), key=lambda x: (x[1], x[0]))[:7]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_recall_of_the_approximate_index(spark, tmp_path, metric):
+    entries = ingest.vector_entries(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding"), 64).cache()
+    index = AnnIndex.build(entries, f"file://{tmp_path}/a", metric)
+    hits = 0
+    for q in entries.where("doc_id % 100 = 0").select("vec").collect():
+        exact = {r[0] for r in vector.knn(entries, list(q[0]), 10, metric, per_document=1).collect()}
+        found = {r[0] for r in index.search(list(q[0]), 10).collect()}
+        assert len(found) == 10
+        hits += len(exact & found)
+    assert hits >= 0.9 * 10 * entries.where("doc_id % 100 = 0").count()
+    with pytest.raises(ValueError):
+        index.search([1.0], 3)
+
+
+def test_byte_distances_follow_the_exact_ones(spark):
+    rows = spark.createDataFrame([([1, -2, 127],), ([0, 0, 0],), ([-127, 5, 9],)], "codes array<tinyint>")
+    query = [3, -4, 100]
+    got = rows.select(*[f(F.col("codes"), query).alias(n) for n, f in I8_METRICS.items()]).collect()
+    for (codes,), r in zip([([1, -2, 127],), ([0, 0, 0],), ([-127, 5, 9],)], got, strict=True):
+        size = sum(a * a for a in codes) * sum(b * b for b in query)
+        product = sum(a * b for a, b in zip(codes, query, strict=True))
+        assert r["l2"] == sum((a - b) ** 2 for a, b in zip(codes, query, strict=True)) and r["dot"] == -product
+        assert abs(r["cosine"] - (1 - product / size**0.5 if size else 1.0)) < 1e-12
+    low, high = [-1.0, 0.0, 5.0], [1.0, 2.0, 5.0]
+    for v in ([0.3, 1.9, 5.0], [-3.0, 9.0, 5.5]):
+        column = spark.range(1).select(quantised(F.array(*map(F.lit, v)), F.array(*map(F.lit, low)), F.array(*map(F.lit, high)))).first()[0]
+        assert list(column) == quantise(v, low, high)

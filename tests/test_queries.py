@@ -24,7 +24,7 @@ def plain(x):
     return repr(round(x, 6) + 0.0) if isinstance(x, float) else str(x)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, tables, name):
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
@@ -40,6 +40,18 @@ def test_entry(spark):
     assert set(SQL) <= set(entry.oracle_sql()) and set(QUERIES) <= set(entry.queries())
 
 
+def test_queries_without_sql(spark):
+    assert set(QUERIES) - set(SQL) == {"vec_ann"}
+    assert QUERIES["vec_ann"](spark, DATA).count() == 10
+
+
+def test_ranks_tell_the_order(spark, tables):
+    up, down = (entry.queries()[n](spark, DATA).collect() for n in ("num_sort_asc", "num_sort_desc"))
+    place = {(r["doc_id"], r["value"]): r["rank"] for r in up}
+    assert sorted(place.values()) == list(range(1, len(up) + 1)) and len(up) == len(down)
+    assert all(r["rank"] == len(up) + 1 - place[r["doc_id"], r["value"]] for r in down)
+
+
 def test_library_does_not_need_the_corpus_subpackage():
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     for path in glob.glob(f"{top}/sieveline/**/*.py", recursive=True):
