@@ -18,7 +18,7 @@ The stages, none of which brings a group to one task or the driver:
    signature; every member is compared with the hub, and only members that are not linked to it meet the others.
 5. The components of the confirmed links are the result.
 
-A row is so copied into as many cells as its group has blocks only if it stays outside the group's largest part.
+Rows are so copied for the part of a group only that stays outside its largest component, and a cell has two blocks.
 
 By the binomial distribution, 8 of a million pairs at similarity 0.85 differ in more than ``near`` places, with the size for 0.8
 5 of 10 million pairs at 0.8; of closer pairs fewer.
@@ -203,15 +203,18 @@ def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _rest_in_cells(rows: DataFrame, *columns: str) -> DataFrame:
     """``rows`` (g, rep, size, main) of groups whose main part is known to be connected, dealt to cells so that every pair but those
-    of the main part meets: the main part lies in blocks, the rest meets each of them, and the rest's own blocks meet in
-    pairs. Groups without a rest take no part."""
+    of the main part meets: both parts lie in blocks, a cell has a block of the rest and one of the main part, or two of the
+    rest. Groups without a rest take no part."""
     sizes = rows.groupBy("g", "size").agg(F.count_if("main").alias("n_main"), F.count_if(~F.col("main")).alias("n_rest")).where("n_rest > 0")
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(1 << 30)).cast("int"))
     counted = _with_group(salted, sizes).withColumns({"of_main": _blocks(F.col("n_main")), "of_rest": _blocks(F.col("n_rest"))})
     mine = F.when(F.col("main"), F.col("salt") % F.greatest("of_main", F.lit(1))).otherwise(F.col("salt") % F.greatest("of_rest", F.lit(1)))
-    with_main = F.when(F.col("of_main") > 0, F.transform(F.sequence(F.lit(0), F.greatest("of_main", F.lit(1)) - 1), lambda b: -1 - b)).otherwise(F.array().cast("array<int>"))
-    among = F.transform(F.sequence(F.lit(0), F.greatest("of_rest", F.lit(1)) - 1), lambda other: F.least("mine", other) * F.col("of_rest") + F.greatest("mine", other))
-    cells = F.when(F.col("main"), F.array(-1 - F.col("mine"))).otherwise(F.concat(with_main, among))
+    # A main block b and a rest block r meet in the cell -1 - (b * of_rest + r).
+    meets = lambda size, cell: F.when(F.col(size) > 0, F.transform(F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1), cell)).otherwise(F.array().cast("array<int>"))
+    with_rest = meets("of_rest", lambda r: -1 - (F.col("mine") * F.col("of_rest") + r))
+    with_main = meets("of_main", lambda b: -1 - (b * F.col("of_rest") + F.col("mine")))
+    among = meets("of_rest", lambda other: F.least("mine", other) * F.col("of_rest") + F.greatest("mine", other))
+    cells = F.when(F.col("main"), with_rest).otherwise(F.concat(with_main, among))
     return _dealt(counted.withColumn("mine", mine).withColumn("cell", F.explode(cells)), "main", *columns)
 
 
