@@ -2,9 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -58,6 +59,71 @@ def test_style_tree_cuts_what_a_site_repeats(spark):
     got = {r["page_id"]: r["text"] for r in sitetree.extract(df).collect()}
     assert [got[i] for i in range(30)] == texts and got[200] == texts[0]
     assert "Our great offers" in got[100]  # too few pages to tell
+    # Without room for an array of cut nodes each page gets its own by a join: the same texts.
+    assert {r["page_id"]: r["text"] for r in sitetree.extract(df, held=0).collect()} == got
+
+
+def brute_scores(pages):
+    """{node: (pages, importance, score)} of [(html, root)] by plain loops."""
+    trees, above, expected = {}, {}, {}
+    for html, root in sorted(set(pages), key=str):
+        for node, (up, e, forms, contents) in sitetree.page_nodes(sitetree.Page(html), root).items():
+            trees.setdefault(node, []).append((forms, contents))
+            above[node], expected[node] = up, e
+    own = {}
+    for node, shown in trees.items():
+        forms = Counter(f for fs, _ in shown for f in fs)
+        blocks = Counter(x for _, cs in shown for x in cs)
+        n, m = len(shown), sum(forms.values())
+        base = math.log(max(n, m, 1))
+        entropy = -sum(c / m * math.log(c / m) for c in forms.values()) / base if base > 0 and m else 1.0
+        spread = 1 - sum(c * math.log(c) for c in blocks.values()) / sum(blocks.values()) / math.log(n) if n > 1 and blocks else 1.0
+        own[node] = ((1 - sitetree.DECAY) * m, entropy, sum(blocks.values()), spread)
+    out = {}
+    for node, shown in trees.items():
+        total = weight = 0.0
+        for below, (m, entropy, s, spread) in own.items():
+            chain = [below, *above[below]]
+            if node in chain:
+                d = sitetree.DECAY ** chain.index(node)
+                total, weight = total + d * (m * entropy + s * spread), weight + d * (m + s)
+        importance = 1.0 if len(shown) < sitetree.PAGES else total / weight if weight else 0.0
+        out[node] = (len(shown), importance, sitetree.TOLD * expected[node] + (1 - sitetree.TOLD) * importance)
+    return out
+
+
+def test_scores_equal_brute_force(spark, rows_of):
+    pages = [(u, h) for _, u, h in rows_of("pages", "page_id, url, html")] + [("https://h.example/x", h) for _, _, h in site(12)[0]] + [("https://h.example/x", ARTICLE.replace("Menu", f"Menu {i % 3}")) for i in range(9)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    roots = [r["root"] for r in sitetree._rows(df).orderBy("page_id").collect()]
+    want = brute_scores([(h, r) for (_, h), r in zip(pages, roots, strict=True)])
+    got = {r["node"]: (r["pages"], r["importance"], r["score"]) for r in sitetree.node_scores(sitetree.tree_nodes(df)).collect()}
+    assert set(got) == set(want) and len({round(w[1], 3) for w in want.values()}) > 5
+    for node, (n, importance, score) in want.items():
+        assert got[node][0] == n and abs(got[node][1] - importance) < 1e-9 and abs(got[node][2] - score) < 1e-9
+
+
+def test_the_tree_decides_on_the_tables(spark, rows_of):
+    """With nothing cut from the tree, menus, adverts and footers come back on every page."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    with_tree = {r["page_id"]: r["text"] for r in sitetree.extract(pages).collect()}
+    without = {r["page_id"]: r["text"] for r in sitetree.extract(pages, cut=-1.0).collect()}
+    assert all(len(without[k]) > len(with_tree[k]) and with_tree[k] in without[k] for k in with_tree)
+    assert all(n.startswith("body|") for n in sitetree.Page(pages.first()["html"]).names()[:1])
+
+
+def test_entropies_decide_about_plain_containers(spark):
+    """The same markup, of which the site repeats one part and varies the other."""
+    page = lambda i: f"<div class=a><p>Words of page {i} alone</p></div><div class=b><p>Call us {i % 2}</p></div>"
+    docs = spark.createDataFrame([(i, "https://s.example/", page(i)) for i in range(20)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in sitetree.extract(docs).collect()} == {i: f"Words of page {i} alone" for i in range(20)}
+
+
+def test_deep_pages_have_no_limit(spark):
+    deep = lambda i: "<div class=a>" * 3_000 + f"<p>deep {i}</p>" + "</div>" * 3_000 + "<nav>menu</nav><article><p>main</p></article>"
+    docs = spark.createDataFrame([(1, None, deep(1)), (2, "x", "<div>" * 2_000 + "plain words"), (3, "y", "<article>" + "<div>" * 2_000 + "deep main" + "</div>" * 2_000 + "</article><p>out"), (4, "z", "<p>" + "long " * 1_000_000)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in sitetree.extract(docs).collect()}
+    assert (got[1], got[2], got[3]) == ("main", "plain words", "deep main") and len(got[4]) == 4_999_999
 
 
 def test_pages_query(spark, odd, none, rows_of):
@@ -71,14 +137,10 @@ def test_pages_query(spark, odd, none, rows_of):
         assert r["text"].split("\n")[0] == " ".join(sitetree.entities.unescape(re.search(r"<h1>(.*?)</h1>", inside, re.S)[1]).split())
         plain = " ".join(sitetree.entities.unescape(re.sub(r"<[^>]+>", " ", inside)).split())
         assert re.sub(r"\s", "", r["text"]) == re.sub(r"\s", "", plain)
-    strange = odd.select("doc_id", "text", "k", "g").toDF("page_id", "html", "url", "host").withColumn("noise", F.lit("x"))
+    strange = odd.select("doc_id", "text", "k", "g").toDF("page_id", "html", "url", "host").withColumn("noise", F.lit("x")).withColumn("root", F.lit("r")).withColumn("same", F.lit("s"))
     assert sitetree.extract(strange).count() == odd.count() and sitetree.extract(strange.where("false")).count() == 0
 
 
-def test_tree_scores_do_not_depend_on_copies():
-    assert sitetree.entropy([5], 5) == 0 and abs(sitetree.entropy([1, 1, 1, 1], 4) - 1) < 1e-12 and sitetree.entropy([1], 1) == 1
-
-
 # -- archives
 
 
