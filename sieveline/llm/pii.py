@@ -2,13 +2,21 @@
 
 Every whole text is searched once for emails, IP addresses, cards and phones. These seeds induce lexical patterns: the two
 words before a seed, and the word before with the word after. Other tokens that hold digits are instances too if they
-stand in such a pattern. Patterns and instances form a graph that is scored in turns: a pattern scores the mean of its
-distinct instances, damped where few seeds support it; an instance that is no seed scores as its best pattern. Tokens in
-patterns that stay above ``CONFIDENT`` after ``ROUNDS`` turns are reported with the pattern's kind. What the base rules
-looked at and rejected is never reported.
+stand in such a pattern. Patterns and instances form a graph that is scored in turns:
 
-The texts do not move. A slim table (positions, values and contexts) is written once; edges are combined before they are
-exchanged, so that a pattern in a third of all rows is a few rows for each task.
+* an instance has a kind and a confidence, 1 for seeds;
+* a pattern scores, for each kind, the mean confidence of its distinct instances, damped where few support it, and takes the
+  kind that scores best (the first of equal ones). It needs ``SUPPORT`` instances of that kind that are seeds or accepted;
+* an instance that is no seed has the score of its best pattern, and is accepted from ``CONFIDENT`` on.
+
+What is accepted in one turn counts like a seed in the next, so that it induces patterns in which no seed stands. After
+``ROUNDS`` turns tokens in patterns that score ``CONFIDENT`` or more are reported with the pattern's kind. What the base
+rules looked at and rejected is never reported.
+
+A token is a whole run of ASCII letters, digits, dots, hyphens and underscores, trimmed of marks at its ends, with a digit
+and ``SHORTEST`` characters at least, however long it is. Words of a context are looked for within ``REACH`` characters.
+Texts do not move. Values and patterns are 64-bit hashes in a slim table that is written once; edges are combined before
+they are exchanged, so that a pattern in a third of all rows is a few rows for each task.
 
 Null texts count as empty and have no spans; repeated rows are reported as often as they come, null ids are kept.
 """
@@ -18,13 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import table, text_or_empty, written
+from sieveline.llm.common import dropped, table, text_or_empty, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct seeds that a pattern needs, turns of scoring, and the score from which a pattern is trusted.
+#: Distinct instances that a pattern needs, turns of scoring, and the score from which a pattern is trusted.
 SUPPORT, ROUNDS, CONFIDENT = 4, 3, 0.75
-#: Code points looked at on either side of a span.
-REACH = 40
+#: Code points looked at on either side of a span; code points of the shortest token.
+REACH, SHORTEST = 40, 6
 
 #: Stands for one separator within a match, so that matches are plain runs: a repeated group would recurse for each of
 #: its repetitions, and scan long runs from each of their characters.
@@ -35,7 +43,7 @@ _IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 _CARD = rf"(?<![0-9{_MARK}])(?=(?:[0-9]{_MARK}?){{12}})[0-9{_MARK}]++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_TOKEN = r"(?<![A-Za-z0-9])(?=[A-Za-z._-]{0,40}[0-9])[A-Za-z0-9][A-Za-z0-9._-]{4,62}[A-Za-z0-9](?![A-Za-z0-9])"
+_TOKEN = r"(?<![A-Za-z0-9._-])(?=[A-Za-z._-]*+[0-9])[A-Za-z0-9._-]++"
 
 
 def _bind(value: Column, f) -> Column:
@@ -47,20 +55,34 @@ def _marked(text: Column, separator: str, around: str) -> Column:
     return F.regexp_replace(F.translate(text, _MARK, "x"), rf"(?<={around}){separator}(?={around})", _MARK)
 
 
+def _running(sizes: Column, first: Column) -> Column:
+    """``first`` and the sums up to each size but the last: where each part starts."""
+    start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(sizes, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def _starts(sizes: Column) -> Column:
+    """``_running`` from 0 of a long array, in parts of about its square root: an array that grows is copied each time."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda s, n: s + n)
+
+    def by_parts(xs: Column) -> Column:
+        step = F.greatest(F.ceil(F.sqrt(F.size(xs))).cast("int"), F.lit(1))
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), step), lambda i: F.slice(xs, i + 1, step))
+        return _bind(parts, lambda ps: F.flatten(F.zip_with(ps, _running(F.transform(ps, total), F.lit(0)), _running)))
+
+    return _bind(sizes, by_parts)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start int, end int, value string>> of the leftmost matches that do not overlap, in code points."""
 
     def place(between: Column, found: Column) -> Column:
         # The text is between[0] found[0] between[1] found[1] ...; sums of lengths are positions.
-        step = lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["b"]) + F.char_length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.char_length(x["b"])).alias("start"), (acc["at"] + F.char_length(x["b"]) + F.char_length(x["m"])).alias("end"), x["m"].alias("value")))).alias("out"),
-        )
-        pairs = F.arrays_zip(F.slice(between, 1, F.greatest(F.size(found), F.lit(0))).alias("b"), found.alias("m"))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.char_length(b).alias("gap"), F.char_length(m).alias("n"), m.alias("m")))
+        at = lambda p, start: F.struct((start + p["gap"]).alias("start"), (start + p["gap"] + p["n"]).alias("end"), p["m"].alias("value"))
+        return _bind(pairs, lambda ps: F.zip_with(ps, _starts(F.transform(ps, lambda p: p["gap"] + p["n"])), at))
 
-    return _bind(text, lambda t: place(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))))
+    return _bind(text, lambda t: _bind(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, place(F.split(t, pattern, -1), found)).otherwise(_none())))
 
 
 def _digits(value: Column) -> Column:
@@ -112,16 +134,31 @@ def _contexts(text: Column, start: Column, end: Column) -> Column:
     )
 
 
+def _tokens(text: Column) -> Column:
+    """The tokens that may be identifiers, trimmed."""
+
+    def trimmed(m: Column) -> Column:
+        lead = F.char_length(m["value"]) - F.char_length(F.ltrim(m["value"], F.lit("._-")))
+        value = F.btrim(m["value"], F.lit("._-"))
+        return F.struct((m["start"] + lead).alias("start"), (m["start"] + lead + F.char_length(value)).alias("end"), value.alias("value"))
+
+    return F.filter(F.transform(matches(text, _TOKEN), trimmed), lambda m: F.char_length(m["value"]) >= SHORTEST)
+
+
 def positions(docs: DataFrame) -> DataFrame:
     """(row, doc_id, digest, base array<struct<start, kind, end>>, seen array<struct<kind, start, end, value, patterns>>), written.
 
-    ``seen`` has the seeds, and with kind null the other tokens that hold digits.
+    ``seen`` has the seeds, and with kind null the other tokens that hold digits; values and patterns are hashes.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.withColumn("found", F.when(F.col("text").rlike("[0-9@]"), _found(F.col("text"))).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,value:string,sound:boolean>>")))
-    tokens = F.when(F.col("text").rlike("[0-9]"), matches(F.col("text"), _TOKEN)).otherwise(_none())
+    tokens = F.when(F.col("text").rlike("[0-9]"), _tokens(F.col("text"))).otherwise(_none())
     apart = lambda m: ~F.exists("found", lambda f: (f["start"] < m["end"]) & (m["start"] < f["end"]))
-    instance = lambda m, kind: F.struct(kind.cast("int").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lower(m["value"]).alias("value"), _contexts(F.col("text"), m["start"], m["end"]).alias("patterns"))
+
+    def instance(m: Column, kind: Column) -> Column:
+        around = F.transform(_contexts(F.col("text"), m["start"], m["end"]), lambda c: F.xxhash64(c))
+        return F.struct(kind.cast("int").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.xxhash64(F.lower(m["value"])).alias("value"), around.alias("patterns"))
+
     sound = F.filter("found", lambda f: f["sound"])
     rows = rows.select(
         F.monotonically_increasing_id().alias("row"),
@@ -133,24 +170,38 @@ def positions(docs: DataFrame) -> DataFrame:
     return written(rows, "positions")
 
 
+def _scored_patterns(edges: DataFrame, accepted: DataFrame | None, support: int, confident: float) -> DataFrame:
+    """(pattern, of, score) of the patterns with enough support, of their best kind. One exchange of combined rows."""
+    known = edges.select("pattern", "kind", F.when(F.col("kind").isNotNull(), 1.0).alias("score")) if accepted is None else edges.join(accepted, "value", "left").select(
+        "pattern", F.coalesce("kind", "as").alias("kind"), F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.col("confidence")).alias("score")
+    )
+    of = lambda k: F.col("kind") == k
+    sums = [F.sum(F.when(of(k), F.col("score"))).alias(f"sum{k}") for k in range(len(KINDS))]
+    counts = [F.count_if(of(k) & (F.col("score") >= confident)).alias(f"n{k}") for k in range(len(KINDS))]
+    pattern = known.groupBy("pattern").agg(F.count("*").alias("all"), *sums, *counts)
+    # Kinds in order, each with its score, null without support: the greatest score, and of equal ones the first kind.
+    each = [F.struct(F.when(F.col(f"n{k}") >= support, F.col(f"sum{k}") / F.col("all") * (1 - 1 / (F.col(f"n{k}") + 1))).alias("score"), F.lit(-k).alias("less")) for k in range(len(KINDS))]
+    best = F.array_max(F.array(*each))
+    return pattern.select("pattern", best.alias("b")).where("b.score is not null").select("pattern", (-F.col("b.less")).alias("of"), F.col("b.score").alias("score"))
+
+
 def trusted_patterns(seen: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS, confident: float = CONFIDENT) -> DataFrame:
-    """(pattern, kind, score) of the patterns that stay trusted. ``seen``: (pattern, value, kind), kind null for no seed."""
-    edges = seen.groupBy("pattern", "value").agg(F.min("kind").alias("kind"))
-    seeds = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    best = seeds.groupBy("pattern").agg(F.max(F.struct("seeds", (-F.col("kind")).alias("less"))).alias("b")).select("pattern", F.col("b.seeds").alias("seeds"), (-F.col("b.less")).alias("of"))
-    graph = written(edges.join(best.where(F.col("seeds") >= support), "pattern").select("pattern", "of", "seeds", "value", "kind"), "graph")
-    # A seed of the pattern's kind counts 1, of another kind 0; the others start from 0.
-    own = F.when(F.col("kind") == F.col("of"), 1.0).otherwise(0.0)
-    current = graph.withColumn("score", own)
+    """(pattern, kind, score) of the patterns that are trusted, written. ``seen``: (pattern, value, kind), kind null for no seed."""
+    if rounds < 1:
+        raise ValueError("at least one round")
+    edges = written(seen.groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "edges")
+    accepted = None
     for turn in range(rounds):
-        pattern = current.groupBy("pattern", "of", "seeds").agg(F.avg("score").alias("mean")).select("pattern", F.col("of").alias("kind"), (F.col("mean") * (F.lit(1.0) - F.lit(1.0) / (F.col("seeds") + 1))).alias("score"))
-        if turn == rounds - 1:
-            return pattern.where(F.col("score") >= confident)
-        pattern = written(pattern, "patterns")
-        open_edges = graph.where("kind is null").join(pattern.select("pattern", "score"), "pattern")
-        instance = open_edges.groupBy("value", "of").agg(F.max("score").alias("best"))
-        current = written(graph.join(instance, ["value", "of"], "left").withColumn("score", F.when(F.col("kind").isNull(), F.coalesce("best", F.lit(0.0))).otherwise(own)).drop("best"), "scores")
-    raise ValueError("at least one round")
+        patterns = _scored_patterns(edges, accepted, support, confident)
+        if turn < rounds - 1:
+            reached = edges.where("kind is null").join(patterns, "pattern").groupBy("value").agg(F.max(F.struct("score", (-F.col("of")).alias("less"))).alias("b"))
+            new = written(reached.where(F.col("b.score") >= confident).select("value", (-F.col("b.less")).alias("as"), F.col("b.score").alias("confidence")), "accepted")
+            if accepted is not None:
+                dropped(accepted)
+            accepted = new
+    trusted = written(patterns.where(F.col("score") >= confident).select("pattern", F.col("of").alias("kind"), "score"), "trusted")
+    dropped(edges, *([accepted] if accepted is not None else []))
+    return trusted
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -172,7 +223,9 @@ def find(docs: DataFrame) -> DataFrame:
     def count(kind: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
 
-    return spans(docs).select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)], F.sha2(told(F.col("base")).cast("binary"), 256).alias("base_sha256"), told(F.col("every")).alias("spans"))
+    return spans(docs).select(
+        "doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)], F.sha2(told(F.col("base")).cast("binary"), 256).alias("base_sha256"), told(F.col("every")).alias("spans"), F.size("every").cast("long").alias("n_spans")
+    )
 
 
 def _replaced(text: Column, found: Column) -> Column:

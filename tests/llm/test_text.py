@@ -99,6 +99,73 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[102]["spans"] == "" and all(got[i]["n_phone"] == 1 for i in range(30))
 
 
+def brute_patterns(seen, support=pii.SUPPORT, rounds=pii.ROUNDS, confident=pii.CONFIDENT):
+    """{pattern: (kind, score)} by plain loops. ``seen``: (pattern, value, kind or None)."""
+    kinds, members = {}, defaultdict(set)
+    for p, v, k in seen:
+        members[p].add(v)
+        if k is not None:
+            kinds[p, v] = min(k, kinds.get((p, v), k))
+    accepted = {}
+    for turn in range(rounds):
+        scores = {}
+        for p, values in members.items():
+            best = None
+            for k in range(4):
+                own = [1.0 if (p, v) in kinds else accepted[v][1] for v in values if (kinds.get((p, v), accepted.get(v, (None,))[0])) == k]
+                n = sum(c >= confident for c in own)
+                if n >= support and (best is None or sum(own) / len(values) * (1 - 1 / (n + 1)) > best[1]):
+                    best = (k, sum(own) / len(values) * (1 - 1 / (n + 1)))
+            if best:
+                scores[p] = best
+        if turn == rounds - 1:
+            return {p: b for p, b in scores.items() if b[1] >= confident}
+        reached = {}
+        for p, (k, s) in scores.items():
+            for v in members[p]:
+                if (p, v) not in kinds and (v not in reached or (s, -k) > (reached[v][1], -reached[v][0])):
+                    reached[v] = (k, s)
+        accepted = {v: b for v, b in reached.items() if b[1] >= confident}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pattern_graph_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    seen = []
+    for p in range(60):
+        kind = rng.randrange(4)
+        for _ in range(rng.choice([1, 5, 8, 12])):
+            v = rng.randrange(120)
+            seen.append((p, v, (kind if rng.random() < 0.85 else rng.randrange(4)) if rng.random() < (0.8 if p < 30 else 0.1) else None))
+    got = pii.trusted_patterns(spark.createDataFrame(seen, "pattern long, value long, kind int"), support=3, confident=0.6).collect()
+    want = brute_patterns(seen, support=3, confident=0.6)
+    assert {r["pattern"]: (r["kind"], round(r["score"], 9)) for r in got} == {p: (k, round(s, 9)) for p, (k, s) in want.items()} != {}
+
+
+def test_discovered_identifiers_induce_patterns_of_their_own(spark):
+    """No base match ever stands after 'ref code': only what 'my phone is' discovered does, and from there on others."""
+    rows = [(i, f"my phone is +49 30 {1_000_000 + 7919 * i} thanks") for i in range(1_000, 1_200)]
+    rows += [(100 + i, f"my phone is 030-55-{i:03} thanks") for i in range(20)]
+    rows += [(200 + i, f"ref code: 030-55-{i:03} noted") for i in range(20)] + [(300, "ref code: 030/99 noted"), (301, "ref code: 777-88-99 noted"), (302, "another ref: 777-88-98 seen")]
+    rows.append((400, "my phone is " + "1a" * 3_000 + "... thanks"))  # however long, without the marks at its end
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    assert got[100]["spans"] == "phone:12:22" and got[200]["spans"] == "phone:10:20" and got[301]["spans"] == "phone:10:19"
+    assert got[300]["spans"] == got[302]["spans"] == "" and got[400]["spans"] == "phone:12:6012" and got[301]["n_spans"] == 1
+    # By brute force from the same positions, and not with a single turn.
+    seen = [(p, s["value"], s["kind"]) for r in pii.positions(docs).collect() for s in r["seen"] for p in s["patterns"]]
+    want = {p: (k, round(s, 9)) for p, (k, s) in brute_patterns(seen).items()}
+    table = spark.createDataFrame(seen, "pattern long, value long, kind int")
+    assert {r["pattern"]: (r["kind"], round(r["score"], 9)) for r in pii.trusted_patterns(table).collect()} == want
+    assert pii.trusted_patterns(table, rounds=1).count() < len(want)
+
+
+def test_places_of_very_many_matches(spark):
+    text = "é1 a@b.cd " * 20_000
+    got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(pii.matches(F.col("t"), "[0-9]").alias("m")).collect()
+    assert [(m["start"], m["end"]) for m in got[0]["m"]] == [(10 * i + 1, 10 * i + 2) for i in range(20_000)] and got[1]["m"] == []
+
+
 def test_redaction_keeps_rows_and_columns(spark, odd, none):
     docs = contextual(spark).withColumn("digest", F.lit("mine")).withColumn("every", F.lit(1))
     out = {r["doc_id"]: r for r in pii.redact(docs).collect()}
