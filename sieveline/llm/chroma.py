@@ -7,8 +7,9 @@ share of bits that differ over the overlap.
 
 The tables have no audio, so that the query plays each row of ``embeddings`` as a melody (a note for each number) and works
 on the samples. Equal fingerprints are one class from there on. The stated queries, rows whose id is divisible by 100, are
-searched against all classes block by block; every class meets every query, nothing is sampled or capped, and every match of
-a class is returned.
+searched against all classes: two recordings whose histogram has a vote share an integer, so that a join on integers finds
+all pairs there are, without a pass over all classes and queries. Integers that very many recordings have are dealt to
+cells of bounded sides. Nothing is sampled or capped, and every match of a class is returned.
 """
 
 from __future__ import annotations
@@ -31,14 +32,19 @@ FILTERS = (
 )
 #: Logarithmic ratios between which the two bits change.
 CUTS = (-0.18, 0.0, 0.18)
-#: Recordings and queries in a block; bits that may differ in a match.
-BLOCK, MATCH = 400, 0.3
+#: Bits that may differ in a match, equal integers that it needs at its offset, and places that must overlap; of recordings
+#: shorter than that all places count.
+MATCH, MIN_VOTES, MIN_OVERLAP = 0.3, 3, 24
+#: Places of one integer on either side of a cell of the join, on average.
+SPLIT = 2_000
 
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 _HZ = np.fft.rfftfreq(FRAME, 1 / RATE)
 _USED = (_HZ >= LOWEST) & (_HZ <= HIGHEST)
-_FOLD = np.zeros((_USED.sum(), 12), np.float32)
-_FOLD[np.arange(_USED.sum()), np.round(12 * np.log2(_HZ[_USED] / 440.0)).astype(int) % 12] = 1
+_CLASS = np.round(12 * np.log2(_HZ[_USED] / 440.0)).astype(int) % 12
+#: Frequencies in order of their class, and where each class starts; every class has some.
+_BY_CLASS = np.flatnonzero(_USED)[np.argsort(_CLASS, kind="stable")]
+_STARTS = np.searchsorted(np.sort(_CLASS), np.arange(12))
 
 
 def chroma(samples: np.ndarray) -> np.ndarray:
@@ -47,7 +53,8 @@ def chroma(samples: np.ndarray) -> np.ndarray:
     if n < 1:
         return np.zeros((0, 12), np.float32)
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP][:n] * _WINDOW
-    power = np.abs(np.fft.rfft(frames, axis=1)[:, _USED]) ** 2 @ _FOLD
+    tones = np.fft.rfft(frames, axis=1)[:, _BY_CLASS]
+    power = np.add.reduceat(tones.real**2 + tones.imag**2, _STARTS, axis=1)
     total = np.cumsum(np.pad(power, ((3, 2), (0, 0)), mode="edge"), axis=0)
     power = (total[5:] - total[:-5]) if n > 1 else power
     size = np.sqrt((power**2).sum(axis=1, keepdims=True))
@@ -92,6 +99,11 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
     return out
 
 
+def overlap(n: int, m: int, offset: int) -> int:
+    """Places that two recordings of ``n`` and ``m`` codes share."""
+    return max(0, min(n, m + offset) - max(0, offset))
+
+
 def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> float:
     """Share of bits that differ where ``b`` is laid ``offset`` places after the start of ``a``; 1 without an overlap."""
     start, end = max(0, offset), min(len(a), len(b) + offset)
@@ -102,30 +114,21 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> float:
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
     """(votes, offset, bit error) of the offset at which most integers of the two are equal; smallest offset first."""
-    where, offsets = align_many([a], [b])
-    if not len(where):
+    order = np.argsort(b, kind="stable")
+    low, high = np.searchsorted(b[order], a), np.searchsorted(b[order], a, side="right")
+    n = high - low
+    if not n.sum():
         return 0, 0, 1.0
-    votes = np.bincount(offsets - offsets.min())
-    best = int(votes.argmax())
-    offset = best + int(offsets.min())
-    return int(votes[best]), offset, bit_error(a, b, offset)
-
-
-def align_many(ones: list[np.ndarray], others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For every pair of places with equal integers: number of the two (one * len(others) + other), and their offset."""
-    flat = np.concatenate(others) if others else np.zeros(0, np.uint32)
-    owner = np.repeat(np.arange(len(others)), [len(x) for x in others])
-    place = np.concatenate([np.arange(len(x)) for x in others]) if others else flat
-    order = np.argsort(flat, kind="stable")
-    flat, owner, place = flat[order], owner[order], place[order]
-    pair, offset = [], []
-    for k, x in enumerate(ones):
-        low, high = np.searchsorted(flat, x), np.searchsorted(flat, x, side="right")
-        n = high - low
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        pair.append(owner[at] + k * len(others))
-        offset.append(np.repeat(np.arange(len(x)), n) - place[at])
-    return np.concatenate(pair), np.concatenate(offset)
+    at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    found, votes = np.unique(np.repeat(np.arange(len(a)), n) - order[at], return_counts=True)
+    offset = int(found[votes.argmax()])
+    return int(votes.max()), offset, bit_error(a, b, offset)
+
+
+def is_match(n: int, m: int, votes: int, offset: int, error: float) -> bool:
+    """Whether recordings of ``n`` and ``m`` codes that align so are a match."""
+    shorter = min(n, m)
+    return votes >= min(MIN_VOTES, shorter) and overlap(n, m, offset) >= min(MIN_OVERLAP, shorter) and error <= MATCH
 
 
 def melody(numbers) -> np.ndarray:
@@ -155,72 +158,78 @@ def pcm16(value: bytes) -> np.ndarray:
     return np.frombuffer(value[: len(value) // 2 * 2], "<i2").astype(np.float32) / 32768
 
 
-def _blocks(rows: DataFrame, names: tuple[str, str]) -> tuple[DataFrame, int]:
-    """(rec_id, codes) in blocks: one row with all ids and codes of about BLOCK recordings."""
-    n = max(1, -(-rows.count() // BLOCK))
-    dealt = rows.groupBy(F.pmod(F.xxhash64("rec_id"), F.lit(n)).cast("int").alias(names[0]))
-    return dealt.agg(F.collect_list(F.struct("rec_id", "codes")).alias(names[1])), n
-
-
-def search(classes: DataFrame, queries: DataFrame) -> DataFrame:
-    """(class_id, match_id, votes, offset, bit_error, nearest), written: for each class of ``classes`` (rec_id, codes) all
-    queries of ``queries`` (rec_id, codes) whose bit error at their best offset is at most MATCH, among those that share an
-    integer and are not equal. The one with the lowest bit error is ``nearest`` and is there even if it is above MATCH."""
-    ones, _ = _blocks(classes, ("block", "ones"))
-    others, n = _blocks(queries, ("q", "others"))
-    pairs = ones.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(others, "q").select("ones", "others")
+def _places(prints: DataFrame, *columns: str) -> DataFrame:
+    """(code, place, *columns) of every place of (codes, *columns)."""
+    # Four bytes of little-endian order to a number: by hexadecimal digits, in the JVM.
+    digits = F.hex("codes")
+    each = F.transform(F.sequence(F.lit(0), F.greatest(F.length("codes") / 4 - 1, F.lit(0)).cast("int")), lambda i: F.substring(digits, i * 8 + 1, F.lit(8)))
+    return prints.where(F.length("codes") > 0).select(*columns, F.posexplode(each).alias("place", "code"))
+
+
+def _in_cells(places: DataFrame, hot: DataFrame, mine: str, other: str, key: str) -> DataFrame:
+    """Places with their cell (a, b): one for most integers; places of a frequent one lie in one of the parts of their own
+    side, and are copied for those of the other."""
+    found = places.join(hot, "code", "left")
+    own = F.pmod(F.xxhash64(key, "place"), F.coalesce(mine, F.lit(1)).cast("long")).cast("int")
+    return found.withColumn(mine, own).withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)).cast("int") - 1)))
+
+
+def search(classes: DataFrame, queries: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(class_id, match_id, votes, offset, bit_error), written: for each class of ``classes`` (rec_id, codes) all queries of
+    ``queries`` (rec_id, class_id, codes) of another class that it matches at their best offset: that of most votes, of equal
+    ones the smallest."""
+    short_batches(classes.sparkSession)
+    ones, others = written(_places(classes, "rec_id"), "class-places"), written(_places(queries, "rec_id", "class_id"), "query-places")
+    sides = ones.groupBy("code").agg(F.count("*").alias("n")).join(others.groupBy("code").agg(F.count("*").alias("m")), "code")
+    parts = lambda n: F.ceil(F.col(n) / split).cast("int")
+    hot = written(sides.select("code", parts("n").alias("a"), parts("m").alias("b")).where("a > 1 or b > 1"), "frequent")
+    left = _in_cells(ones, hot, "a", "b", "rec_id").select("code", "a", "b", F.col("rec_id").alias("one"), F.col("place").alias("p"))
+    right = _in_cells(others, hot, "b", "a", "rec_id").select("code", "a", "b", F.col("rec_id").alias("other"), "class_id", F.col("place").alias("q"))
+    equal = left.join(right, ["code", "a", "b"]).where("one <> class_id")
+    votes = equal.groupBy("one", "other", (F.col("p") - F.col("q")).alias("offset")).agg(F.count("*").alias("votes"))
+    best = votes.groupBy("one", "other").agg(F.max(F.struct("votes", (-F.col("offset")).alias("less"))).alias("b")).select("one", "other", "b.votes", (-F.col("b.less")).alias("offset"))
+    # Short recordings need fewer votes than MIN_VOTES; the rest of the rule needs their codes.
+    sized = lambda df, id_, n, c: df.select(F.col("rec_id").alias(id_), (F.length("codes") / 4).cast("int").alias(n), F.col("codes").alias(c))
+    lengths = best.join(sized(classes, "one", "n", "x").select("one", "n"), "one").join(sized(queries, "other", "m", "y").select("other", "m"), "other")
+    likely = lengths.where(F.col("votes") >= F.least(F.lit(MIN_VOTES), "n", "m")).select("one", "other", "votes", "offset")
+    both = likely.join(sized(classes, "one", "n", "x").select("one", "x"), "one").join(sized(queries, "other", "m", "y").select("other", "y"), "other")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        read = lambda rows: [np.frombuffer(r["codes"], "<u4") for r in rows]
-        for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                a, b = a.as_py(), b.as_py()
-                best, out, codes, against = {}, [], read(a), read(b)
-                for start in range(0, len(a), 50):
-                    pair, offset = align_many(codes[start : start + 50], against)
-                    if not len(pair):
-                        continue
-                    key, votes = np.unique((pair << 20) + offset + (1 << 19), return_counts=True)
-                    pair, offset = key >> 20, (key & ((1 << 20) - 1)) - (1 << 19)
-                    order = np.lexsort((offset, -votes, pair))
-                    first = order[np.concatenate([[True], pair[order][1:] != pair[order][:-1]])]
-                    for p, o, v in zip(pair[first].tolist(), offset[first].tolist(), votes[first].tolist(), strict=True):
-                        k, j = start + p // len(against), p % len(against)
-                        if a[k]["codes"] == b[j]["codes"]:
-                            continue
-                        found = (bit_error(codes[k], against[j], o), -v, b[j]["rec_id"], o)
-                        if found[0] <= MATCH:
-                            out.append((k, found))
-                        elif k not in best or found < best[k]:
-                            best[k] = found
-                out += best.items()
-                if out:
-                    rows = [(a[k]["rec_id"], f[2], -f[1], f[3], f[0]) for k, f in out]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["class_id", "match_id", "votes", "offset", "bit_error"])
-
-    short_batches(classes.sparkSession, 4)
-    links = pairs.repartition(max(8, n), "ones").mapInArrow(run, "class_id long, match_id long, votes long, offset long, bit_error double")
-    links = written(links, "links")
-    best = links.groupBy("class_id").agg(F.min(F.struct("bit_error", (-F.col("votes")).alias("less"), "match_id")).alias("b")).select("class_id", F.col("b.match_id").alias("best_id"))
-    marked = links.join(best, "class_id").withColumn("nearest", F.col("match_id") == F.col("best_id")).drop("best_id")
-    return written(marked.where((F.col("bit_error") <= MATCH) | F.col("nearest")), "found")
-
-
-def match_recordings(prints: DataFrame, is_query) -> DataFrame:
-    """(rec_id, n_codes, class_id, match_id, votes, offset, bit_error, matched) of every row of ``prints`` (rec_id, n_codes,
-    codes), with the nearest query of its class. Every further query that the class matches has a row of its own, whose
-    rec_id is the class_id, so that the links of a recording are those of its class. Recordings too short for a code, and
-    null ones, are a class and match nothing; null ids are kept, in the class of their codes."""
+        for one, other, votes, offset, x, y in rows_of(batches, "one", "other", "votes", "offset", "x", "y"):
+            out = []
+            for row in zip(one, other, votes, offset, x, y, strict=True):
+                a, b = (np.frombuffer(v, "<u4") for v in row[4:])
+                error = bit_error(a, b, row[3])
+                if is_match(len(a), len(b), row[2], row[3], error):
+                    out.append((*row[:4], error))
+            if out:
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["class_id", "match_id", "votes", "offset", "bit_error"])
+
+    return written(both.mapInArrow(run, "class_id long, match_id long, votes long, offset long, bit_error double"), "found")
+
+
+def match_recordings(prints: DataFrame, is_query, split: int = SPLIT) -> DataFrame:
+    """(rec_id, n_codes, class_id, n_matches, match_id, votes, offset, bit_error, matched) of every row of ``prints`` (rec_id,
+    n_codes, codes): its class, the number of queries that the class matches, and of these the nearest (lowest bit error,
+    then most votes, then smallest id). Every further query that a class matches has a row of its own, whose rec_id is the
+    class_id, so that the links of a recording are those of its class.
+
+    Of equal recordings the query with the smallest id stands for all. Recordings too short for a code, and null ones, are a
+    class and match nothing; null ids are kept, in the class of their codes."""
     known = prints.where("n_codes > 0 and rec_id is not null")
     classes = written(known.groupBy("codes").agg(F.min("rec_id").alias("rec_id"), F.min(F.when(is_query(F.col("rec_id")), F.col("rec_id"))).alias("query"), F.min("n_codes").alias("n_codes")), "classes")
-    found = search(classes.select("rec_id", "codes"), classes.where("query is not null").select(F.col("query").alias("rec_id"), "codes"))
-    told = classes.select("codes", F.col("rec_id").alias("class_id")).join(found.where("nearest"), "class_id", "left")
+    found = search(classes.select("rec_id", "codes"), classes.where("query is not null").select(F.col("query").alias("rec_id"), F.col("rec_id").alias("class_id"), "codes"), split)
+    best = F.min_by(F.struct("match_id", "votes", "offset", "bit_error"), F.struct("bit_error", (-F.col("votes")).alias("less"), "match_id"))
+    nearest = found.groupBy("class_id").agg(F.count("*").alias("n_matches"), best.alias("b")).select("class_id", "n_matches", "b.*")
+    told = classes.select("codes", F.col("rec_id").alias("class_id")).join(nearest, "class_id", "left")
     rows = prints.join(told, "codes", "left")
-    link = ["match_id", "votes", "offset", "bit_error", F.coalesce(F.col("bit_error") <= MATCH, F.lit(False)).alias("matched")]
+    link = [F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), "match_id", "votes", "offset", "bit_error", F.col("match_id").isNotNull().alias("matched")]
     first = rows.select("rec_id", "n_codes", F.when(F.col("n_codes") > 0, F.col("class_id")).otherwise(F.col("rec_id")).alias("class_id"), *link)
-    further = found.where("not nearest").join(classes.select(F.col("rec_id").alias("class_id"), "n_codes"), "class_id")
+    more = found.join(nearest.select("class_id", "n_matches", F.col("match_id").alias("first")), "class_id").where("match_id <> first")
+    further = more.join(classes.select(F.col("rec_id").alias("class_id"), "n_codes"), "class_id")
     return first.unionByName(further.select(F.col("class_id").alias("rec_id"), "n_codes", "class_id", *link))
 
 
