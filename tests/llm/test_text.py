@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -203,11 +203,9 @@ def test_winnowing_chooses_the_rightmost_least(spark, odd):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     terms = {r[0]: r[1] for r in docs.select("doc_id", winnow.terms(F.col("text"))).collect()}
     rows = {r["doc_id"]: r for r in winnow.fingerprints(docs).collect()}
-    grams = [(i, p, *(t[p : p + 3] + [None] * 3)[:3]) for i, t in terms.items() for p in range(max(1, len(t) - 2)) if t]
-    hashed = spark.createDataFrame(grams, "i long, p long, a string, b string, c string").select("i", "p", F.shiftrightunsigned(F.xxhash64("a", "b", "c"), 33).alias("h")).collect()
-    by_doc = defaultdict(list)
-    for r in sorted(hashed, key=lambda r: (r["i"], r["p"])):
-        by_doc[r["i"]].append(r["h"])
+    known = spark.createDataFrame([(t,) for t in {x for ts in terms.values() for x in ts}], "t string").select("t", F.shiftrightunsigned(F.xxhash64("t"), 33)).collect()
+    of = dict(map(tuple, known))
+    by_doc = {i: [sum(h * winnow.BASE ** (winnow.K - 1 - j) for j, h in enumerate([of[t] for t in ts[p : p + winnow.K]])) % winnow.MODULUS for p in range(max(1, len(ts) - winnow.K + 1))] for i, ts in terms.items() if ts}
     for i, text in enumerate(texts):
         r = rows[i]
         assert r["n_chars"] == len(text)
@@ -221,14 +219,15 @@ def test_winnowing_chooses_the_rightmost_least(spark, odd):
     assert set(a[0]) & set(b[0])
 
 
-def check_edits(docs, rows, per_range):
-    ordered = sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
+def check_edits(docs, rows, per_range, coarse=2_000):
+    order = {t or "": h for t, h in docs.select("text", F.xxhash64(F.coalesce("text", F.lit("")))).distinct().collect()}
+    ordered = sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, order[r["text"] or ""]))
     want = []
     for k, r in enumerate(ordered):
         text, after = r["text"] or "", ordered[(k + 1) % len(ordered)]["text"] or ""
         half = len(text) // 2
         want.append((str(r["doc_id"]), len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
-    got = winnow.edited_documents(docs, per_range=per_range).collect()
+    got = winnow.edited_documents(docs, per_range=per_range, coarse=coarse).collect()
     assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
     for r in got:
         a, b = (set(re.findall("." * 8, r[c])) for c in ("fingerprint", "edited_fingerprint"))
@@ -246,11 +245,28 @@ def test_edited_documents(spark, odd, none, data, per_range):
     check_edits(odd, odd.collect(), per_range)
     docs = spark.read.parquet(f"{data}/documents.parquet")
     check_edits(docs, docs.collect(), per_range * 10)
+    check_edits(docs, docs.collect(), 3, coarse=4)  # many ranges from few quantiles
     one = docs.where("doc_id = 5")
     check_edits(one, one.collect(), per_range)
     assert winnow.edited_documents(none, per_range=per_range).count() == 0
 
 
+def test_ranges_stay_small_whatever_the_ids(spark):
+    """Frequent ids, ids far apart and null ids: no range is much larger than it should be, and ranges follow the order."""
+    rng = random.Random(6)
+    ids = [7] * 4_000 + [None] * 3_000 + [rng.randrange(1 << 62) for _ in range(3_000)] + list(range(2_000)) + [-(1 << 63), (1 << 63) - 1]
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    keys = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64("text").alias("h")).cache()
+    for coarse in (2_000, 40):
+        plan = winnow.ranges(keys, 100, coarse)
+        at, number = winnow.range_of(F.col("k"), F.col("h"), plan)
+        rows = sorted(map(tuple, keys.select("k", "h", at, number).collect()))
+        assert all(a[2] <= b[2] and a[3] <= b[3] for a, b in zip(rows, rows[1:], strict=False)) and len(plan.start) <= coarse
+        largest = max(Counter(r[3] for r in rows).values())
+        assert largest <= (300 if coarse == 2_000 else 700), largest
+    check_edits(docs, docs.collect(), 100)
+
+
 # -- near duplicates
 
 
@@ -438,6 +454,36 @@ def test_quality_odd_input(spark, odd, none):
     assert accepted.columns == odd.columns and accepted.count() == sum(r["predicted"] for r in got)
 
 
+def test_descent_is_the_gradient_of_the_risk():
+    rng = np.random.default_rng(2)
+    for case in range(12):
+        f, h = 5, 3
+        layers = [rng.normal(0, 1, (f, h)), rng.normal(0, 1, h), rng.normal(0, 2, h), rng.normal(0, 1, 1)]
+        xp, xu, prior = rng.normal(0.5, 1, (7, f)), rng.normal(-1 if case % 2 else 0, 1, (9, f)), (0.3, 0.95)[case % 2]
+        # By hand: the sigmoid loss of both parts.
+        s = lambda x: 1 / (1 + np.exp(-(np.tanh(x @ layers[0] + layers[1]) @ layers[2] + layers[3][0])))  # noqa: E731, B023
+        one, two = quality.risk(layers, xp, xu, prior)
+        assert abs(one - prior * np.mean(1 - s(xp))) < 1e-12 and abs(two - (np.mean(s(xu)) - prior * np.mean(s(xp)))) < 1e-12
+        value = lambda: (sum(quality.risk(layers, xp, xu, prior)) if two >= 0 else -quality.risk(layers, xp, xu, prior)[1])  # noqa: E731, B023
+        for layer, gradient in zip(layers, quality.descent(layers, xp, xu, prior), strict=True):
+            for at in np.ndindex(layer.shape):
+                old, step = layer[at], 1e-6
+                layer[at] = old + step
+                up = value()
+                layer[at] = old - step
+                down = value()
+                layer[at] = old
+                assert abs((up - down) / (2 * step) - gradient[at]) < 1e-7
+
+
+def test_a_repeated_doc_id_counts_once_in_the_sample(spark):
+    docs = spark.createDataFrame([(1, "good text here")] * 500 + [(k, f"text {k} !!") for k in range(2, 40)], "doc_id long, text string")
+    once = spark.createDataFrame([(1, "good text here")] + [(k, f"text {k} !!") for k in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 30)], "doc_id long, quality int")
+    a, b = quality.train(docs, labels), quality.train(once, labels)
+    assert (a.mean == b.mean).all() and all((x == y).all() for x, y in zip(a.layers, b.layers, strict=True))
+
+
 def test_risk_is_not_negative_and_learns():
     rng = np.random.default_rng(1)
     f = quality.FEATURES
