@@ -3,11 +3,11 @@
 Trusted positives are documents labelled 1; everything else the learner sees is unlabelled web text. A small network ``g``
 minimises the non-negative unbiased risk ``prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])`` with the sigmoid
 loss; where a minibatch's second part falls below zero, its gradient is taken back, which keeps the learner from fitting
-the unlabelled sample. The class prior is the share of ones among the labels that may be learned from. Labels of other
-documents, and the labels 0 themselves, are not used.
+the unlabelled sample. The class prior is estimated as the share of ones among the labels that may be learned from, and
+that is all that labels 0 are used for; labels of other documents are not used.
 
 The fit uses at most ``POSITIVES`` labelled and ``UNLABELLED`` unlabelled documents, those first by a hash of doc_id, and
-is made on the driver from some tens of numbers for each. Every document is scored, from its whole text, in one pass.
+is made on the driver from some tens of numbers for each; of rows that repeat a doc_id one is taken. Every document is scored, from its whole text, in one pass.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from sieveline.llm.common import rows_of, short_batches, table, text_or_empty
 
 #: Bounds of the fitting sample.
 POSITIVES, UNLABELLED = 20_000, 20_000
-HIDDEN, EPOCHS, BATCH, RATE, SEED = 24, 40, 512, 0.01, 7
+HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 40, 512, 0.01, 1e-4, 7
 
 _ASCII = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -83,6 +83,30 @@ def _forward(layers: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.nd
     return hidden, hidden @ v + c[0]
 
 
+def risk(layers: list[np.ndarray], xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Both parts of the unbiased risk with the sigmoid loss, l(g) = 1 - s(g) and l(-g) = s(g): what positives cost, and what
+    negatives cost by the unlabelled rows less the positives among them. The second may be negative by chance."""
+    sp, su = (1 / (1 + np.exp(-np.clip(_forward(layers, x)[1], -40, 40))) for x in (xp, xu))
+    return prior * float((1 - sp).mean()), float(su.mean()) - prior * float(sp.mean())
+
+
+def descent(layers: list[np.ndarray], xp: np.ndarray, xu: np.ndarray, prior: float) -> list[np.ndarray]:
+    """The gradient of the risk's sum, or, where the second part is below zero, that of the second part backwards."""
+    (hp, gp), (hu, gu) = _forward(layers, xp), _forward(layers, xu)
+    sp, su = 1 / (1 + np.exp(-np.clip(gp, -40, 40))), 1 / (1 + np.exp(-np.clip(gu, -40, 40)))
+    slope_p, slope_u = sp * (1 - sp) / len(xp), su * (1 - su) / len(xu)
+    if su.mean() - prior * sp.mean() >= 0:
+        dp, du = -2 * prior * slope_p, slope_u
+    else:
+        dp, du = prior * slope_p, -slope_u
+    out = [np.zeros_like(x, dtype=np.float64) for x in layers]
+    for x, h, d in ((xp, hp, dp), (xu, hu, du)):
+        back = np.outer(d, layers[2]) * (1 - h * h)
+        for at, g in enumerate((x.T @ back, back.sum(0), h.T @ d, np.array([d.sum()]))):
+            out[at] += g
+    return out
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     """Minimise the non-negative risk by Adam. Without positives or unlabelled rows every score is the prior."""
     rng = np.random.default_rng(SEED)
@@ -100,20 +124,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
         for k in range(rounds):
             xp = p[np.take(order_p, range(k * BATCH, (k + 1) * BATCH), mode="wrap")]
             xu = u[np.take(order_u, range(k * BATCH, (k + 1) * BATCH), mode="wrap")]
-            hp, gp = _forward(layers, xp)
-            hu, gu = _forward(layers, xu)
-            sp, su = 1 / (1 + np.exp(-np.clip(gp, -40, 40))), 1 / (1 + np.exp(-np.clip(gu, -40, 40)))
-            # Sigmoid loss: l(g) = 1 - s(g), l(-g) = s(g); both have the slope s (1 - s).
-            slope_p, slope_u = sp * (1 - sp) / len(xp), su * (1 - su) / len(xu)
-            if su.mean() - prior * sp.mean() >= 0:
-                dp, du = -2 * prior * slope_p, slope_u
-            else:
-                dp, du = prior * slope_p, -slope_u
-            gradient = [1e-4 * layers[0], np.zeros(HIDDEN), 1e-4 * layers[2], np.zeros(1)]
-            for x, h, d in ((xp, hp, dp), (xu, hu, du)):
-                back = np.outer(d, layers[2]) * (1 - h * h)
-                for at, g in enumerate((x.T @ back, back.sum(0), h.T @ d, np.array([d.sum()]))):
-                    gradient[at] = gradient[at] + g
+            gradient = [DECAY * layers[0], np.zeros(HIDDEN), DECAY * layers[2], np.zeros(1)]
+            gradient = [a + b for a, b in zip(gradient, descent(layers, xp, xu, prior), strict=True)]
             step += 1
             for at, g in enumerate(gradient):
                 first[at] = 0.9 * first[at] + 0.1 * g
@@ -141,12 +153,13 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for texts, p, only in rows_of(batches, "t", "positive", "labelled_only"):
+        for keys, texts, p, only in rows_of(batches, "k", "t", "positive", "labelled_only"):
             rows = [features(t).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(p, pa.int32()), pa.array(only, pa.int32())], ["x", "positive", "labelled_only"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.binary()), pa.array(p, pa.int32()), pa.array(only, pa.int32())], ["k", "x", "positive", "labelled_only"])
 
-    chosen = docs.select("doc_id", text_or_empty().alias("t")).join(F.broadcast(sample), "doc_id").drop("doc_id")
-    got = chosen.mapInArrow(run, "x binary, positive int, labelled_only int").toArrow()
+    chosen = docs.select("doc_id", text_or_empty().alias("t")).join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long").alias("k"), "t", "positive", "labelled_only")
+    each = chosen.mapInArrow(run, "k long, x binary, positive int, labelled_only int")
+    got = each.groupBy("k", "positive", "labelled_only").agg(F.min("x").alias("x")).toArrow()  # a row for each id of the sample
     if not got.num_rows:
         return fit(np.zeros((0, FEATURES)), np.zeros((0, FEATURES)), prior)
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, FEATURES)

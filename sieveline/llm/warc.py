@@ -11,10 +11,12 @@ responses in a group without any. Rows that repeat a response's page_id and payl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import new_folder, table, written
+from sieveline.llm.common import new_folder, rows_of, short_batches, table, written
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EOL = "\r\n"
@@ -94,6 +96,48 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     return whole.unionByName(bare)
 
 
+def whole_pages(spark: SparkSession, folder: str, part: int = 10_000) -> DataFrame:
+    """(page_id, head, payload) of all records: a revisit has the payload of the response that it refers to.
+
+    A payload is copied once for each ``part`` of its records, so that those of a frequent one are dealt to several tasks."""
+    heads = spark.read.schema("page_id long, digest string, carries boolean, head string").parquet(f"{folder}/heads")
+    payloads = spark.read.schema("digest string, payload binary").parquet(f"{folder}/payloads")
+    parts = heads.groupBy("digest").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    copies = payloads.join(parts, "digest").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    frequent = parts.where("parts > 1")
+    dealt = heads.join(frequent, "digest", "left").withColumn("p", F.pmod(F.xxhash64("page_id", "head"), F.coalesce("parts", F.lit(1)).cast("long")).cast("int"))
+    return dealt.join(copies, ["digest", "p"]).select("page_id", "head", "payload")
+
+
+def write_files(records: DataFrame, folder: str) -> DataFrame:
+    """Archive files in WARC's own form: (path, n_records), written. Each record is a gzip member of its own; a task writes one
+    file under a name of its attempt, and only files that are named in the result count."""
+    short_batches(records.sparkSession)
+
+    def run(batches: Iterator) -> Iterator:
+        import gzip
+
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        stream, n = None, 0
+        for (found,) in rows_of(batches, "record"):
+            if stream is None:
+                store, top = fs.FileSystem.from_uri(folder)
+                store.create_dir(top, recursive=True)
+                name = f"pages-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}.warc.gz"
+                stream = store.open_output_stream(f"{top}/{name}", compression=None)
+            for record in found:
+                stream.write(gzip.compress(record, 6, mtime=0))
+            n += len(found)
+        if stream is not None:
+            stream.close()
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64())], ["path", "n_records"])
+
+    return written(records.select("record").mapInArrow(run, "path string, n_records long"), "warc-files")
+
+
 def parse_records(records: DataFrame) -> DataFrame:
     """What the records themselves say: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     head = F.col("head")

@@ -1,6 +1,7 @@
 """Main text, archives and audio fingerprints against fixtures and brute force."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -192,6 +193,34 @@ def test_damage_is_found(spark):
         warc.read_records(spark, other).collect()
 
 
+def test_revisits_find_their_payload_and_files_hold_all_records(spark):
+    rows = [(k, "http://a/", f"page {k % 7} é" if k % 3 else "") for k in range(60)]
+    folder = new_folder(spark, "warc")
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    got = warc.whole_pages(spark, folder, part=5).collect()
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in got) == sorted((k, h) for k, _, h in rows)
+    records = warc.read_records(spark, folder)
+    files = warc.write_files(records, new_folder(spark, "files")).collect()
+    assert sum(r["n_records"] for r in files) == 60
+    data = b"".join(gzip.open(r["path"].removeprefix("file://")).read() for r in files)
+    seen, at = set(), 0
+    while at < len(data):  # a reader of its own: lines up to the empty one, then as many bytes as they say
+        end = data.index(b"\r\n\r\n", at)
+        version, *lines = data[at:end].decode().split("\r\n")
+        fields = {k.lower(): v for k, v in (line.split(": ", 1) for line in lines)}
+        body = data[end + 4 : end + 4 + int(fields["content-length"])]
+        at = end + 4 + len(body)
+        assert version == "WARC/1.1" and data[at : at + 4] == b"\r\n\r\n" and body.startswith(b"HTTP/1.1 200 OK\r\n")
+        at += 4
+        k = int(fields["warc-record-id"][len("<urn:x-page:") : -1])
+        seen.add(k)
+        if fields["warc-type"] == "response":
+            assert body.partition(b"\r\n\r\n")[2] == rows[k][2].encode()
+        else:
+            assert rows[int(fields["warc-refers-to"][len("<urn:x-page:") : -1])][2] == rows[k][2]
+    assert seen == set(range(60))
+
+
 def test_warc_query_equals_sql(spark):
     con = duckdb.connect()
     con.sql(f"create view pages as select * from read_parquet('{DATA}/pages.parquet')")
@@ -245,6 +274,33 @@ def test_alignment_finds_the_offset():
     assert chroma.bit_error(a, a, len(a)) == 1.0
 
 
+def test_one_equal_integer_is_no_match_and_long_recordings_align():
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (200, 200))
+    b[190] = a[5]
+    assert chroma.align(a, b)[:2] == (1, -185) and not chroma.is_match(200, 200, 1, -185, 0.1)
+    assert not chroma.is_match(200, 200, 9, 195, 0.0) and chroma.is_match(200, 5, 3, 0, 0.1) and chroma.is_match(2, 200, 2, -7, 0.0) and not chroma.is_match(200, 200, 9, 0, 0.31)
+    long = rng.integers(0, 1 << 32, 1_400_000, dtype=np.uint32)
+    assert chroma.align(long, long[1_300_000:1_300_100]) == (100, 1_300_000, 0.0)
+
+
+@pytest.mark.parametrize("split", [2, 2_000])
+def test_frequent_integers_are_dealt_to_cells(spark, split):
+    """Recordings that share a held note in all places, as brute force sees them."""
+    rng = np.random.default_rng(1)
+    codes = {k: np.where(rng.random(60) < 0.8, 77, rng.integers(0, 1 << 32, 60)).astype("<u4") for k in range(0, 700, 50)}
+    codes[999] = codes[100][10:].copy()
+    prints = spark.createDataFrame([(k, len(v), bytearray(v.tobytes())) for k, v in codes.items()], "rec_id long, n_codes long, codes binary")
+    got = {(r["class_id"], r["match_id"]): (r["votes"], r["offset"]) for r in chroma.match_recordings(prints, lambda i: i % 100 == 0, split).collect() if r["matched"]}
+    want = {}
+    for c, a in codes.items():
+        for q in range(0, 700, 100):
+            votes, offset, error = chroma.align(a, codes[q])
+            if q != c and chroma.is_match(len(a), len(codes[q]), votes, offset, error):
+                want[c, q] = votes, offset
+    assert got == want and got[999, 100] == (50, -10) and len(want) > 20
+
+
 def test_search_equals_pairwise_alignment(spark):
     rng = np.random.default_rng(5)
     tunes = {i: rng.normal(0, 0.2, 40) for i in range(0, 40)}
@@ -264,13 +320,15 @@ def test_search_equals_pairwise_alignment(spark):
         if r["rec_id"] not in codes:
             assert r["match_id"] is None and not r["matched"]
             continue
-        a, best = codes[r["class_id"]], None
+        a, best, matches = codes[r["class_id"]], None, 0
         for q in sorted(codes):
             if q % 100 == 0 and q != r["class_id"] and codes[q].tobytes() != a.tobytes():
                 votes, offset, error = chroma.align(a, codes[q])
-                if votes and (best is None or (error, -votes, q) < best[:3]):
+                matches += chroma.is_match(len(a), len(codes[q]), votes, offset, error)
+                if chroma.is_match(len(a), len(codes[q]), votes, offset, error) and (best is None or (error, -votes, q) < best[:3]):
                     best = (error, -votes, q, offset)
         assert (r["match_id"], r["votes"], r["offset"]) == ((best[2], -best[1], best[3]) if best else (None, None, None))
+        assert r["n_matches"] == matches and r["matched"] == (matches > 0)
     assert found[2500]["match_id"] == 0 and found[2500]["matched"] and abs(found[2500]["offset"] - 12) <= 1
     assert found[2550]["class_id"] == 150
 
@@ -289,7 +347,7 @@ def test_all_matches_of_a_class_are_returned(spark):
     for c in sorted(set(codes) - {9}):
         for q in range(100, 700, 100):
             votes, offset, error = chroma.align(codes[c], codes[q])
-            if q != c and votes and error <= chroma.MATCH:
+            if q != c and chroma.is_match(len(codes[c]), len(codes[q]), votes, offset, error):
                 expected[c, q] = votes, offset
     of_classes = [r for r in got if r["matched"] and r["rec_id"] == r["class_id"]]
     assert {(r["class_id"], r["match_id"]): (r["votes"], r["offset"]) for r in of_classes} == expected and len(of_classes) == len(expected)
@@ -297,6 +355,12 @@ def test_all_matches_of_a_class_are_returned(spark):
     assert {r["rec_id"] for r in got} == set(tunes) and [r["class_id"] for r in got if r["rec_id"] == 9] == [7]
 
 
+def test_recordings_with_clashing_columns(spark):
+    df = spark.createDataFrame([(k, [0.1 * k, 0.2] * 20, k, "x", "y") for k in range(5)], "vec_id long, embedding array<double>, rec_id int, codes string, place string")
+    got = chroma.match_recordings(chroma.fingerprints(df, "vec_id", chroma.melody, "embedding"), lambda i: i % 100 == 0)
+    assert got.count() == 5 and got.where("rec_id is null").count() == 0
+
+
 def test_pcm_and_empty_media(spark):
     sound = (tune(4) * 20_000).astype("<i2")
     df = spark.createDataFrame([(1, bytearray(sound.tobytes())), (2, bytearray(b"")), (3, bytearray(b"\x01")), (4, None)], "id long, media binary")

@@ -63,6 +63,21 @@ def test_stages_on_an_empty_table(spark, data):
         assert stage(spark, docs, data).count() == 0
 
 
+def test_stages_on_odd_rows(spark, data, odd, tmp_path):
+    """Null ids and texts, repeated rows and clashing columns through all stages, each written and read again."""
+    docs, had = odd, odd.count()
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, data).write.parquet(f"{tmp_path}/{k}")
+        after = spark.read.parquet(f"{tmp_path}/{k}")
+        if name == "packing":
+            assert sorted({str(r["doc_id"]) for r in after.collect()}) == sorted({str(r["doc_id"]) for r in docs.collect()})
+            assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 4096
+        else:
+            assert after.columns == odd.columns and after.count() <= had
+            had = after.count()
+        docs = after
+
+
 def test_near_duplicate_stage_links_from_080(spark, data, stages):
     good, single, *_ = stages
     groups = brute_components([(r["doc_id"], r["text"]) for r in good.collect()], percent=80)
