@@ -1,6 +1,7 @@
 """BM25F full-text search.
 
-An index is two tables: postings (term, doc_id, exact array<int>, stemmed array<int>) and lengths (doc_id, field_length).
+An index is two tables: postings (term, doc_id, exact array<int>, stemmed array<int>, and beside them the document's
+field_length, where it is known) and lengths (doc_id, field_length).
 ``TextIndex.of`` makes them from documents; a search then asks for the terms it wants, and tokens that no query term
 matches are left out within each row, before anything is exploded or exchanged.
 """
@@ -66,17 +67,18 @@ class TextIndex:
         """An index over documents that is computed when asked for. Null texts are not indexed. A stem stands beside its
         token, so that both are found at the same place; a token whose stem is null has none."""
         rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), tokenizer(F.col(text)).alias("tokens"))
+        length = F.least(F.size("tokens"), F.lit(MAX_FIELD_LENGTH)).alias("field_length")
 
         def postings(condition: Callable[[Column], Column]) -> DataFrame:
             placed = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos"), F.lit(False).alias("stem")))
             if stemmer is not None:
                 stems = F.transform("tokens", lambda t, i: F.struct(stemmer(t).alias("term"), i.alias("pos"), F.lit(True).alias("stem")))
                 placed = F.concat(placed, stems)
-            hits = rows.select("doc_id", F.explode(F.filter(placed, lambda p: p["term"].isNotNull() & condition(p["term"]))).alias("p")).select("doc_id", "p.*")
+            hits = rows.select("doc_id", length, F.explode(F.filter(placed, lambda p: p["term"].isNotNull() & condition(p["term"]))).alias("p")).select("doc_id", "field_length", "p.*")
             place = lambda stem: F.sort_array(F.collect_list(F.when(F.col("stem") == stem, F.col("pos"))))
-            return hits.groupBy("term", "doc_id").agg(place(False).alias("exact"), place(True).alias("stemmed"))
+            return hits.groupBy("term", "doc_id").agg(place(False).alias("exact"), place(True).alias("stemmed"), F.max("field_length").alias("field_length"))
 
-        return TextIndex(postings, rows.select("doc_id", F.least(F.size("tokens"), F.lit(MAX_FIELD_LENGTH)).alias("field_length")))
+        return TextIndex(postings, rows.select("doc_id", length))
 
     @staticmethod
     def stored(postings: DataFrame, lengths: DataFrame, removed: DataFrame | None = None, terms: DataFrame | None = None, known_stats: tuple[int, int] | None = None) -> TextIndex:

@@ -238,8 +238,9 @@ def text_prefix(spark: SparkSession, d: str) -> DataFrame:
 def text_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     """Terms of other letters are left out: DuckDB counts edits in bytes, Spark in code points."""
     plain = lambda t: F.filter(text.tokens(t), lambda x: x.rlike("^[a-z]+$"))
-    whole = _index(spark, d)
-    return _rounded(text.search(text.TextIndex(_index(spark, d, tokenizer=plain).postings_where, whole.lengths), text.Search(("heing", "estion"), tolerance=1)))
+    whole, some = _index(spark, d), _index(spark, d, tokenizer=plain)
+    postings = lambda condition: some.postings_where(condition).drop("field_length")  # lengths count all terms
+    return _rounded(text.search(text.TextIndex(postings, whole.lengths), text.Search(("heing", "estion"), tolerance=1)))
 
 
 _STEM = "regexp_replace({}, '(ing|ed|s)$', '')"

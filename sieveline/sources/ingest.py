@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.geo import in_range
 from sieveline.functions.vectors import usable
-from sieveline.schema import MAX_FIELD_LENGTH, FieldSpec
+from sieveline.schema import FieldSpec
 
 
 def _elements(json: Column) -> Column:
@@ -89,8 +89,7 @@ def text_entries(rows: DataFrame, tokenizer: Callable[[Column], Column], stemmer
     from sieveline.operators.text import TextIndex
 
     index = TextIndex.of(rows, text=text, tokenizer=tokenizer, stemmer=stemmer)
-    lengths = index.lengths.select("doc_id", F.least("field_length", F.lit(MAX_FIELD_LENGTH)).alias("field_length"))
-    return lengths.join(index.postings(), "doc_id", "left").select("doc_id", "term", "exact", "stemmed", "field_length")
+    return index.lengths.join(index.postings().drop("field_length"), "doc_id", "left").select("doc_id", "term", "exact", "stemmed", "field_length")
 
 
 def geo_entries(rows: DataFrame, json: str = "json", is_array: bool = False) -> DataFrame:
