@@ -1,9 +1,8 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
 A text is lower-cased and cut into terms: runs of letters and digits of any script, ideographs and kana one by one. Each
-term is hashed once, and every ``K`` adjacent ones make a Karp-Rabin number: a polynomial in ``BASE`` modulo 2^31 - 1, built
-for all places at once by passes over the array, one for each term of a gram (a text with fewer terms is one gram; one
-without terms is its own gram). Of every ``WINDOW`` adjacent grams the smallest hash is chosen, the rightmost where several
+term is hashed once, and every ``K`` adjacent ones make a Karp-Rabin number, a polynomial in ``BASE`` modulo 2^31 - 1 (a text
+with fewer terms is one gram; one without terms is its own gram). Of every ``WINDOW`` adjacent grams the smallest hash is chosen, the rightmost where several
 are equal; the chosen grams, with the places of their first terms, are the fingerprint. Two texts that share
 ``WINDOW + K - 1`` adjacent terms share a chosen gram, and the places tell where. Equal texts have equal fingerprints; the
 empty text has none.
@@ -22,13 +21,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import table, text_or_empty, written
+from sieveline.llm.common import scratch, table, text_or_empty, written
 
 K, WINDOW = 3, 8
 #: Of the Karp-Rabin numbers; both factors of a product stay below 2^31.
 BASE, MODULUS = 1_000_003_579, (1 << 31) - 1
 #: Rows of a range, quantiles that ranges start from, and ranges whose first keys are broadcast (24 bytes each).
-PER_RANGE, COARSE, SENT = 1_000, 2_000, 100_000
+PER_RANGE, COARSE, SENT = 250, 2_000, 100_000
 _LOWEST = -(1 << 63)
 _SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 _BETWEEN = r"[^\p{L}\p{M}\p{N}]+"
@@ -52,21 +51,21 @@ def chosen(text: Column, k: int = K, window: int = WINDOW) -> Column:
     # What is used more than once is bound as a lambda's argument: it is computed once.
     bind = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
 
-    def rolled(hashed: Column) -> Column:
-        """h[i] * BASE^(k-1) + ... + h[i+k-1] for every place; terms past the end count 0."""
-        out = hashed
-        for j in range(1, k):
-            after = F.slice(hashed, j + 1, F.greatest(F.size(hashed) - j, F.lit(0)))
-            out = F.zip_with(out, after, lambda a, b: (a * F.lit(BASE) + F.coalesce(b, F.lit(0).cast("long"))) % F.lit(MODULUS))
-        return F.slice(out, 1, F.greatest(F.size(hashed) - (k - 1), F.lit(1)))
-
     def placed(hashed: Column) -> Column:
-        return F.transform(bind(hashed, rolled), lambda h, i: F.shiftleft(h, 31).bitwiseOR((F.lit(_PLACE) - i).cast("long")))
+        """h[i] * BASE^(k-1) + ... + h[i+k-1] for every place, and the place; terms past the end count 0."""
+
+        def number(first: Column, i: Column) -> Column:
+            out = first
+            for j in range(1, k):
+                out = (out * F.lit(BASE) + F.coalesce(F.get(hashed, i + j), F.lit(0).cast("long"))) % F.lit(MODULUS)
+            return F.shiftleft(out, 31).bitwiseOR((F.lit(_PLACE) - i).cast("long"))
+
+        return F.transform(F.slice(hashed, 1, F.greatest(F.size(hashed) - (k - 1), F.lit(1))), number)
 
     def grams(words: Column) -> Column:
         alone = F.array(F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 33), 31).bitwiseOR(F.lit(_PLACE).cast("long")))
         each = F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 33))
-        return F.when(F.size(words) > 0, placed(each)).when(text != "", alone).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(words) > 0, bind(each, placed)).when(text != "", alone).otherwise(F.array().cast("array<bigint>"))
 
     def narrowed(least: Column, step: int) -> Column:
         """Minima of windows of twice the length; past the end the shorter array gives nulls, which least() skips."""
@@ -185,10 +184,12 @@ def edited_documents(docs: DataFrame, per_range: int = PER_RANGE, k: int = K, wi
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     slim = slim.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LOWEST)).alias("k"), F.xxhash64("text").alias("h"))
-    keys = written(slim.select("k", "h"), "keys")
-    plan = ranges(keys, per_range, coarse)
-    at, number = range_of(F.col("k"), F.col("h"), plan)
-    before = _before(keys.select("k", "h", at.alias("at"), number.alias("range")))
+    with scratch(docs.sparkSession) as keep:
+        keys = written(slim.select("k", "h"), "keys")
+        plan = ranges(keys, per_range, coarse)
+        at, number = range_of(F.col("k"), F.col("h"), plan)
+        before = _before(keys.select("k", "h", at.alias("at"), number.alias("range")))
+        keep(before)
     if before.count() <= SENT:
         before = F.broadcast(before)
     # Rows that repeat a first key have its text too.
