@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import rows_of, short_batches, table, written
+from sieveline.llm.common import rows_of, scratch, short_batches, table, written
 
 RATE, NOTE, FRAME, HOP = 8_000, 500, 1_024, 250
 LOWEST, HIGHEST = 55.0, 3_520.0
@@ -135,8 +135,12 @@ def melody(numbers) -> np.ndarray:
     """Samples that play a note for each number; numbers that are null or no numbers are rests."""
     v = np.array([np.nan if x is None else x for x in numbers], np.float64)
     note = np.round(12 * np.tanh(np.nan_to_num(v) * 4))
-    phase = np.cumsum(np.repeat(2 * np.pi * 440 * 2 ** (note / 12) / RATE, NOTE))
-    return (np.repeat(np.isfinite(v), NOTE) * (np.sin(phase) + 0.4 * np.sin(2 * phase))).astype(np.float32)
+    turn = 440 * 2 ** (note / 12) / RATE
+    # Each note goes on where the one before ended; whole turns are taken out before the sine of short numbers.
+    turns = (np.cumsum(turn * NOTE) - turn * NOTE)[:, None] + turn[:, None] * np.arange(1, NOTE + 1)
+    phase = ((turns - np.floor(turns)) * (2 * np.pi)).astype(np.float32)
+    tone = np.sin(phase)
+    return (np.isfinite(v)[:, None] * (tone + np.float32(0.8) * tone * np.cos(phase))).astype(np.float32).reshape(-1)
 
 
 def fingerprints(media: DataFrame, id_column: str, samples_of, column: str) -> DataFrame:
@@ -159,11 +163,19 @@ def pcm16(value: bytes) -> np.ndarray:
 
 
 def _places(prints: DataFrame, *columns: str) -> DataFrame:
-    """(code, place, *columns) of every place of (codes, *columns)."""
-    # Four bytes of little-endian order to a number: by hexadecimal digits, in the JVM.
-    digits = F.hex("codes")
-    each = F.transform(F.sequence(F.lit(0), F.greatest(F.length("codes") / 4 - 1, F.lit(0)).cast("int")), lambda i: F.substring(digits, i * 8 + 1, F.lit(8)))
-    return prints.where(F.length("codes") > 0).select(*columns, F.posexplode(each).alias("place", "code"))
+    """(code, place, *columns) of every place of (codes, *columns), whole numbers all."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for codes, *others in rows_of(batches, "codes", *columns):
+            each = [np.frombuffer(c or b"", "<u4") for c in codes]
+            n = list(map(len, each))
+            if sum(n):
+                place = np.concatenate([np.arange(k) for k in n])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).astype(np.int64)), pa.array(place), *(pa.array(np.repeat(np.array(o, np.int64), n)) for o in others)], ["code", "place", *columns])
+
+    return prints.select("codes", *columns).mapInArrow(run, ", ".join(f"{c} long" for c in ("code", "place", *columns)))
 
 
 def _in_cells(places: DataFrame, hot: DataFrame, mine: str, other: str, key: str) -> DataFrame:
@@ -221,7 +233,9 @@ def match_recordings(prints: DataFrame, is_query, split: int = SPLIT) -> DataFra
     class and match nothing; null ids are kept, in the class of their codes."""
     known = prints.where("n_codes > 0 and rec_id is not null")
     classes = written(known.groupBy("codes").agg(F.min("rec_id").alias("rec_id"), F.min(F.when(is_query(F.col("rec_id")), F.col("rec_id"))).alias("query"), F.min("n_codes").alias("n_codes")), "classes")
-    found = search(classes.select("rec_id", "codes"), classes.where("query is not null").select(F.col("query").alias("rec_id"), F.col("rec_id").alias("class_id"), "codes"), split)
+    with scratch(prints.sparkSession) as keep:
+        found = search(classes.select("rec_id", "codes"), classes.where("query is not null").select(F.col("query").alias("rec_id"), F.col("rec_id").alias("class_id"), "codes"), split)
+        keep(found)
     best = F.min_by(F.struct("match_id", "votes", "offset", "bit_error"), F.struct("bit_error", (-F.col("votes")).alias("less"), "match_id"))
     nearest = found.groupBy("class_id").agg(F.count("*").alias("n_matches"), best.alias("b")).select("class_id", "n_matches", "b.*")
     told = classes.select("codes", F.col("rec_id").alias("class_id")).join(nearest, "class_id", "left")
