@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -64,24 +65,51 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/sieveline/{name}-{uuid.uuid4().hex}"
 
 
+#: What ``written`` made within each open ``scratch``: tables and their folders.
+_OPEN: list[list[tuple[DataFrame, str]]] = []
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: lineage ends there, and a lost executor
     costs no recomputation. Unlike a checkpoint the table keeps column pruning and exact size statistics."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].append((stored, path))
+    return stored
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Deletes at its end the tables that ``written`` made within, but those handed to the function that it gives: what a
+    result is still to be read from."""
+    made: list[tuple[DataFrame, str]] = []
+    kept: list[DataFrame] = []
+    _OPEN.append(made)
+    try:
+        yield lambda *frames: kept.extend(frames)
+    finally:
+        _OPEN.pop()
+        for df, path in made:
+            if not any(df is k for k in kept):
+                _delete(spark, path)
+            elif _OPEN:
+                _OPEN[-1].append((df, path))
 
 
 def dropped(*frames: DataFrame) -> None:
     """Delete tables made by ``written`` once what was derived from them is itself written."""
     for df in frames:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
             if "/sieveline/" in path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(df.sparkSession, path)
 
 
 class TwoGenerations(dict):

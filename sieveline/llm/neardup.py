@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import TwoGenerations, rows_of, short_batches, table, text_or_empty, written
+from sieveline.llm.common import TwoGenerations, rows_of, scratch, short_batches, table, text_or_empty, written
 from sieveline.llm.components import components
 
 WORDS = 5
@@ -394,17 +394,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     are kept). Rows that repeat a doc_id are one document. Empty input gives no rows.
     """
     size = size_for(percent)
-    rows = shingle_table(docs, size.places)
-    usable = rows.where("same is not null and doc_id is not null")
-    same = written(usable.groupBy("same").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")), "sets")
-    # A doc_id that several sets represent (repeated rows with different texts) is one node of the graph.
-    close = near_signatures(same.select("rep", "sig"), size)
-    sizes = close.groupBy("component").agg(F.count("*").alias("size"))
-    clusters = written(close.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "size"), "clusters")
-    # Rows of one doc_id are one document: each of its sets' representatives is linked to it.
-    repeated = usable.groupBy("doc_id").agg(F.min("same").alias("x"), F.max("same").alias("y")).where("x <> y").select("doc_id")
-    joined = usable.join(repeated, "doc_id").select("doc_id", "same").distinct().join(same.select("same", "rep"), "same").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(confirmed_links(docs, clusters, percent).unionByName(joined))
+    with scratch(docs.sparkSession) as keep:
+        rows = shingle_table(docs, size.places)
+        usable = rows.where("same is not null and doc_id is not null")
+        same = written(usable.groupBy("same").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")), "sets")
+        # A doc_id that several sets represent (repeated rows with different texts) is one node of the graph.
+        close = near_signatures(same.select("rep", "sig"), size)
+        sizes = close.groupBy("component").agg(F.count("*").alias("size"))
+        clusters = written(close.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "size"), "clusters")
+        # Rows of one doc_id are one document: each of its sets' representatives is linked to it.
+        repeated = usable.groupBy("doc_id").agg(F.min("same").alias("x"), F.max("same").alias("y")).where("x <> y").select("doc_id")
+        joined = usable.join(repeated, "doc_id").select("doc_id", "same").distinct().join(same.select("same", "rep"), "same").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        found = components(confirmed_links(docs, clusters, percent).unionByName(joined))
+        keep(rows, same, found)
     of_set = same.join(found, same["rep"] == found["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     result = rows.select("doc_id", "n_shingles", "same").join(of_set, "same", "left")
     return result.select(

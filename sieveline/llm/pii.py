@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import dropped, table, text_or_empty, written
+from sieveline.llm.common import scratch, table, text_or_empty, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct instances that a pattern needs, turns of scoring, and the score from which a pattern is trusted.
@@ -189,18 +189,16 @@ def trusted_patterns(seen: DataFrame, support: int = SUPPORT, rounds: int = ROUN
     """(pattern, kind, score) of the patterns that are trusted, written. ``seen``: (pattern, value, kind), kind null for no seed."""
     if rounds < 1:
         raise ValueError("at least one round")
-    edges = written(seen.groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "edges")
-    accepted = None
-    for turn in range(rounds):
-        patterns = _scored_patterns(edges, accepted, support, confident)
-        if turn < rounds - 1:
-            reached = edges.where("kind is null").join(patterns, "pattern").groupBy("value").agg(F.max(F.struct("score", (-F.col("of")).alias("less"))).alias("b"))
-            new = written(reached.where(F.col("b.score") >= confident).select("value", (-F.col("b.less")).alias("as"), F.col("b.score").alias("confidence")), "accepted")
-            if accepted is not None:
-                dropped(accepted)
-            accepted = new
-    trusted = written(patterns.where(F.col("score") >= confident).select("pattern", F.col("of").alias("kind"), "score"), "trusted")
-    dropped(edges, *([accepted] if accepted is not None else []))
+    with scratch(seen.sparkSession) as keep:
+        edges = written(seen.groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "edges")
+        accepted = None
+        for turn in range(rounds):
+            patterns = _scored_patterns(edges, accepted, support, confident)
+            if turn < rounds - 1:
+                reached = edges.where("kind is null").join(patterns, "pattern").groupBy("value").agg(F.max(F.struct("score", (-F.col("of")).alias("less"))).alias("b"))
+                accepted = written(reached.where(F.col("b.score") >= confident).select("value", (-F.col("b.less")).alias("as"), F.col("b.score").alias("confidence")), "accepted")
+        trusted = written(patterns.where(F.col("score") >= confident).select("pattern", F.col("of").alias("kind"), "score"), "trusted")
+        keep(trusted)
     return trusted
 
 

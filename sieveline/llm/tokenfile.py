@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm import wordbpe
-from sieveline.llm.common import new_folder, rows_of, short_batches, table, text_or_empty, written
+from sieveline.llm.common import new_folder, rows_of, scratch, short_batches, table, text_or_empty, written
 
 MAGIC, CLOSE = b"SVTOK1\n", b"SVTOKEND"
 BLOCK = 1 << 16
@@ -166,7 +166,10 @@ def write_shards(docs: DataFrame, folder: str, kind: str = "B", block: int = BLO
     slim = docs.select(F.col("doc_id").cast("long").alias("k"), F.xxhash64(text_or_empty()).alias("h"), F.monotonically_increasing_id().alias("n"), text_or_empty().alias("t"))
     manifest = slim.repartitionByRange("k", "h", "n").sortWithinPartitions("k", "h", "n").select("k", "t").mapInArrow(run, "shard long, path string, n_docs long, n_ids long")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return written(written(manifest, "shards").withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "manifest")
+    with scratch(docs.sparkSession) as keep:
+        whole = written(written(manifest, "shards").withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "manifest")
+        keep(whole)
+    return whole
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

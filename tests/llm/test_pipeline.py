@@ -38,7 +38,7 @@ def test_stages(spark, data, stages):
     model = quality.train(docs, spark.read.parquet(f"{data}/labels.parquet"))
     accepted = {r["doc_id"] for r in quality.score(docs, model).where("score >= 0.5").collect()}
     assert {r["doc_id"] for r in good.collect()} == accepted
-    kept = {r["doc_id"] for r in neardup.near_duplicates(good).where("kept").collect()}
+    kept = {r["doc_id"] for r in neardup.near_duplicates(good, 80).where("kept").collect()}
     assert sorted(r["doc_id"] for r in single.collect()) == sorted(kept)
     before, after = ({r["doc_id"]: r for r in df.collect()} for df in (single, clean))
     assert set(before) == set(after)
