@@ -116,6 +116,9 @@ class FieldIndex:
         """Postings, lengths and terms of a text field, for ``operators.text``. Stored lengths and terms have a row for each
         document and term of a segment; where nothing hides stored documents, the counts in the manifest are the statistics."""
         manifest = self.store.manifest()
+        if any("lengths" not in s for s in manifest["segments"]):  # of format 1
+            rows = self.entries()
+            return TextIndex.stored(rows.where("term is not null"), rows.select("doc_id", "field_length").distinct())
         stored, marks = self._stored(manifest["segments"], self.lengths, "lengths"), self._hiding(manifest)
         terms = self._stored(manifest["segments"], self.terms, "terms").select("term")
         if not self._batches(manifest["covers"]):
@@ -173,11 +176,12 @@ class FieldIndex:
         share = dead / rows if rows else 0.0
         over = share >= self.threshold if self.spec.kind == "number" else share > self.threshold
         live = live_view(recent, self.spec).select([f.name for f in self.entry_schema.fields])
-        merged = segments if not rows or over else self._merged(segments, live.count())
+        old = self.spec.kind == "text" and any("lengths" not in s for s in segments)  # of format 1
+        merged = segments if not rows or over or old else self._merged(segments, live.count())
         kept = [s for s in segments if s not in merged]
         both = visible(self._stored(merged), marks).unionByName(live) if merged else live
         new = self._save(both)
-        tombstones = self.store.save(marks, "tombstones", []) if kept else None
+        tombstones = self.store.save(marks, "tombstones", ["doc_id"]) if kept else None
         self.store.save_manifest({"version": version, "segments": [*kept, new], "tombstones": tombstones, "covers": upto})
         self.store.point(version)
         return True
@@ -195,6 +199,8 @@ class FieldIndex:
                 self.store.delete("versions", name)
         for name in self.store.pointers()[:-1]:
             self.store.delete("current", name)
+        if self.store.pointers():
+            self.store.delete("CURRENT")
         for seq in self._folders():
             if seq <= manifest["covers"]:
                 self.store.delete("ops", f"seq={seq}")
@@ -270,7 +276,7 @@ class FieldIndex:
 
         checks = (("current", lambda: f"version {self.store.current()}"), ("manifest", manifest), ("files", files), ("schema", schema), ("rows", rows), ("order", order), ("tombstones", tombstones))
         out: list[tuple[str, str, str]] = []
-        if not self.store.pointers():
+        if not self.store.pointers() and not self.store.exists("CURRENT"):
             out = [("current", "failed", "no version"), *[(n, "skipped", "") for n, _ in checks[1:]]]
         else:
             for name, check in checks:

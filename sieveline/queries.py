@@ -154,9 +154,16 @@ for _name, _condition, _call in (
     _source = _POINTS.format(doc="event_id")
     query(_name, f"SELECT doc_id FROM ({_source}) WHERE {_condition}")(lambda s, d, f=_call: f(_points(s, d), False))
     query(_name.replace("geo_", "geo_outside_"), f"SELECT doc_id FROM ({_source}) WHERE NOT ({_condition})")(lambda s, d, f=_call: f(_points(s, d), True))
+_CODES = f"SELECT doc_id, CAST(round(lat * {G.LAT_SCALE}) AS INTEGER) AS lat, CAST(round(lon * {G.LON_SCALE}) AS INTEGER) AS lon FROM ({_POINTS.format(doc='event_id')})"
+_CODE_BOX = "lat BETWEEN {} AND {} AND lon BETWEEN {} AND {}".format(*(f"CAST(round({x}::DOUBLE * {scale}::DOUBLE) AS INTEGER)" for x, scale in zip(_BOX, (G.LAT_SCALE, G.LAT_SCALE, G.LON_SCALE, G.LON_SCALE), strict=True)))
+_DECODED = f"SELECT doc_id, lat / {G.LAT_SCALE} AS lat, lon / {G.LON_SCALE} AS lon FROM ({_CODES})"
+query("geo_box_quantised", f"SELECT doc_id FROM ({_CODES}) WHERE {_CODE_BOX}")(lambda s, d: geo.geo_box_quantised(_points(s, d), *_BOX))
+query("geo_outside_box_quantised", f"SELECT doc_id FROM ({_CODES}) WHERE NOT ({_CODE_BOX})")(lambda s, d: geo.geo_box_quantised(_points(s, d), *_BOX, outside=True))
+query("geo_radius_quantised", f"SELECT doc_id FROM ({_DECODED}) WHERE {_AWAY} <= {_CENTRE[2]}")(lambda s, d: geo.geo_radius(geo.as_stored(_points(s, d)), *_CENTRE))
+query("geo_polygon_quantised", f"SELECT doc_id FROM ({_DECODED}) WHERE {_IN_POLYGON}")(lambda s, d: geo.geo_polygon(geo.as_stored(_points(s, d)), _POLYGON))
 for _name, _lat, _lon, _far in (("geo_radius_pole", 84.5, 100.0, 900_000.0), ("geo_radius_date_line", -10.0, 179.0, 1_500_000.0)):
-    _away = f"2 * {G.EARTH_METRES} * asin(sqrt(least(1.0, pow(sin(radians(lat - {_lat}) / 2), 2) + cos(radians({_lat})) * cos(radians(lat)) * pow(sin(radians(lon - {_lon}) / 2), 2))))"
-    query(_name, f"SELECT doc_id FROM ({_POINTS.format(doc='event_id')}) WHERE {_away} <= {_far}")(lambda s, d, q=(_lat, _lon, _far): geo.geo_radius(_points(s, d), *q))
+    _from = f"2 * {G.EARTH_METRES} * asin(sqrt(least(1.0, pow(sin(radians(lat - {_lat}) / 2), 2) + cos(radians({_lat})) * cos(radians(lat)) * pow(sin(radians(lon - {_lon}) / 2), 2))))"
+    query(_name, f"SELECT doc_id FROM ({_POINTS.format(doc='event_id')}) WHERE {_from} <= {_far}")(lambda s, d, q=(_lat, _lon, _far): geo.geo_radius(_points(s, d), *q))
 query("geo_multi_point", f"SELECT doc_id FROM ({_POINTS.format(doc='user_id')}) WHERE {_IN_BOX}")(lambda s, d: geo.geo_box(_points(s, d, "user_id"), *_BOX))
 
 

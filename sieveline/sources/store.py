@@ -21,7 +21,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-FORMAT = 1
+#: Format 1 had a file CURRENT with its number and the version, and text segments without lengths and terms. It is read; the
+#: next compaction rewrites such segments and points by the present form.
+FORMAT = 2
 EMPTY = {"version": 0, "segments": [], "tombstones": None, "covers": 0}
 
 
@@ -77,7 +79,12 @@ class Store:
         """The current version; 0 before the first."""
         found = self.pointers()
         if not found:
-            return 0
+            if not self.exists("CURRENT"):
+                return 0
+            form, version = self.read("CURRENT").split()
+            if form != "1":
+                raise ValueError(f"format version {form} is not {FORMAT}")
+            return int(version)
         form = self.read("current", found[-1]).strip()
         if form != str(FORMAT):
             raise ValueError(f"format version {form} is not {FORMAT}")

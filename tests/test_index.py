@@ -177,6 +177,29 @@ def test_pointers_are_never_replaced(spark, tmp_path):
     assert index.integrity_check().first()["status"] == "failed"
 
 
+def test_format_1_is_read_and_migrated(spark, tmp_path):
+    index = FieldIndex(spark, f"file://{tmp_path}/t", FieldSpec("t", "text"))
+    docs = lambda pairs: text_entries(spark.createDataFrame(pairs, "doc_id long, text string"), text.tokens)
+    index.insert(docs([(1, "alpha beta"), (2, "alpha gamma gamma")]))
+    index.compact(1)
+    scores = lambda: {r[0]: round(r[1], 9) for r in text.search(index.text_index(), text.Search(("alpha", "gam"), tolerance=None)).collect()}
+    before, m = scores(), index.store.manifest()
+    index.store.save_manifest(m | {"segments": [{k: s[k] for k in ("path", "rows")} for s in m["segments"]]})
+    index.store.delete("current")
+    index.store.delete("lengths")
+    index.store.delete("terms")
+    index.store.write("1\n1\n", "CURRENT")
+    assert index.store.current() == 1 and scores() == before and {r["status"] for r in index.integrity_check().collect()} == {"ok"}
+    index.insert(docs([(3, "delta")]))
+    assert index.compact(2) and index.store.current() == 2 and "lengths" in index.store.manifest()["segments"][0]
+    index.cleanup()
+    assert not index.store.exists("CURRENT") and set(scores()) == set(before)
+    index.store.delete("current")
+    index.store.write("7\n1\n", "CURRENT")
+    with pytest.raises(ValueError):
+        index.store.current()
+
+
 def test_integrity_finds_disorder_and_bad_tombstones(spark, tmp_path):
     index = FieldIndex(spark, f"file://{tmp_path}/n", FieldSpec("n", "number"))
     index.insert(numbers(spark, [(i, float(i % 7)) for i in range(100)]))
