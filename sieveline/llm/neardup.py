@@ -8,10 +8,11 @@ chunks share such a key, and that is all pairs that count as near. ``SIZES`` has
 The stages, none of which brings a group to one task or the driver:
 
 1. Equal sets are one from here on, represented by their smallest doc_id (combined before the exchange).
-2. Keys that several sets have are buckets. A bucket is cut into blocks of about ``BLOCK`` sets, and each block links the
-   sets whose signatures differ in at most ``near`` places by a spanning forest. Blocks are cut differently for each key,
-   so that a large group of near copies is one component after that. Only in buckets where it is not, the sets outside the
-   bucket's largest component also meet the other blocks (``_rest_in_cells``).
+2. Keys that several sets have are buckets. Sets of a bucket whose signatures differ in at most ``near`` places are linked
+   by a spanning forest. A bucket of more than ``BLOCK`` sets is cut into blocks, differently for each key, and a set takes
+   part in the blocks of its ``LARGE`` largest buckets only: a large group of near copies is one component after that. In
+   every large bucket where it is not, the sets outside the bucket's largest component meet all others
+   (``_rest_in_cells``), so that no pair is left out.
 3. The components of these links are clusters: linked documents lie in one cluster, and most clusters are small.
 4. The full sets of a small cluster meet in one cell: pairs near in signature are confirmed, nearest first; pairs already
    known to be connected need no confirmation. A large cluster has a hub, the member nearest to the most frequent
@@ -54,6 +55,8 @@ SIZES = {85: Size(72, 13, 25), 80: Size(128, 25, 49)}
 PLACES, CHUNKS, NEAR = SIZES[PERCENT]
 #: Sets in a block of a bucket or cluster, on average; a cell holds two blocks at most.
 BLOCK = 400
+#: Of the large buckets that a set is in, those in which its blocks are looked at first, the largest ones.
+LARGE = 3
 
 _RNG = np.random.default_rng(20_240_229)
 _MOST = max(size.places for size in SIZES.values())
@@ -279,16 +282,19 @@ def _known(mains: list[bool]) -> Forest:
 def near_signatures(sets: DataFrame, size: Size = SIZES[PERCENT]) -> DataFrame:
     """(node, component) that connects all sets that share a key and differ in at most ``near`` places; ``sets``: (rep, sig)."""
     full = written(_keys(sets, size).groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    rows = _keys(sets, size).join(full, "key")
+    rows = written(_keys(sets, size).join(full, "key"), "matched")
+    few, many = rows.where(F.col("size") <= BLOCK), rows.where(F.col("size") > BLOCK)
+    # Sets of one group share most of their large buckets: a few of them connect it.
+    ranked = many.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("size", "key")), asc=False).alias("ks"))
+    chosen = ranked.select("rep", F.explode(F.slice("ks", 1, LARGE)).alias("k")).select("k.key", "rep", "k.size")
     block = F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("rep", "key"), _blocks(F.col("size")))).otherwise(0).cast("int")
-    cells = rows.join(sets.select("rep", "sig"), "rep").select(F.col("key").alias("g"), block.alias("cell"), "rep", "sig", F.lit(False).alias("main"))
+    cells = few.unionByName(chosen).join(sets.select("rep", "sig"), "rep").select(F.col("key").alias("g"), block.alias("cell"), "rep", "sig", F.lit(False).alias("main"))
     links = written(_dealt(cells, "sig", "main").mapInArrow(lambda batches: _forests(batches, size), "a long, b long").distinct(), "near")
     found = components(links)
-    large = full.where(F.col("size") > BLOCK)
-    if large.isEmpty():
+    if many.isEmpty():
         return found
     # What blocks did not connect: in each large bucket, sets outside its largest component meet all others.
-    part = _keys(sets, size).join(large, "key").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("key").alias("g"), "rep", "size", F.coalesce("component", "rep").alias("of"))
+    part = many.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("key").alias("g"), "rep", "size", F.coalesce("component", "rep").alias("of"))
     part = written(part, "parts")
     per = part.groupBy("g", "size", "of").agg(F.count("*").alias("n"))
     most = written(per.groupBy("g", "size").agg(F.max_by("of", F.struct("n", "of")).alias("most"), F.count("*").alias("parts")).where("parts > 1"), "most")
