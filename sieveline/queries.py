@@ -339,9 +339,9 @@ def _near_sql(metric: str, where: str = "true", doc: str = "vec_id") -> str:
 
 
 for _metric in _DISTANCES:
-    query(f"vec_{_metric}", _near_sql(_metric))(lambda s, d, m=_metric: _near(vector.knn(_vectors(s, d), _QUERY, 10, m, dim=64)))
+    query(f"vec_{_metric}", _near_sql(_metric))(lambda s, d, m=_metric: _near(vector.knn(_vectors(s, d), _QUERY, 10, m, dim=64, per_document=1)))
 query("vec_filtered", _near_sql("cosine", "label = 3"))(
-    lambda s, d: _near(vector.knn(_vectors(s, d), _QUERY, 10, "cosine", _t(s, d, "embeddings").where("label = 3").select(F.col("vec_id").alias("doc_id")), 64))
+    lambda s, d: _near(vector.knn(_vectors(s, d), _QUERY, 10, "cosine", _t(s, d, "embeddings").where("label = 3").select(F.col("vec_id").alias("doc_id")), 64, per_document=1))
 )
 query("vec_multi", _near_sql("l2", doc="vec_id // 4"))(
     lambda s, d: _near(vector.knn(_vectors(s, d).withColumns({"ord": (F.col("doc_id") % 4).cast("int"), "doc_id": F.expr("doc_id div 4")}), _QUERY, 10, "l2"))
