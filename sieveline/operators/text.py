@@ -136,45 +136,84 @@ def contributions(index: TextIndex, search: Search, allowed: DataFrame | None =
     return _contributions(matched(index, search, allowed), index, search)
 
 
-def _contributions(rows: DataFrame, index: TextIndex, search: Search) -> DataFrame:
+def _weighed(rows: DataFrame, index: TextIndex, search: Search) -> DataFrame:
+    """``rows`` with the posting's ntf, null where it has no usable place, and with n_docs."""
     tf = F.size("exact") if search.exact_match else F.size("exact") + F.size("stemmed")
-    rows = rows.withColumn("tf", tf).where("tf > 0")
-    rows = (rows if "field_length" in rows.columns else rows.join(index.lengths, "doc_id", "left")).crossJoin(F.broadcast(index.stats()))  # one row
+    rows = rows if "field_length" in rows.columns else rows.join(index.lengths, "doc_id", "left")
+    rows = rows.withColumn("tf", tf).crossJoin(F.broadcast(index.stats()))  # one row
     ntf = S.normalised_tf(F.col("tf"), F.coalesce("field_length", F.lit(0)), F.col("avg_length"), search.b)
     ntf = ntf * F.lit(search.boost) * F.when(F.col("is_exact"), F.lit(search.exact_boost)).otherwise(F.lit(1.0))
-    return rows.groupBy("token_idx", "doc_id").agg(F.sum(ntf).alias("ntf"))
+    return rows.withColumn("ntf", F.when(F.col("tf") > 0, ntf))
+
+
+def _contributions(rows: DataFrame, index: TextIndex, search: Search) -> DataFrame:
+    return _weighed(rows, index, search).where("ntf is not null").groupBy("token_idx", "doc_id").agg(F.sum("ntf").alias("ntf"))
 
 
 def scored(parts: DataFrame, frequency: DataFrame, stats: DataFrame, search: Search) -> DataFrame:
     """(doc_id, score) from contributions, df and corpus statistics; the latter two have a row for each token, and one."""
-    rows = parts.join(F.broadcast(frequency), "token_idx").crossJoin(F.broadcast(stats.select("n_docs")))
+    return _scored(parts.crossJoin(F.broadcast(stats.select("n_docs"))), frequency, search)
+
+
+def _scored(parts: DataFrame, frequency: DataFrame, search: Search, phrase: bool = False) -> DataFrame:
+    rows = parts.join(F.broadcast(frequency), "token_idx")  # a row for each token
     score = S.saturated(S.idf(F.col("n_docs"), F.col("df")), F.col("ntf"), search.k)
-    matched_tokens = F.count_distinct(F.when(F.col("token_idx") < MASKED, F.col("token_idx")))
-    out = rows.groupBy("doc_id").agg(F.sum(score).alias("score"), matched_tokens.alias("matched"))
+    if phrase:
+        first = F.filter("tokens", lambda t: t["token_idx"] < MASKED)  # a token is there once
+        out = rows.groupBy("doc_id").agg(F.sum(score).alias("score"), F.collect_list(F.struct("token_idx", "places")).alias("tokens"))
+        boosted = F.col("score") * S.phrase_multiplier(_adjacent(F.map_from_entries("tokens"), search), search.phrase_boost)
+        out = out.select("doc_id", boosted.alias("score"), F.size(first).alias("matched"))
+    else:
+        matched_tokens = F.count_distinct(F.when(F.col("token_idx") < MASKED, F.col("token_idx")))
+        out = rows.groupBy("doc_id").agg(F.sum(score).alias("score"), matched_tokens.alias("matched"))
     return out.where(F.col("matched") >= search.min_match).select("doc_id", "score") if search.min_match > 0 else out.select("doc_id", "score")
 
 
 def adjacent_pairs(rows: DataFrame, search: Search) -> DataFrame:
     """(doc_id, adjacent): how many consecutive tokens of the query stand next to each other somewhere in the document."""
-    places = F.array_distinct(F.flatten(F.collect_list(F.col("exact") if search.exact_match else F.concat("exact", "stemmed"))))
-    by_token = rows.groupBy("doc_id", "token_idx").agg(places.alias("places"))
+    by_token = rows.groupBy("doc_id", "token_idx").agg(_places(search).alias("places"))
     by_doc = by_token.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token_idx", "places"))).alias("m"))
-    at = lambda i: F.try_element_at("m", F.lit(i))
+    return by_doc.select("doc_id", _adjacent(F.col("m"), search).alias("adjacent"))
+
+
+def _places(search: Search) -> Column:
+    return F.array_distinct(F.flatten(F.collect_list(F.col("exact") if search.exact_match else F.concat("exact", "stemmed"))))
+
+
+def _adjacent(places: Column, search: Search) -> Column:
+    """Of a map from tokens to their places."""
+    at = lambda i: F.try_element_at(places, F.lit(i))
     count = F.lit(0)
     for i in range(1, len(search.tokens)):
         meets = F.arrays_overlap(F.transform(at(i - 1), lambda p: p + 1), at(i))
         count = count + F.coalesce(meets, F.lit(False)).cast("int")
-    return by_doc.select("doc_id", count.alias("adjacent"))
+    return count
+
+
+def _told(rows: DataFrame, numbers: dict[str, Column], places: Column | None = None) -> DataFrame:
+    """(token_idx, doc_id, told): what scores, frequencies and phrases need of a token's matches in a document.
+
+    All is one map, so that each of them asks for the same aggregate, which Spark then computes once (a reused exchange):
+    single columns would be pruned, and the index be read for each.
+    """
+    parts = rows.groupBy("token_idx", "doc_id").agg(*[c.cast("double").alias(name) for name, c in numbers.items()], *([] if places is None else [places.alias("places")]))
+    values = [F.array(name) for name in numbers] + ([] if places is None else [F.col("places").cast("array<double>")])
+    names = [*numbers, *([] if places is None else ["places"])]
+    return parts.select("token_idx", "doc_id", F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*values)).alias("told"))
+
+
+def _number(name: str) -> Column:
+    return F.element_at(F.element_at("told", F.lit(name)), 1)
 
 
 def search(index: TextIndex, request: Search, allowed: DataFrame | None = None) -> DataFrame:
     """(doc_id, score) of all documents that match."""
-    rows = matched(index, request, allowed)
-    found = scored(_contributions(rows, index, request), document_frequency(rows), index.stats(), request)
-    if request.phrase_boost > 0 and len(request.tokens) >= 2:
-        found = found.join(adjacent_pairs(rows, request), "doc_id", "left")
-        found = found.select("doc_id", (F.col("score") * S.phrase_multiplier(F.coalesce("adjacent", F.lit(0)), request.phrase_boost)).alias("score"))
-    return found
+    phrase = request.phrase_boost > 0 and len(request.tokens) >= 2
+    rows = _weighed(matched(index, request, allowed), index, request)
+    gathered = _told(rows, {"ntf": F.sum("ntf"), "df": F.count("*"), "n_docs": F.max("n_docs")}, _places(request) if phrase else None)
+    places = [F.element_at("told", F.lit("places")).alias("places")] if phrase else []
+    parts = gathered.select("token_idx", "doc_id", _number("ntf").alias("ntf"), _number("n_docs").alias("n_docs"), *places).where("ntf is not null")
+    return _scored(parts, gathered.groupBy("token_idx").agg(F.sum(_number("df")).alias("df")), request, phrase)
 
 
 def top_k(found: DataFrame, k: int) -> DataFrame:
@@ -185,15 +224,13 @@ def top_k(found: DataFrame, k: int) -> DataFrame:
 def bm25f(fields: list[tuple[TextIndex, Search, float]], documents: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(doc_id, score) over several weighted fields: contributions of a token add up over fields before saturation; df counts
     the documents in which any field matched; ``documents`` (doc_id) gives N."""
-    parts, hits = None, None
+    rows = None
     for index, request, weight in fields:
-        rows = matched(index, request, allowed)
-        part = _contributions(rows, index, request).withColumn("ntf", F.col("ntf") * F.lit(float(weight)))
-        hit = rows.select("token_idx", "doc_id")
-        parts, hits = (part, hit) if parts is None else (parts.unionByName(part), hits.unionByName(hit))
-    parts = parts.groupBy("token_idx", "doc_id").agg(F.sum("ntf").alias("ntf"))
-    frequency = hits.distinct().groupBy("token_idx").agg(F.count("*").alias("df"))
-    return scored(parts, frequency, documents.agg(F.count("*").alias("n_docs")), fields[0][1])
+        part = _weighed(matched(index, request, allowed), index, request).select("token_idx", "doc_id", (F.col("ntf") * F.lit(float(weight))).alias("ntf"))
+        rows = part if rows is None else rows.unionByName(part)
+    gathered = _told(rows, {"ntf": F.sum("ntf"), "df": F.lit(1.0)})
+    parts = gathered.select("token_idx", "doc_id", _number("ntf").alias("ntf")).where("ntf is not null")
+    return scored(parts, gathered.groupBy("token_idx").agg(F.sum(_number("df")).alias("df")), documents.agg(F.count("*").alias("n_docs")), fields[0][1])
 
 
 def multiply_scores(found: DataFrame, factors: DataFrame) -> DataFrame:

@@ -45,6 +45,14 @@ def test_queries_without_sql(spark):
     assert QUERIES["vec_ann"](spark, DATA).count() == 10
 
 
+@pytest.mark.parametrize("name,scans", [("text_exact", 2), ("text_phrase", 2), ("text_prefix", 2), ("text_bm25f_two_fields", 5)])
+def test_a_search_reads_a_field_once_for_matches_and_once_for_statistics(spark, name, scans):
+    df = QUERIES[name](spark, DATA)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == scans and "Reused" in plan
+
+
 def test_ranks_tell_the_order(spark, tables):
     up, down = (entry.queries()[n](spark, DATA).collect() for n in ("num_sort_asc", "num_sort_desc"))
     place = {(r["doc_id"], r["value"]): r["rank"] for r in up}
