@@ -26,7 +26,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Id written after each document.
 END = 1
 #: Entries of a Python worker's memo.
-WORDS = 1_200_000
+WORDS = 600_000
 #: Characters handled by one round of array operations. Longer texts are cut at white space, which no match holds.
 ROUND = 1 << 21
 
