@@ -2,9 +2,10 @@
 
 The library normalises (NFC, white space, lower case), splits by a pattern and merges within each match. For texts of code
 points below 256 the first two steps are tables over single bytes, so that the matches of many texts are found by array
-operations, numbered, and each distinct one is encoded once and remembered. What is new goes to the library, many matches
-in one call: the last id of each ends with the word-end mark, which tells them apart. Texts with other characters, and
-texts that hold the name of a special token, which the library turns into that token, go to the library whole.
+operations, numbered, and each distinct one is encoded once and remembered. What is new is merged together (``Merger``):
+in each turn every match merges its pair of the lowest rank, by array operations over all of them. Texts with other
+characters, and texts that hold the name of a special token, which the library turns into that token, go to the library
+whole.
 """
 
 from __future__ import annotations
@@ -70,6 +71,96 @@ def matches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first[word], size[word], kind != _GAP
 
 
+class Merger:
+    """Byte-pair merges of many matches at once.
+
+    A turn merges the pair of lowest rank of each match at all its places, from the left. That is what merging one place after
+    the other gives, as a pair that holds a merged token has a higher rank than the merge that made it (checked here).
+    """
+
+    NONE = 1 << 30
+
+    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], suffix: str, alphabet: list[str]) -> None:
+        self.inner = np.array([vocabulary[c] for c in alphabet], np.int64)
+        self.last = np.array([vocabulary[c + suffix] for c in alphabet], np.int64)
+        self.size = np.int64(max(vocabulary.values()) + 1)
+        made: dict[str, int] = {}
+        for rank, (a, b) in enumerate(merges):
+            if max(made.get(a, -1), made.get(b, -1)) >= rank or a + b in made:
+                raise ValueError("merges are not in the order of their making")
+            made[a + b] = rank
+        self.token = np.array([vocabulary[a + b] for a, b in merges], np.int64)
+        # Open addressing: a key and its rank in the first free slot from its hash on.
+        self.bits = max(4, (4 * len(merges)).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.NONE, np.int64)
+        pairs = np.array([vocabulary[a] for a, _ in merges], np.int64) * self.size + np.array([vocabulary[b] for _, b in merges], np.int64)
+        for key, at, rank in zip(pairs.tolist(), self._slot(pairs).tolist(), range(len(merges)), strict=True):
+            while self.keys[at] >= 0:
+                at = (at + 1) % len(self.keys)
+            self.keys[at], self.ranks[at] = key, rank
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _rank(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.ranks[at], self.NONE)
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) % len(self.keys)
+            found = self.keys[at[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.ranks[at[left[hit]]]
+            left = left[~hit & (found >= 0)]
+        return out
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each non-empty match, given in Latin-1, as little-endian unsigned 32-bit integers."""
+        data = np.frombuffer(b"\n".join(words).decode("latin-1").encode(), np.uint8)
+        gap = data == 10
+        owner = np.cumsum(gap)[~gap]
+        data = data[~gap]
+        ids = np.where(np.diff(owner, append=-1) != 0, self.last[data], self.inner[data])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            rank = np.full(len(ids), self.NONE)
+            rank[:-1] = np.where(owner[1:] == owner[:-1], self._rank(ids[:-1] * self.size + ids[1:]), self.NONE)
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            least = np.repeat(np.minimum.reduceat(rank, first), np.diff(first, append=len(ids)))
+            over = least == self.NONE
+            if over.any():
+                done.append((owner[over], ids[over]))
+                ids, owner, rank, least = ids[~over], owner[~over], rank[~over], least[~over]
+            merge = rank == least
+            if (merge[1:] & merge[:-1]).any():  # of overlapping places every other one, from the left
+                place = np.arange(len(merge))
+                start = np.maximum.accumulate(np.where(merge & ~np.concatenate([[False], merge[:-1]]), place, 0))
+                merge &= (place - start) % 2 == 0
+            at = np.flatnonzero(merge)
+            ids[at] = self.token[rank[at]]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids, owner = ids[stay], owner[stay]
+        owner, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(owner, kind="stable")
+        out = ids[order].astype("<u4").tobytes()
+        ends = (np.cumsum(np.bincount(owner, minlength=len(words))) * 4).tolist()
+        return [out[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def _alphabet() -> list[str]:
+    """The character that stands for each byte: itself where it is printable, else the next one from 256 on."""
+    out, more = [], 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out.append(chr(b))
+        else:
+            out.append(chr(more))
+            more += 1
+    return out
+
+
 class WordEncoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -81,8 +172,8 @@ class WordEncoder:
         model = whole["model"]
         suffix, vocabulary = model["end_of_word_suffix"], model["vocab"]
         self.special = re.compile("|".join(re.escape(t["content"]) for t in whole["added_tokens"]) or r"(?!)", re.I)
-        self.ends = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
-        self.ends[[v for k, v in vocabulary.items() if k.endswith(suffix)]] = True
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.merger = Merger(vocabulary, pairs, suffix, _alphabet())
         self.words = TwoGenerations(self._word, WORDS // 3)
 
     def _ids(self, text: str) -> list[int]:
@@ -94,14 +185,6 @@ class WordEncoder:
     def _word(self, word: bytes) -> bytes:
         return self._whole(word.decode("latin-1"))
 
-    def _learn(self, fresh: list[bytes]) -> None:
-        """Let the library encode these matches in one call."""
-        ids = np.array(self._ids(b" ".join(fresh).decode("latin-1")), np.uint32)
-        ends = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
-        if len(ends) == len(fresh) + 1:  # always so far; else words are encoded one by one
-            data = ids.tobytes()
-            self.words.put_all(fresh, [data[i:j] for i, j in zip(ends, ends[1:], strict=False)])
-
     def _encode(self, parts: list[str]) -> list[bytes]:
         """Ids of plain texts that make up one round."""
         data = "\n".join(parts).encode("latin-1").translate(_LOWER)
@@ -116,7 +199,7 @@ class WordEncoder:
         memo = self.words
         fresh = [w for w in distinct if w not in memo and w not in memo.old]
         if fresh:
-            self._learn(fresh)
+            memo.put_all(fresh, self.merger.encode(fresh))
         known = list(map(memo.__getitem__, distinct))
         count = np.array([len(k) // 4 for k in known])
         start = np.cumsum(count) - count

@@ -96,6 +96,17 @@ def test_word_bpe_of_special_tokens_quotes_and_rounds(words, monkeypatch):
         assert [np.frombuffer(ids, "<u4").tolist() for ids in own.encode_all(texts)] == want
 
 
+def test_merging_many_matches_at_once(words):
+    """Repeated pairs, overlaps and words of any length, many in one call, against the library."""
+    rng, merger = random.Random(5), wordbpe.encoder().merger
+    found = ["a" * n for n in (1, 2, 3, 4, 5, 17, 300)] + ["haha" * 9, "ééééé", "ÿþ".lower(), "..." * 40, "the", "?!"]
+    found += ["".join(rng.choice("aabthiené") for _ in range(rng.randrange(1, 40))) for _ in range(3_000)]
+    for word, ids in zip(found, merger.encode([w.encode("latin-1") for w in found]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == words.encode(word, add_special_tokens=False).ids, word
+    with pytest.raises(ValueError):
+        wordbpe.Merger({"a": 0, "b": 1, "ab": 2, "aba": 3}, [("ab", "a"), ("a", "b")], "", ["a"])
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("abAB '.0123 \n\té漢ßÀ\xad\xaa²"), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_word_bpe_of_any_text(text):
