@@ -84,11 +84,9 @@ class Merger:
         self.inner = np.array([vocabulary[c] for c in alphabet], np.int64)
         self.last = np.array([vocabulary[c + suffix] for c in alphabet], np.int64)
         self.size = np.int64(max(vocabulary.values()) + 1)
-        made: dict[str, int] = {}
-        for rank, (a, b) in enumerate(merges):
-            if max(made.get(a, -1), made.get(b, -1)) >= rank or a + b in made:
-                raise ValueError("merges are not in the order of their making")
-            made[a + b] = rank
+        made = {a + b: rank for rank, (a, b) in enumerate(merges)}
+        if len(made) < len(merges) or any(max(made.get(a, -1), made.get(b, -1)) >= rank for rank, (a, b) in enumerate(merges)):
+            raise ValueError("merges are not in the order of their making")
         self.token = np.array([vocabulary[a + b] for a, b in merges], np.int64)
         # Open addressing: a key and its rank in the first free slot from its hash on.
         self.bits = max(4, (4 * len(merges)).bit_length())
