@@ -13,13 +13,21 @@ that shows s blocks ``DECAY ** d * s``. Nodes on fewer than ``PAGES`` pages of a
 pages of a host count once, so that copies of an article do not make it noise.
 
 *Markup is a feature of a node.* Its role says what the page tells of it: noise (navigation, header, footer, sidebar, form,
-notice, advert or comment by tag, role or class), article (in an article or main element, or else in a container named
-like one), around (it holds the article), beside (the page has an article elsewhere) or plain. ``score`` is
-``TOLD * expected + (1 - TOLD) * importance``, expected being 0 for noise and beside, 1 for article and around, 0.5 for plain
-nodes. Nodes that score below ``CUT`` are cut from each page with all that is below them.
+notice, advert or comment by tag, role or class), article (an article or main element, or else a container named like one),
+part (a container within the article of which the page says no more), around (it holds the article), beside (the page has
+an article elsewhere) or plain. ``score`` is ``TOLD * expected + (1 - TOLD) * importance``, expected being 0 for noise and
+beside, 1 for article and around, 0.5 for parts and plain nodes. Nodes that score below ``CUT`` are cut from each page with
+all that is below them.
 
 With these weights a page's own word outweighs the entropies where the two disagree, as the contents of menus may be as
-varied as articles and passages of articles may repeat; the entropies decide about plain containers.
+varied as articles and passages of articles may repeat; the entropies decide about plain containers and parts of articles.
+
+*Parts.* An advert or notice within an article repeats while the articles differ; a part also repeats where the articles are
+copies or near copies of each other. So a part is cut only if what else is in the articles that show it is different: each
+page gives ``SLOTS`` minimum hashes of the article's blocks outside the part, long blocks being likelier to be the minimum, so
+that they agree about as often as these texts are alike; ``rest``, the same measure over them as that over the blocks of a
+leaf, has to be ``REST``. A part with more than half of a page's article counts as all of it, and the blocks directly in a
+part go or stay with it.
 
 Counts are combined before they are exchanged. Cut nodes are 64-bit hashes that hold the host: up to ``HELD`` of them go to
 the tasks as one array, and html does not move; beyond that each page gets its own cut nodes by a join.
@@ -41,9 +49,11 @@ from sieveline.llm.common import rows_of, scratch, short_batches, table, written
 PAGES, DECAY, TOLD, CUT = 5, 0.9, 0.6, 0.45
 #: Levels up to which a node counts for those above it: what lies deeper weighs less than a billionth.
 LEVELS = 200
+#: Minimum hashes of what else is in an article; how different it has to be for a part to be cut.
+SLOTS, REST = 8, 0.5
 #: Cut nodes that are sent to the tasks as an array of 8 bytes each.
 HELD = 1_000_000
-EXPECTED = {"noise": 0.0, "beside": 0.0, "plain": 0.5, "around": 1.0, "article": 1.0}
+EXPECTED = {"noise": 0.0, "beside": 0.0, "plain": 0.5, "part": 0.5, "around": 1.0, "article": 1.0}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noframes"}
@@ -53,6 +63,8 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "section", "article", "main", "figure", "figcaption", "address", "hr", "body", "html", "details", "summary", "fieldset", "hgroup", "center"} | _DROPPED
 _CONTAINERS = {"div", "section", "article", "main", "ul", "ol", "dl", "table", "blockquote", "figure", "body", "td", "details", "center", "span"} | (_DROPPED - _UNSEEN)
 _MAIN = {"article", "main"}
+#: No parts of their own: cells belong to their table, spans to a line.
+_INNER = {"td", "span"}
 #: Classes and ids of containers that hold the article where neither tag does.
 _MAIN_NAMES = {"article", "article-body", "article-content", "post", "post-body", "post-content", "entry", "entry-body", "entry-content", "story", "story-body", "main", "main-content", "content", "page-content"}
 _NOISY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|share|sharing|social|sidebar|side-bar|widget|related|recommend\w*|breadcrumbs?|pagination|pager|nav|navbar|navigation|menu|topbar|masthead|header|footer|copyright|comments?|commentlist|respond|disqus|replies|login|search|toolbar|skip-link|hidden)(?:$|[\s_-])", re.I)
@@ -85,10 +97,10 @@ def _is_noise(tag: str, attributes: dict[str, str]) -> bool:
 
 
 class Node:
-    __slots__ = ("above", "name", "noise", "main", "children", "texts", "holds")
+    __slots__ = ("above", "name", "noise", "main", "said", "children", "texts", "holds")
 
-    def __init__(self, above: int, name: str, noise: bool, main: int) -> None:
-        self.above, self.name, self.noise, self.main = above, name, noise, main
+    def __init__(self, above: int, name: str, noise: bool, main: int, said: bool) -> None:
+        self.above, self.name, self.noise, self.main, self.said = above, name, noise, main, said
         self.children: list[int] = []
         self.texts: list[int] = []
         self.holds = 0
@@ -97,12 +109,13 @@ class Node:
 class Page:
     """A page's containers (``nodes``, parents first) and blocks of text (``blocks``: node and text, in page order).
 
-    ``main`` of a node is 2 in an article or main element, 1 in a container named like one, else 0; ``noise`` says that it or
-    a node above it is noise by its markup.
+    ``main`` of a node is 2 in an article or main element, 1 in a container named like one, else 0; ``said`` tells that it is
+    no part of an article by itself: an article, named like one, a cell or a span; ``noise`` says that it or a node above it
+    is noise by its markup.
     """
 
     def __init__(self, html: str | None) -> None:
-        self.nodes = [Node(-1, "body", False, 0)]
+        self.nodes = [Node(-1, "body", False, 0, False)]
         self.blocks: list[tuple[int, str]] = []
         stack: list[tuple[str, int, bool]] = [("body", 0, False)]  # tag, node, unseen
         words: list[str] = []
@@ -145,14 +158,15 @@ class Page:
             _, at, unseen = stack[-1]
             unseen = unseen or tag in _UNSEEN
             noise = self.nodes[at].noise or _is_noise(tag, attributes)
-            main = self.nodes[at].main
+            own = 0
             if tag in _MAIN or attributes.get("role", "").lower() == "main" or "articlebody" in attributes.get("itemprop", "").lower():
-                main = 2
-            elif not main and not _MAIN_NAMES.isdisjoint(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()):
-                main = 1
+                own = 2
+            elif not _MAIN_NAMES.isdisjoint(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()):
+                own = 1
+            main = max(own, self.nodes[at].main)
             if not unseen and (tag in _CONTAINERS or (noise, main) != (self.nodes[at].noise, self.nodes[at].main)):
                 name = " ".join(filter(None, (tag, attributes.get("class", ""), attributes.get("id", ""))))
-                self.nodes.append(Node(at, name, noise, main))
+                self.nodes.append(Node(at, name, noise, main, own > 0 or tag in _INNER))
                 self.nodes[at].children.append(len(self.nodes) - 1)
                 at = len(self.nodes) - 1
             stack.append((tag, at, unseen))
@@ -182,7 +196,7 @@ class Page:
         if not self.most:
             return "plain"
         if node.main == self.most:
-            return "article"
+            return "article" if node.said or leaf else "part"
         return "around" if node.holds == self.most and not leaf else "beside"
 
     def names(self) -> list[str]:
@@ -214,7 +228,7 @@ def hashes(page: Page, root: int) -> tuple[list[int], list[int]]:
     return own, [hashed(f"#{page.role(n, True)}", h) for n, h in zip(page.nodes, own, strict=True)]
 
 
-_NODES = "node long, above array<long>, expected double, forms array<long>, contents array<long>, same long, root long"
+_NODES = "node long, above array<long>, expected double, forms array<long>, contents array<long>, rest array<long>, same long, root long"
 _HOST = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]+)"
 
 
@@ -244,21 +258,70 @@ def page_nodes(page: Page, root: int) -> dict[int, tuple[list[int], float, set[i
     return out
 
 
+def slots(text: str) -> list[int]:
+    return [(hashed(text, i + 1) + (1 << 63)) // (2 * len(text)) for i in range(SLOTS)]
+
+
+def page_rests(page: Page, root: int) -> dict[int, list[int]]:
+    """For each part of the article that shows text: minimum hashes of the article's blocks outside it, or numbers that are the
+    same on all pages if more than half of the article is in it."""
+    if not any(page.role(n) == "part" for n in page.nodes):
+        return {}
+    blocks = [(at, text) for at, text in page.blocks if page.role(page.nodes[at], True) == "article"]
+    first, last = [len(blocks)] * len(page.nodes), [0] * len(page.nodes)  # a container's blocks follow each other
+    for b, (at, _) in enumerate(blocks):
+        first[at], last[at] = min(first[at], b), b + 1
+    for k in range(len(page.nodes) - 1, 0, -1):
+        up = page.nodes[k].above
+        first[up], last[up] = min(first[up], first[k]), max(last[up], last[k])
+    own, _ = hashes(page, root)
+    inside: dict[int, list[tuple[int, int]]] = {}
+    for k, node in enumerate(page.nodes):
+        if first[k] < last[k] and page.role(node) == "part":
+            inside.setdefault(own[k], []).append((first[k], last[k]))
+    if not inside:
+        return {}
+    chars = np.cumsum([0, *(len(text) for _, text in blocks)])
+    least = [np.fromiter((x for _, text in blocks for x in slots(text)), np.int64).reshape(-1, SLOTS)]
+    while len(least[-1]) > 1:  # [j][b]: of 2 ** j blocks from b * 2 ** j on
+        least.append(np.minimum(least[-1][:-1:2], least[-1][1::2]))
+    out = {}
+    for key, spans in inside.items():
+        if 2 * sum(chars[b] - chars[a] for a, b in spans) > chars[-1]:
+            out[key] = list(range(SLOTS))
+            continue
+        found, begin = [], 0
+        for a, b in [*spans, (len(blocks), len(blocks))]:
+            for level in least:
+                if begin >= a:
+                    break
+                if begin & 1:
+                    found.append(level[begin])
+                if a & 1:
+                    found.append(level[a - 1])
+                begin, a = (begin + 1) >> 1, a >> 1
+            begin = b
+        out[key] = np.min(found, axis=0).tolist()
+    return out
+
+
 def tree_nodes(pages: DataFrame) -> DataFrame:
-    """(node, above, expected, forms, contents, same, root) of every node of every distinct page of a host, written: a row for
-    each page that shows the node. Leaves have no forms (presentations), others no contents."""
+    """(node, above, expected, forms, contents, rest, same, root) of every node of every distinct page of a host, written: a row
+    for each page that shows the node. Leaves have no forms (presentations), others no contents, only parts a rest."""
     short_batches(pages.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         longs = pa.list_(pa.int64())
-        types, names = (pa.int64(), longs, pa.float64(), longs, longs, pa.int64(), pa.int64()), ["node", "above", "expected", "forms", "contents", "same", "root"]
+        types, names = (pa.int64(), longs, pa.float64(), longs, longs, longs, pa.int64(), pa.int64()), ["node", "above", "expected", "forms", "contents", "rest", "same", "root"]
         batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         for htmls, roots, sames in rows_of(batches, "html", "root", "same"):
             out: list[tuple] = []
             for html, root, same in zip(htmls, roots, sames, strict=True):
-                out += [(k, above, expected, sorted(forms), sorted(contents), same, root) for k, (above, expected, forms, contents) in page_nodes(Page(html), root).items()]
+                page = Page(html)
+                rests = page_rests(page, root)
+                out += [(k, above, expected, sorted(forms), sorted(contents), rests.get(k, []), same, root) for k, (above, expected, forms, contents) in page_nodes(page, root).items()]
                 if len(out) > 20_000:
                     yield batch(out)
                     out = []
@@ -269,26 +332,33 @@ def tree_nodes(pages: DataFrame) -> DataFrame:
 
 
 def node_scores(nodes: DataFrame, least_pages: int = PAGES) -> DataFrame:
-    """(node, pages, importance, score) of every node of the trees."""
-    shown = nodes.groupBy("node").agg(F.count("*").alias("n"), F.any_value("above").alias("above"), F.any_value("expected").alias("expected"))
+    """(node, pages, importance, score, rest) of every node of the trees; only parts have a rest."""
+    shown = nodes.groupBy("node").agg(F.count("*").alias("n"), F.any_value("above").alias("above"), F.any_value("expected").alias("expected"), F.count_if(F.size("rest") > 0).alias("parts"))
     # Entropy of the presentations, to the base of the pages: (log n - sum(c log c) / n) / log n.
     by_form = nodes.select("node", F.explode("forms").alias("x")).groupBy("node", "x").agg(F.count("*").alias("c"))
     form = by_form.groupBy("node").agg(F.sum("c").alias("forms"), F.sum(F.col("c") * F.log2("c")).alias("form_logs"))
-    block = nodes.select("node", F.explode("contents").alias("x")).groupBy("node", "x").agg(F.count("*").alias("c"))
+    # Leaves have contents and parts a rest, and both are measured alike.
+    block = nodes.select("node", F.explode(F.concat("contents", "rest")).alias("x")).groupBy("node", "x").agg(F.count("*").alias("c"))
     content = block.groupBy("node").agg(F.sum("c").alias("blocks"), F.sum(F.col("c") * F.log2("c")).alias("block_logs"))
     each = shown.join(form, "node", "left").join(content, "node", "left")
     log = F.log2(F.greatest("n", "forms"))
     own_form = F.when(log > 0, F.log2("forms") / log - F.col("form_logs") / F.col("forms") / log).otherwise(1.0)
-    own_content = F.when(F.col("n") > 1, 1 - F.col("block_logs") / F.col("blocks") / F.log2(F.greatest("n", F.lit(2)))).otherwise(1.0)
-    form_weight, block_weight = (1 - DECAY) * F.coalesce("forms", F.lit(0)), F.coalesce("blocks", F.lit(0)).cast("double")
-    each = each.withColumns({"weight": form_weight + block_weight, "sum": form_weight * F.coalesce(own_form, F.lit(0.0)) + block_weight * F.coalesce(own_content, F.lit(0.0))})
-    each = written(each.select("node", "n", "above", "expected", "weight", "sum"), "tree")  # read twice
+    spread = lambda n: F.when(n > 1, 1 - F.col("block_logs") / F.col("blocks") / F.log2(F.greatest(n, F.lit(2)))).otherwise(1.0)
+    is_part, own_content = F.col("parts") > 0, spread(F.col("n"))
+    form_weight, block_weight = (1 - DECAY) * F.coalesce("forms", F.lit(0)), F.when(is_part, 0.0).otherwise(F.coalesce("blocks", F.lit(0)).cast("double"))
+    each = each.withColumns({"rest": F.when(F.col("parts") >= least_pages, spread(F.col("parts"))).when(is_part, 0.0), "weight": form_weight + block_weight, "sum": form_weight * F.coalesce(own_form, F.lit(0.0)) + block_weight * F.coalesce(own_content, F.lit(0.0))})
+    each = written(each.select("node", "n", "above", "expected", "weight", "sum", "rest"), "tree")  # read twice
     up = each.select(F.posexplode(F.concat(F.array("node"), F.col("above"))).alias("d", "to"), "weight", "sum")
     decay = F.pow(F.lit(DECAY), F.col("d"))
     composed = up.groupBy("to").agg(F.sum(decay * F.col("sum")).alias("s"), F.sum(decay * F.col("weight")).alias("w"))
     composed = composed.select(F.col("to").alias("node"), F.when(F.col("w") > 0, F.col("s") / F.nullif("w", F.lit(0.0))).otherwise(0.0).alias("composed"))
     importance = F.when(F.col("n") < least_pages, 1.0).otherwise(F.col("composed"))
-    return each.join(composed, "node").select("node", F.col("n").alias("pages"), importance.alias("importance"), (TOLD * F.col("expected") + (1 - TOLD) * importance).alias("score"))
+    return each.join(composed, "node").select("node", F.col("n").alias("pages"), importance.alias("importance"), (TOLD * F.col("expected") + (1 - TOLD) * importance).alias("score"), "rest")
+
+
+def cut_nodes(scores: DataFrame, cut: float = CUT) -> DataFrame:
+    """(node) of the nodes to cut: of low score and, if parts of articles, of articles that else differ."""
+    return scores.where((F.col("score") < cut) & (F.coalesce("rest", F.lit(1.0)) >= REST)).select("node")
 
 
 def extract(pages: DataFrame, least_pages: int = PAGES, cut: float = CUT, held: int = HELD) -> DataFrame:
@@ -301,7 +371,7 @@ def extract(pages: DataFrame, least_pages: int = PAGES, cut: float = CUT, held:
     rows = _rows(pages)
     with scratch(spark) as keep:
         nodes = tree_nodes(pages)
-        noise = written(node_scores(nodes, least_pages).where(F.col("score") < cut).select("node"), "noise")
+        noise = written(cut_nodes(node_scores(nodes, least_pages), cut), "noise")
         if noise.count() <= held:
             sent = spark.sparkContext.broadcast(np.sort(noise.toArrow()["node"].to_numpy()))  # 8 bytes for each of at most ``held``
             rows = rows.select("page_id", "url", "html", "root", F.lit(None).cast("array<long>").alias("gone"))

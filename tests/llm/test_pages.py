@@ -120,6 +120,59 @@ def test_entropies_decide_about_plain_containers(spark):
     assert {r["page_id"]: r["text"] for r in sitetree.extract(docs).collect()} == {i: f"Words of page {i} alone" for i in range(20)}
 
 
+def test_entropies_decide_about_parts_of_articles(spark):
+    """A box in all articles of a site is cut; a table stays where articles are copies or near copies, or pages too few."""
+    rng = random.Random(5)
+    words = lambda: " ".join(rng.choice("abcdefghijklmnop") * rng.randrange(2, 9) for _ in range(20))
+    pages, texts = [], []
+
+    def add(host, title, lines, facts, box="", menu=""):
+        body = "".join(f"<p>{x}</p>" for x in lines)
+        table = "".join(f"<tr><td class=k>{a}</td><td class=v>{b}</td></tr>" for a, b in facts)
+        notice = f"<div class=box><p>{box}</p></div>" if box else ""
+        pages.append((len(pages), f"https://{host}/", f"<nav>{menu}</nav><article><h1>{title}</h1><div class=a>{body}</div>{notice}<table>{table}</table>Last of {title}</article><footer>f</footer>"))
+        texts.append("\n".join([title, *lines, *[x for f in facts for x in f], f"Last of {title}"]))
+
+    same, near = [words() for _ in range(10)], [words() for _ in range(10)]
+    for i in range(20):
+        add("boxes", f"t {i}", [words() for _ in range(3)], [("Price", f"{i} coins"), ("Weight", f"{i} stones")], "Our great offers", f"m {i}")
+        add("copies", "t", same, [("Price", "9")], menu=f"m {i}")
+        add("near", f"t {i}", [words() if k == i % 10 else x for k, x in enumerate(near)], [("Price", "9")])
+        # Near copies alone have a table on this host, whose other articles differ.
+        add("mixed", f"t {i}", [words() if k == i % 10 and i < 8 else x for k, x in enumerate(near if i < 8 else [words(), words()])], [("Price", "9")] if i < 8 else [])
+        add("titles", f"t {i}", same, [])  # the greater part of an article repeats
+        add("seldom", f"t {i}", [words()], [("Price", "9")] if i < sitetree.PAGES - 1 else [])  # the table is empty elsewhere
+    for i in range(sitetree.PAGES - 1):
+        add("few", f"t {i}", [words()], [("Price", "9")])
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in sitetree.extract(df).collect()}
+    assert [got[i] for i in range(len(texts))] == texts
+    assert {r["page_id"]: r["text"] for r in sitetree.extract(df, held=0).collect()} == got
+    # The page's own word alone would keep the boxes, whose score comes from their importance.
+    scores = sitetree.node_scores(sitetree.tree_nodes(df))
+    assert "Our great offers" in sitetree.Page(pages[0][2]).text() and scores.where("pages = 20 and importance = 0 and rest > 0.9").count() == 1
+
+
+def brute_rests(page, root):
+    own, blocks = sitetree.hashes(page, root)[0], [(at, t) for at, t in page.blocks if page.role(page.nodes[at], True) == "article"]
+    out, size = {}, sum(len(t) for _, t in blocks)
+    above = lambda k: {own[k]} | (above(page.nodes[k].above) if k else set())
+    for key in {own[k] for k, n in enumerate(page.nodes) if page.role(n) == "part"}:
+        rest = [t for at, t in blocks if key not in above(at)]
+        if len(rest) < len(blocks):
+            least = 2 * sum(map(len, rest)) < size
+            out[key] = list(range(sitetree.SLOTS)) if least else [min(x) for x in zip(*map(sitetree.slots, rest), strict=True)]
+    return out
+
+
+def test_rests_equal_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        tags = [rng.choice(["<div>", "<div class=x>", "<section>", "</div>", "</section>", "<ul><li>", "</ul>", "<span>", "</span>", "<nav>", "</nav>", "<table><tr><td>", "</table>", "<p>", "<main>", "</main>"]) for _ in range(rng.randrange(40))]
+        page = sitetree.Page("<p>before<article>" + "".join(t + rng.choice(["", "w" * rng.randrange(1, 9)]) for t in tags) + rng.choice(["", "</article>after"]))
+        assert sitetree.page_rests(page, 7) == brute_rests(page, 7)
+
+
 def test_deep_pages_have_no_limit(spark):
     deep = lambda i: "<div class=a>" * 3_000 + f"<p>deep {i}</p>" + "</div>" * 3_000 + "<nav>menu</nav><article><p>main</p></article>"
     docs = spark.createDataFrame([(1, None, deep(1)), (2, "x", "<div>" * 2_000 + "plain words"), (3, "y", "<article>" + "<div>" * 2_000 + "deep main" + "</div>" * 2_000 + "</article><p>out"), (4, "z", "<p>" + "long " * 1_000_000)], "page_id long, url string, html string")
