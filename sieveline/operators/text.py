@@ -13,8 +13,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveline.functions import scoring as S
+from sieveline.functions.postings import by_term
 from sieveline.operators.ids import only, without
 from sieveline.schema import MAX_FIELD_LENGTH
 
@@ -53,14 +55,16 @@ class Search:
 @dataclass(frozen=True)
 class TextIndex:
     """``postings_where`` gives the postings whose term meets a condition; ``lengths`` has all documents. ``terms`` (term) has
-    the distinct terms of a stored index, which prefix and fuzzy searches look at instead of all postings; ``known_stats``
-    is its (n_docs, n_tokens) where nothing hides a document."""
+    the distinct terms of a stored index, which fuzzy searches look at instead of all postings; ``known_stats``
+    is its (n_docs, n_tokens) where nothing hides a document. ``whole`` gives all postings of documents, and if asked for a row
+    without a term for each document that has none."""
 
     postings_where: Callable[[Callable[[Column], Column]], DataFrame]
     lengths: DataFrame
     removed: DataFrame | None = field(default=None)
     terms: DataFrame | None = field(default=None)
     known_stats: tuple[int, int] | None = field(default=None)
+    whole: Callable[[bool], DataFrame] | None = field(default=None)
 
     @staticmethod
     def of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: Callable[[Column], Column] = tokens, stemmer: Callable[[Column], Column] | None = None) -> TextIndex:
@@ -78,7 +82,11 @@ class TextIndex:
             place = lambda stem: F.sort_array(F.collect_list(F.when(F.col("stem") == stem, F.col("pos"))))
             return hits.groupBy("term", "doc_id").agg(place(False).alias("exact"), place(True).alias("stemmed"), F.max("field_length").alias("field_length"))
 
-        return TextIndex(postings, rows.select("doc_id", length))
+        def whole(empty: bool) -> DataFrame:
+            met = rows.groupBy("doc_id").agg(F.collect_list("tokens").alias("texts"), F.max(length).alias("field_length"))
+            return _by_term(met, stemmer, empty)
+
+        return TextIndex(postings, rows.select("doc_id", length), whole=whole)
 
     @staticmethod
     def stored(postings: DataFrame, lengths: DataFrame, removed: DataFrame | None = None, terms: DataFrame | None = None, known_stats: tuple[int, int] | None = None) -> TextIndex:
@@ -88,7 +96,7 @@ class TextIndex:
         return TextIndex(found, without(lengths, removed), removed, terms, None if removed is not None else known_stats)
 
     def postings(self) -> DataFrame:
-        return self.postings_where(lambda term: F.lit(True))
+        return self.whole(False) if self.whole else self.postings_where(lambda term: F.lit(True))
 
     def stats(self) -> DataFrame:
         """One row: documents, tokens, average length."""
@@ -99,6 +107,15 @@ class TextIndex:
         return self.lengths.agg(F.count("*").alias("n_docs"), total.alias("n_tokens")).withColumn("avg_length", F.when(F.col("n_docs") > 0, F.col("n_tokens") / F.nullif("n_docs", F.lit(0))).otherwise(0.0))
 
 
+def _by_term(docs: DataFrame, stemmer: Callable[[Column], Column] | None, empty: bool) -> DataFrame:
+    """Postings of (doc_id, texts, field_length), a row for each document with the tokens of its rows. All tokens of a document
+    are in its row, so that no single token is exchanged."""
+    stems = [] if stemmer is None else [F.transform("texts", lambda ts: F.transform(ts, stemmer)).alias("stems")]
+    places = T.ArrayType(T.IntegerType())
+    schema = T.StructType().add("term", T.StringType()).add("doc_id", docs.schema["doc_id"].dataType).add("exact", places).add("stemmed", places).add("field_length", T.IntegerType())
+    return docs.select("doc_id", "field_length", "texts", *stems).mapInArrow(lambda batches: by_term(batches, empty), schema)
+
+
 def matched(index: TextIndex, search: Search, allowed: DataFrame | None = None) -> DataFrame:
     """(token_idx, term, is_exact, doc_id, exact, stemmed): every posting that a token of the query matches, once for each."""
     wanted = list(dict.fromkeys(search.tokens))
@@ -114,7 +131,7 @@ def matched(index: TextIndex, search: Search, allowed: DataFrame | None = None)
             one = one | r
         return one
 
-    if search.tolerance == 0 or index.terms is None:
+    if not search.tolerance or index.terms is None:  # whole terms and prefixes reach the scan
         rows = only(index.postings_where(any_of), allowed)
     else:  # each distinct term is compared once; Spark broadcasts the terms found if they are few
         rows = index.postings_where(lambda term: F.lit(True)).join(index.terms.where(any_of(F.col("term"))).select("term").distinct(), "term", "left_semi")

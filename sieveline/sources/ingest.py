@@ -89,7 +89,7 @@ def text_entries(rows: DataFrame, tokenizer: Callable[[Column], Column], stemmer
     from sieveline.operators.text import TextIndex
 
     index = TextIndex.of(rows, text=text, tokenizer=tokenizer, stemmer=stemmer)
-    return index.lengths.join(index.postings().drop("field_length"), "doc_id", "left").select("doc_id", "term", "exact", "stemmed", "field_length")
+    return index.whole(True).select("doc_id", "term", "exact", "stemmed", "field_length")
 
 
 def geo_entries(rows: DataFrame, json: str = "json", is_array: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline import cli
+from sieveline.functions import postings
 from sieveline.functions.vectors import I8_METRICS, quantise, quantised
 from sieveline.operators import boolean, text, vector
 from sieveline.operators.ann import AnnIndex
@@ -332,3 +333,24 @@ def test_a_large_text_segment_takes_in_a_good_share_of_new_entries(spark, tmp_pa
     index.insert(docs([30]))
     index.compact(3)
     assert [s["rows"] for s in index.store.manifest()["segments"]] == [36, 3]  # more than ten times as large
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_postings_made_in_rows_are_those_of_single_tokens(spark, stem, monkeypatch):
+    """Empty and null texts, an id of several texts, words beyond ASCII, slices of few tokens."""
+    monkeypatch.setattr(postings, "AT_ONCE", 3)
+    rows = [(3, "b a b"), (1, "a a runs run"), (2, ""), (4, None), (1, "runs c a"), (7, "ä z Ä \U0001f600"), (5, " \n"), (None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stemmer = (lambda t: F.when(F.endswith(t, F.lit("s")), F.regexp_replace(t, "s$", ""))) if stem else None
+    index = text.TextIndex.of(docs, stemmer=stemmer)
+    plain = lambda df: sorted((tuple(r) for r in df.select("term", "doc_id", "exact", "stemmed", "field_length").collect()), key=str)
+    each = index.postings_where(lambda t: F.lit(True))
+    longest = {None: 1, 1: 4, 3: 3, 7: 4}
+    want = sorted(((t, d, e, s, longest[d]) for t, d, e, s, _ in plain(each)), key=str)
+    assert plain(index.postings()) == want
+    assert sorted(r["doc_id"] for r in index.whole(True).where("term is null").collect()) == [2, 5]
+    assert "Generate" not in planned(index.postings())
