@@ -19,6 +19,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Format 1 had a file CURRENT with its number and the version, and text segments without lengths and terms. It is read; the
@@ -27,6 +28,11 @@ FORMAT = 2
 EMPTY = {"version": 0, "segments": [], "tombstones": None, "covers": 0}
 
 
+def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows, which the optimizer sees; those of ``createDataFrame`` come from Python workers."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -102,13 +108,15 @@ class Store:
 
     def table(self, schema: T.StructType, *paths: str) -> DataFrame:
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            return empty(self.spark, schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in paths])
 
-    def save(self, df: DataFrame, kind: str, sort: list[str], partitions: int | None = None) -> str:
-        """Written clustered by ``sort``, so that row groups can be skipped; returns the path below the root."""
+    def save(self, df: DataFrame, kind: str, sort: list[str], partitions: int | None = None, in_place: bool = False) -> str:
+        """Written clustered by ``sort``, so that row groups can be skipped; returns the path below the root. ``in_place``: each
+        task sorts the rows that it reads and nothing is exchanged; pages are then skipped in every file."""
         name = f"{kind}/{uuid.uuid4().hex}"
         # Rows that are equal in ``sort`` are told apart by doc_id, so that a frequent value is spread over files.
-        dealt = df.repartitionByRange(*([partitions] if partitions else []), *sort).sortWithinPartitions(*sort) if sort else df
+        dealt = df.repartitionByRange(*([partitions] if partitions else []), *sort) if sort and not in_place else df
+        dealt = dealt.sortWithinPartitions(*sort) if sort else dealt
         dealt.write.parquet(f"{self.root}/{name}")
         return name

@@ -319,6 +319,10 @@ def test_byte_distances_follow_the_exact_ones(spark):
         assert list(column) == quantise(v, low, high)
 
 
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_large_text_segment_takes_in_a_good_share_of_new_entries(spark, tmp_path, monkeypatch):
     monkeypatch.setitem(plan.MERGED_UP_TO, "text", 4)
     index = FieldIndex(spark, f"file://{tmp_path}/t", FieldSpec("t", "text"))
@@ -335,8 +339,34 @@ def test_a_large_text_segment_takes_in_a_good_share_of_new_entries(spark, tmp_pa
     assert [s["rows"] for s in index.store.manifest()["segments"]] == [36, 3]  # more than ten times as large
 
 
-def planned(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+def test_entries_of_a_text_field_are_not_exchanged(spark, tmp_path, monkeypatch):
+    index = FieldIndex(spark, f"file://{tmp_path}/t", FieldSpec("t", "text"))
+    docs = lambda pairs: text_entries(spark.createDataFrame(pairs, "doc_id long, text string"), text.tokens)
+    assert "Generate" not in planned(docs([(1, "a")]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index.insert(docs([(1, "alpha beta"), (2, "alpha"), (3, "gamma gamma delta"), (4, "")]))
+        assert "Exchange" not in planned(index._live(0))
+        index.delete([2])
+        assert "SortMergeJoin" not in planned(index._live(0)) and "BroadcastHashJoin" in planned(index._live(0))
+        monkeypatch.setattr(plan, "SENT_UP_TO", 0)  # too many ids to be sent: the same rows by an exchange
+        assert "SortMergeJoin" in planned(index._live(0))
+        want = [(1, "alpha"), (1, "beta"), (3, "delta"), (3, "gamma"), (4, None)]
+        assert sorted(((r[0], r[1]) for r in index.entries().collect()), key=str) == sorted(want, key=str)
+        index.compact(1)
+        monkeypatch.undo()
+        index.insert(docs([(1, "beta"), (5, "alpha")]))
+        index.insert(docs([(5, "delta zeta")]))
+        before = sorted(((r[0], r[1]) for r in index.entries().collect()), key=str)
+        assert before == sorted([(1, "beta"), (3, "delta"), (3, "gamma"), (4, None), (5, "delta"), (5, "zeta")], key=str)
+        index.compact(2)
+        assert sorted(((r[0], r[1]) for r in index.entries().collect()), key=str) == before
+        assert index.text_index().stats().first()["n_docs"] == 4 and {r["status"] for r in index.integrity_check().collect()} == {"ok"}
+        found = text.search(index.text_index(), text.Search(("d", "gam"), tolerance=None))
+        assert "SortMergeJoin" not in planned(index.text_index().postings_where(lambda t: F.startswith(t, F.lit("d")))) and {r[0] for r in found.collect()} == {3, 5}
+        assert "left_semi" not in planned(found).lower() and "LeftSemi" not in planned(found)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 @pytest.mark.parametrize("stem", [False, True])
